@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from ..schema import FIRST_PERIOD, LAST_PERIOD
 
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Every character that counts as whitespace at the edge of a cell.
+_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_DATE_SHAPE = r"^\d{4}(-\d{1,2}(-\d{1,2}([T ]\d.*)?)?)?$"
+_PLAIN_DATE = r"^\d{4}-\d{2}-\d{2}$"
+_OTHER_SHAPE = r"(?s)^(?!\d{4}(-\d{1,2}(-\d{1,2}([T ]\d.*)?)?)?$).*$"
 
 
 def strip(c: Column) -> Column:
     """Drop leading and trailing whitespace of any kind (tabs and no-break spaces too)."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def finite_number(c: Column) -> Column:
@@ -30,22 +35,25 @@ def iso_date(c: Column) -> Column:
     """Text to the UTC calendar date of an ISO-8601 instant; unreadable text becomes null.
 
     A timestamp with an offset moves to UTC first, so a late evening west of
-    Greenwich lands on the next day.  Needs a UTC session.
+    Greenwich lands on the next day.  Needs a UTC session.  Plain dates, the bulk of
+    published periods, take a cast; only the rest goes through the rewrites.
     """
+    day = F.when(c.rlike(_PLAIN_DATE), c.try_cast("date")).otherwise(_instant_date(c))
+    earliest, latest = (F.lit(bound).cast("date") for bound in (FIRST_PERIOD, LAST_PERIOD))
+    # Dates outside the range become null without evaluating ``day`` more than once.
+    return F.get(F.filter(F.array(day), lambda x: x.between(earliest, latest)), 0)
+
+
+def _instant_date(c: Column) -> Column:
     rewrites = [
         (r"^(\d{4})[/. ](\d{1,2})[/. ](\d{1,2})", "$1-$2-$3"),
         (r"^(\d{4})(\d{2})(\d{2})(T|$)", "$1-$2-$3$4"),
         (r"(:\d\d[+-]\d{2})(\d{2})$", "$1:$2"),
-    ]
-    completions = [
         (r"([T ]\d{2})$", "$1:00"),
         (r"(:\d{2}[+-]\d{2})$", "$1:00"),
     ]
     text = c
     for pattern, replacement in rewrites:
         text = F.regexp_replace(text, pattern, replacement)
-    text = F.when(text.rlike(_DATE_SHAPE), text)
-    for pattern, replacement in completions:
-        text = F.regexp_replace(text, pattern, replacement)
-    day = F.to_date(text.try_cast("timestamp"))
-    return F.when(day.between(F.lit(FIRST_PERIOD).cast("date"), F.lit(LAST_PERIOD).cast("date")), day)
+    # Anything of another shape is replaced by a text no cast accepts.
+    return F.to_date(F.regexp_replace(text, _OTHER_SHAPE, "-").try_cast("timestamp"))

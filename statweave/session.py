@@ -56,3 +56,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, unlike a local one."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialized(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a result to the shared folder and read it back as columnar files."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -50,10 +50,10 @@ def workspace_summary(spark, d):
 
 @query(
     "yearly_means",
-    f"""WITH {OBS} SELECT indicator, CAST(year(period) AS INT) AS year, round(avg(value), 4) AS mean_value FROM obs GROUP BY 1, 2""",
+    f"""WITH {OBS} SELECT indicator, CAST(year(period) AS INT) AS year, round(avg(value), 6) AS mean_value FROM obs GROUP BY 1, 2""",
 )
 def yearly_means(spark, d):
-    return coverage.yearly_means(obs(spark, d)).withColumn("mean_value", F.round("mean_value", 4))
+    return coverage.yearly_means(obs(spark, d)).withColumn("mean_value", F.round("mean_value", 6))
 
 
 for _name, _columns in {
@@ -115,7 +115,7 @@ def source_summary(spark, d):
   FROM obs WHERE indicator = 'ship_qty' AND dataset = 'shipments_supplier' AND year(period) = 1998 GROUP BY 1, 2, 3, 4""",
 )
 def covered_total(spark, d):
-    rows = obs(spark, d).filter(F.col("dataset") == "shipments_supplier")
+    rows = obs(spark, d, "shipments_supplier")
     return coverage.covered_total(rows, "ship_qty", "1998", "1998")
 
 
@@ -134,7 +134,7 @@ def domain_counts(spark, d):
   SELECT indicator FROM obs WHERE dataset IN ('shipments_annual', 'orders_nation'))""",
 )
 def missing_series(spark, d):
-    fact = obs(spark, d).filter(F.col("dataset").isin("shipments_annual", "orders_nation"))
+    fact = obs(spark, d, "shipments_annual", "orders_nation")
     return coverage.missing_series(dictionary(spark, d), fact).select("indicator", "domain")
 
 
@@ -167,7 +167,7 @@ def calendar_completeness(spark, d):
   SELECT {_SERIES}, CAST(period AS VARCHAR) AS period FROM cal ANTI JOIN obs USING ({_SERIES}, period)""",
 )
 def missing_months(spark, d):
-    return coverage.missing_months(obs(spark, d).filter(F.col("dataset") == "shipments_supplier"))
+    return coverage.missing_months(obs(spark, d, "shipments_supplier"))
 
 
 @query(
@@ -195,7 +195,7 @@ def duplicate_keys(spark, d):
   FROM child FULL JOIN pub USING (parent, indicator, period)""",
 )
 def hierarchy_reconciliation(spark, d):
-    rows = obs(spark, d).filter(F.col("unit") != "percent")
+    rows = obs(spark, d, "shipments_supplier", "shipments_nation", "shipments_world").filter(F.col("unit") != "percent")
     district_of = supplier_nation(spark, d).select(F.col("s_name").alias("geography"), F.col("n_name").alias("parent"))
     nations = spark.read.parquet(f"{d}/nation.parquet").select(
         F.col("n_name").alias("geography"), F.lit(WORLD).alias("parent")
@@ -286,7 +286,7 @@ wide AS (SELECT geography, period, {cols} FROM obs WHERE dataset IN ('shipments_
 
 
 def _wide(spark, d):
-    rows = obs(spark, d).filter(F.col("dataset").isin("shipments_supplier", "shipments_nation"))
+    rows = obs(spark, d, "shipments_supplier", "shipments_nation")
     return compare.wide(rows, ["geography", "period"], _SHIP5)
 
 
@@ -358,12 +358,13 @@ def pairwise_observations(spark, d):
 @query(
     "mean_standard_error",
     f"""WITH {OBS} SELECT dataset, indicator, CASE WHEN count(*) < 3 THEN 'blocked' ELSE 'calculated' END AS status,
-  count(*) AS n, round(CASE WHEN count(*) >= 3 THEN avg(value) END, 4) AS mean,
-  round(CASE WHEN count(*) >= 3 THEN stddev_samp(value) / sqrt(count(*)) END, 4) AS sem FROM obs GROUP BY 1, 2""",
+  count(*) AS n, round(CASE WHEN count(*) >= 3 THEN avg(value / 1e6) END, 6) AS mean,
+  round(CASE WHEN count(*) >= 3 THEN stddev_samp(value / 1e6) / sqrt(count(*)) END, 6) AS sem FROM obs GROUP BY 1, 2""",
 )
 def mean_standard_error(spark, d):
-    out = compare.mean_interval(obs(spark, d), ["dataset", "indicator"], independent=True)
-    return out.select("dataset", "indicator", "status", "n", F.round("mean", 4).alias("mean"), F.round("sem", 4).alias("sem"))
+    millions = obs(spark, d).withColumn("value", F.col("value") / 1e6)
+    out = compare.mean_interval(millions, ["dataset", "indicator"], independent=True)
+    return out.select("dataset", "indicator", "status", "n", F.round("mean", 6).alias("mean"), F.round("sem", 6).alias("sem"))
 
 
 @query("mean_interval")
@@ -402,7 +403,7 @@ def welch_p_values(spark, d):
     "forecast_error_metrics",
     f"""WITH {OBS}, p AS (SELECT {_SERIES}, value AS actual, lag(value, 12) OVER (PARTITION BY {_SERIES} ORDER BY period) AS predicted
     FROM obs WHERE frequency = 'monthly')
-  SELECT {_SERIES}, round(avg(abs(actual - predicted)), 4) AS mae, round(sqrt(avg((actual - predicted) * (actual - predicted))), 4) AS rmse,
+  SELECT {_SERIES}, round(avg(abs(actual - predicted)), 6) AS mae, round(sqrt(avg((actual - predicted) * (actual - predicted))), 6) AS rmse,
     round(avg(CASE WHEN abs(actual) > 1e-10 THEN abs((actual - predicted) / actual) END) * 100, 6) AS mape_percent,
     count(*) FILTER (WHERE abs(actual) > 1e-10) AS mape_eligible_rows FROM p WHERE predicted IS NOT NULL GROUP BY ALL""",
 )
@@ -410,4 +411,4 @@ def forecast_error_metrics(spark, d):
     rows = obs(spark, d).filter(F.col("frequency") == "monthly")
     lagged = rows.withColumns({"actual": F.col("value"), "predicted": F.lag("value", 12).over(W.along())})
     out = compare.forecast_errors(lagged.filter(F.col("predicted").isNotNull()), SERIES)
-    return out.withColumns({"mae": F.round("mae", 4), "rmse": F.round("rmse", 4), "mape_percent": F.round("mape_percent", 6)})
+    return out.withColumns({"mae": F.round("mae", 6), "rmse": F.round("rmse", 6), "mape_percent": F.round("mape_percent", 6)})

@@ -7,9 +7,11 @@ order of addition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statweave.functions.text import indicator_title
+
 SITE = "https://data.example.org/"
 WORLD = "World"
 
@@ -18,156 +20,92 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def money(c: str) -> Column:
-    return F.col(c).cast("decimal(18,2)")
-
-
-def month(c: str) -> Column:
-    return F.trunc(F.col(c).cast("date"), "month")
-
-
-_MEASURES = ["price", "qty", "n", "n_r", "n_a"]
-
-
-def ship_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly shipments by supplier; aggregated before the supplier join."""
-    lines = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_suppkey", month("l_shipdate").alias("period"))
-        .agg(
-            F.sum(money("l_extendedprice")).alias("price"),
-            F.sum(money("l_quantity")).alias("qty"),
-            F.count("*").alias("n"),
-            F.count_if(F.col("l_returnflag") == "R").alias("n_r"),
-            F.count_if(F.col("l_returnflag") == "A").alias("n_a"),
-        )
-    )
-    suppliers = supplier_nation(spark, sf_dir)
-    return lines.join(suppliers, lines.l_suppkey == suppliers.s_suppkey).select(
-        "s_name", "n_name", "period", *_MEASURES
-    )
-
-
 def supplier_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
-    return s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", "s_name", "n_name")
-
-
-def _long(rows: DataFrame, dataset: str, frequency: str, measures: dict[str, tuple[str, Column]]) -> DataFrame:
-    entries = F.array(
-        *[
-            F.struct(F.lit(i).alias("indicator"), F.lit(u).alias("unit"), v.cast("double").alias("value"))
-            for i, (u, v) in measures.items()
-        ]
-    )
-    return rows.select("geography", "period", F.explode(entries).alias("m")).select(
-        F.lit(dataset).alias("dataset"),
-        "m.indicator",
-        "geography",
-        "period",
-        "m.value",
-        "m.unit",
-        F.lit(frequency).alias("frequency"),
-        F.lit(SITE + dataset).alias("source_url"),
-        F.lit("v1").alias("dataset_version"),
-        F.lit("run-" + dataset).alias("ingestion_id"),
+    return spark.sql(
+        f"SELECT s_suppkey, s_name, n_name FROM parquet.`{sf_dir}/supplier.parquet` "
+        f"JOIN parquet.`{sf_dir}/nation.parquet` ON s_nationkey = n_nationkey"
     )
 
 
-def _ship_measures() -> dict[str, tuple[str, Column]]:
-    return {
-        "ship_value": ("current_usd", F.col("price")),
-        "ship_qty": ("tonnes", F.col("qty")),
-        "ship_lines": ("count", F.col("n")),
-        "returned_share": ("percent", F.lit(100.0) * F.col("n_r") / F.col("n")),
-        "accepted_share": ("percent", F.lit(100.0) * F.col("n_a") / F.col("n")),
-    }
-
-
-def _rollup(base: DataFrame, geography: Column, *period: Column) -> DataFrame:
-    return base.groupBy(geography.alias("geography"), *(period or (F.col("period"),))).agg(
-        *[F.sum(m).alias(m) for m in _MEASURES]
-    )
-
-
-def ship_supplier(spark, sf_dir):
-    base = ship_month(spark, sf_dir)
-    return _long(base.select(F.col("s_name").alias("geography"), "period", *_MEASURES),
-                 "shipments_supplier", "monthly", _ship_measures())
-
-
-def ship_nation(spark, sf_dir):
-    return _long(_rollup(ship_month(spark, sf_dir), F.col("n_name")), "shipments_nation", "monthly", _ship_measures())
-
-
-def ship_world(spark, sf_dir):
-    return _long(_rollup(ship_month(spark, sf_dir), F.lit(WORLD)), "shipments_world", "monthly", _ship_measures())
-
-
-def ship_annual(spark, sf_dir):
-    rows = _rollup(ship_month(spark, sf_dir), F.col("n_name"), F.trunc("period", "year").alias("period"))
-    measures = {k: v for k, v in _ship_measures().items() if k in ("ship_value", "ship_qty")}
-    return _long(rows, "shipments_annual", "annual", measures)
-
-
-def order_month(spark, sf_dir) -> DataFrame:
-    o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    return (
-        o.join(c, o.o_custkey == c.c_custkey)
-        .groupBy("c_nationkey", month("o_orderdate").alias("period"))
-        .agg(F.sum(money("o_totalprice")).alias("price"), F.count("*").alias("n"))
-        .join(n, F.col("c_nationkey") == n.n_nationkey)
-        .select("n_name", "period", "price", "n")
-    )
-
-
-def _order_measures():
-    return {"order_value": ("current_usd", F.col("price")), "order_count": ("count", F.col("n"))}
-
-
-def orders_nation(spark, sf_dir):
-    return _long(order_month(spark, sf_dir).withColumnRenamed("n_name", "geography"),
-                 "orders_nation", "monthly", _order_measures())
-
-
-def orders_world(spark, sf_dir):
-    rows = order_month(spark, sf_dir).groupBy(F.lit(WORLD).alias("geography"), "period").agg(
-        F.sum("price").alias("price"), F.sum("n").alias("n")
-    )
-    return _long(rows, "orders_world", "monthly", _order_measures())
-
-
-def events_daily(spark, sf_dir):
+# Dataset -> (grouping set, grouping id over s_name, n_name, month, year).
+_SHIP_LEVELS = {
+    "shipments_supplier": ("(s_name, month)", 5),
+    "shipments_nation": ("(n_name, month)", 9),
+    "shipments_world": ("(month)", 13),
+    "shipments_annual": ("(n_name, year)", 10),
+}
+_ORDER_LEVELS = {"orders_nation": ("(n_name, month)", 0), "orders_world": ("(month)", 2)}
+
+_FACT = (
+    "dataset, indicator, geography, period, value, unit, frequency, "
+    f"concat('{SITE}', dataset) AS source_url, 'v1' AS dataset_version, concat('run-', dataset) AS ingestion_id"
+)
+
+
+def _case(levels: dict, column: str) -> str:
+    return "CASE " + column + " " + " ".join(f"WHEN {gid} THEN '{name}'" for name, (_, gid) in levels.items()) + " END"
+
+
+def _shipments(d: str, levels: dict) -> str:
+    """Lines shrink to (supplier, month) once; the levels are grouping sets over that."""
+    sets = ", ".join(s for s, _ in levels.values())
+    return f"""SELECT {_FACT} FROM (
+  SELECT dataset, coalesce(s_name, n_name, '{WORLD}') AS geography, coalesce(month, year) AS period,
+    if(dataset = 'shipments_annual', 'annual', 'monthly') AS frequency,
+    stack(5, 'ship_value', CAST(price AS DOUBLE), 'current_usd', 'ship_qty', CAST(qty AS DOUBLE), 'tonnes',
+      'ship_lines', CAST(n AS DOUBLE), 'count', 'returned_share', 100.0D * n_r / n, 'percent',
+      'accepted_share', 100.0D * n_a / n, 'percent') AS (indicator, value, unit)
+  FROM (
+    SELECT {_case(levels, 'grouping_id(s_name, n_name, month, year)')} AS dataset, s_name, n_name, month, year,
+      sum(price) AS price, sum(qty) AS qty, sum(n) AS n, sum(n_r) AS n_r, sum(n_a) AS n_a
+    FROM (
+      SELECT s_name, n_name, month, trunc(month, 'YEAR') AS year, price, qty, n, n_r, n_a
+      FROM (
+        SELECT l_suppkey, trunc(CAST(l_shipdate AS DATE), 'MM') AS month,
+          sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS price, sum(CAST(l_quantity AS DECIMAL(18,2))) AS qty,
+          count(*) AS n, count_if(l_returnflag = 'R') AS n_r, count_if(l_returnflag = 'A') AS n_a
+        FROM parquet.`{d}/lineitem.parquet` GROUP BY 1, 2)
+      JOIN parquet.`{d}/supplier.parquet` ON l_suppkey = s_suppkey
+      JOIN parquet.`{d}/nation.parquet` ON s_nationkey = n_nationkey)
+    GROUP BY s_name, n_name, month, year GROUPING SETS ({sets})))
+  WHERE dataset <> 'shipments_annual' OR indicator IN ('ship_value', 'ship_qty')"""
+
+
+def _orders(d: str, levels: dict) -> str:
+    sets = ", ".join(s for s, _ in levels.values())
+    return f"""SELECT {_FACT} FROM (
+  SELECT dataset, coalesce(n_name, '{WORLD}') AS geography, month AS period, 'monthly' AS frequency,
+    stack(2, 'order_value', CAST(price AS DOUBLE), 'current_usd', 'order_count', CAST(n AS DOUBLE), 'count')
+      AS (indicator, value, unit)
+  FROM (
+    SELECT {_case(levels, 'grouping_id(n_name, month)')} AS dataset, n_name, month, sum(price) AS price, sum(n) AS n
+    FROM (
+      SELECT c_nationkey, trunc(CAST(o_orderdate AS DATE), 'MM') AS month,
+        sum(CAST(o_totalprice AS DECIMAL(18,2))) AS price, count(*) AS n
+      FROM parquet.`{d}/orders.parquet` JOIN parquet.`{d}/customer.parquet` ON o_custkey = c_custkey GROUP BY 1, 2)
+    JOIN parquet.`{d}/nation.parquet` ON c_nationkey = n_nationkey
+    GROUP BY n_name, month GROUPING SETS ({sets})))"""
+
+
+def _events(d: str) -> str:
     """Two indicators per event type: ``<type>_value`` and ``<type>_count``."""
-    rows = (
-        table(spark, sf_dir, "events")
-        .groupBy("event_type", F.col("ts").cast("date").alias("period"))
-        .agg(F.sum(money("value")).alias("price"), F.count("*").alias("n"))
-        .withColumn("geography", F.lit(WORLD))
-    )
-    entries = F.array(
-        F.struct(F.concat("event_type", F.lit("_value")).alias("indicator"), F.lit("score").alias("unit"),
-                 F.col("price").cast("double").alias("value")),
-        F.struct(F.concat("event_type", F.lit("_count")).alias("indicator"), F.lit("count").alias("unit"),
-                 F.col("n").cast("double").alias("value")),
-    )
-    return rows.select("geography", "period", F.explode(entries).alias("m")).select(
-        F.lit("events_daily").alias("dataset"), "m.indicator", "geography", "period", "m.value", "m.unit",
-        F.lit("daily").alias("frequency"), F.lit(SITE + "events_daily").alias("source_url"),
-        F.lit("v1").alias("dataset_version"), F.lit("run-events_daily").alias("ingestion_id"),
-    )
-
+    return f"""SELECT {_FACT} FROM (
+  SELECT 'events_daily' AS dataset, '{WORLD}' AS geography, period, 'daily' AS frequency,
+    stack(2, concat(event_type, '_value'), CAST(price AS DOUBLE), 'score', concat(event_type, '_count'), CAST(n AS DOUBLE), 'count')
+      AS (indicator, value, unit)
+  FROM (SELECT event_type, CAST(ts AS DATE) AS period, sum(CAST(value AS DECIMAL(18,2))) AS price, count(*) AS n
+    FROM parquet.`{d}/events.parquet` GROUP BY 1, 2))"""
 
-_PARTS = [ship_supplier, ship_nation, ship_world, ship_annual, orders_nation, orders_world, events_daily]
 
-
-def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All observations; a filter on ``dataset`` removes the other branches from the plan."""
-    parts = [build(spark, sf_dir) for build in _PARTS]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def obs(spark: SparkSession, sf_dir: str, *datasets: str) -> DataFrame:
+    """Observations of the named datasets, or all of them; each table is read once."""
+    wanted = set(datasets) or {*_SHIP_LEVELS, *_ORDER_LEVELS, "events_daily"}
+    ship = {k: v for k, v in _SHIP_LEVELS.items() if k in wanted}
+    order = {k: v for k, v in _ORDER_LEVELS.items() if k in wanted}
+    parts = [_shipments(sf_dir, ship)] if ship else []
+    parts += [_orders(sf_dir, order)] if order else []
+    parts += [_events(sf_dir)] if "events_daily" in wanted else []
+    return spark.sql(" UNION ALL ".join(f"({p})" for p in parts))
 
 
 def _sql_long(rows: str, dataset: str, frequency: str, measures: list[tuple[str, str, str]]) -> str:
@@ -231,43 +169,29 @@ def raw(spark: SparkSession, sf_dir: str, vintage: int = 2) -> DataFrame:
     Vintage 1 is the publication as it stood at the end of 1999; vintage 2 is the whole
     table with the prices of returned lines revised by one percent.
     """
-    lines = table(spark, sf_dir, "lineitem")
-    suppliers = supplier_nation(spark, sf_dir)
-    k, day = F.col("l_orderkey"), F.col("l_shipdate").cast("date")
-    if vintage == 1:
-        lines = lines.filter(day < F.lit("2000-01-01").cast("date"))
-    price = money("l_extendedprice").cast("decimal(18,4)")
+    price = "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(18,4))"
     if vintage == 2:
-        price = F.when(
-            F.col("l_returnflag") == "R", (money("l_extendedprice") * F.lit("1.01").cast("decimal(3,2)")).cast("decimal(18,4)")
-        ).otherwise(price)
-    iso = F.date_format(day, "yyyy-MM-dd")
-    joined = lines.join(suppliers, lines.l_suppkey == suppliers.s_suppkey)
-    return joined.select(
-        F.when(k % 97 == 0, "").otherwise("ship_lines").alias("dataset"),
-        F.when(k % 5 == 0, F.concat(F.lit("  price_"), F.lower("l_returnflag"), F.lower("l_linestatus"), F.lit("\t")))
-        .otherwise(F.concat(F.lit("price_"), F.lower("l_returnflag"), F.lower("l_linestatus")))
-        .alias("indicator"),
-        F.when(k % 11 == 0, F.concat(F.lit(" "), "n_name", F.lit(" "))).otherwise(F.col("n_name")).alias("geography"),
-        F.when(k % 13 == 0, F.date_format(day, "yyyyMMdd"))
-        .when(k % 13 == 1, F.concat(iso, F.lit("T23:30:00-05:00")))
-        .when(k % 13 == 2, F.concat(iso, F.lit(" 10:15:00")))
-        .when(k % 91 == 3, F.lit("not-a-date"))
-        .otherwise(iso)
-        .alias("period"),
-        F.when(k % 89 == 0, "bad").when(k % 83 == 0, "inf").when(k % 79 == 0, "").when(k % 73 == 0, "1d")
-        .otherwise(price.cast("string"))
-        .alias("value"),
-        F.when(k % 7 == 0, "thousand usd").otherwise("usd").alias("unit"),
-        F.when(k % 101 == 0, "hourly").otherwise("daily").alias("frequency"),
-        F.when(k % 103 == 0, SITE + "elsewhere").otherwise(RAW_URL).alias("source_url"),
-        F.col("l_orderkey").alias("s_order"),
-        F.col("l_linenumber").alias("s_line"),
-        F.col("l_partkey").alias("s_part"),
-        F.col("l_suppkey").alias("s_supp"),
-        day.alias("s_date"),
-        F.col("l_extendedprice").alias("s_price"),
-    )
+        price = (
+            "CASE WHEN l_returnflag = 'R' THEN CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 1.01BD AS DECIMAL(18,4)) "
+            f"ELSE {price} END"
+        )
+    where = "WHERE l_shipdate < TIMESTAMP_NTZ '2000-01-01 00:00:00'" if vintage == 1 else ""
+    k, iso, plain_name = "l_orderkey", "date_format(l_shipdate, 'yyyy-MM-dd')", "lower(concat('price_', l_returnflag, l_linestatus))"
+    return spark.sql(f"""SELECT
+  if({k} % 97 = 0, '', 'ship_lines') AS dataset,
+  if({k} % 5 = 0, concat('  ', {plain_name}, char(9)), {plain_name}) AS indicator,
+  if({k} % 11 = 0, concat(' ', n_name, ' '), n_name) AS geography,
+  CASE WHEN {k} % 13 = 0 THEN date_format(l_shipdate, 'yyyyMMdd') WHEN {k} % 13 = 1 THEN concat({iso}, 'T23:30:00-05:00')
+       WHEN {k} % 13 = 2 THEN concat({iso}, ' 10:15:00') WHEN {k} % 91 = 3 THEN 'not-a-date' ELSE {iso} END AS period,
+  CASE WHEN {k} % 89 = 0 THEN 'bad' WHEN {k} % 83 = 0 THEN 'inf' WHEN {k} % 79 = 0 THEN '' WHEN {k} % 73 = 0 THEN '1d'
+       ELSE CAST({price} AS STRING) END AS value,
+  if({k} % 7 = 0, 'thousand usd', 'usd') AS unit,
+  if({k} % 101 = 0, 'hourly', 'daily') AS frequency,
+  if({k} % 103 = 0, '{SITE}elsewhere', '{RAW_URL}') AS source_url,
+  l_orderkey AS s_order, l_linenumber AS s_line, l_partkey AS s_part, l_suppkey AS s_supp,
+  CAST(l_shipdate AS DATE) AS s_date, l_extendedprice AS s_price
+FROM parquet.`{sf_dir}/lineitem.parquet` JOIN parquet.`{sf_dir}/supplier.parquet` ON l_suppkey = s_suppkey
+JOIN parquet.`{sf_dir}/nation.parquet` ON s_nationkey = n_nationkey {where}""")
 
 
 def _raw_sql(vintage: int) -> str:
@@ -327,21 +251,19 @@ RAW2 = _raw_sql(2) + "," + _typed_sql(2)
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indicator dictionary of the monthly and daily series; the event counts are left undefined."""
-    from statweave.functions.text import indicator_title
-
-    i = F.col("indicator")
+    """Indicator dictionary of the national series; the event counts are left undefined."""
     return (
-        obs(spark, sf_dir)
-        .filter(F.col("dataset").isin("shipments_world", "orders_world", "events_daily"))
-        .filter(~i.endswith("_count") | (i == "order_count"))
+        obs(spark, sf_dir, "shipments_world", "orders_world", "events_daily")
+        .filter("NOT endswith(indicator, '_count') OR indicator = 'order_count'")
         .select("indicator", "unit", "frequency")
         .distinct()
         .select(
             "indicator", "unit", "frequency",
-            indicator_title(i).alias("title"),
-            F.when(i.startswith("ship_"), "trade").when(i.startswith("order_"), "economy")
-            .when(i.endswith("_share"), "trade").otherwise("digital").alias("domain"),
+            indicator_title(F.col("indicator")).alias("title"),
+            F.expr(
+                "CASE WHEN startswith(indicator, 'ship_') THEN 'trade' WHEN startswith(indicator, 'order_') THEN 'economy' "
+                "WHEN endswith(indicator, '_share') THEN 'trade' ELSE 'digital' END"
+            ).alias("domain"),
         )
     )
 
@@ -359,31 +281,18 @@ dictionary AS (SELECT DISTINCT indicator, unit, frequency,
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run records: one ingestion per order month and priority, published per order year."""
-    o = table(spark, sf_dir, "orders")
-    period = month("o_orderdate")
-    raw_rows, rejected = F.count("*"), F.count_if(F.col("o_orderstatus") == "P")
-    dup = F.count_if((F.col("o_orderstatus") == "F") & (F.col("o_custkey") % 10 == 0))
-    year = F.date_format("period", "yyyy")
-    return (
-        o.groupBy(period.alias("period"), "o_orderpriority")
-        .agg(
-            raw_rows.alias("raw_rows"), rejected.alias("rejected_rows"), dup.alias("duplicates"),
-            F.count_if(F.col("o_custkey") % 7 == 0).alias("missing_values"),
-        )
-        .select(
-            F.concat(F.lit(SITE + "orders/"), year, F.lit("/"), F.substring("o_orderpriority", 1, 1)).alias("source_url"),
-            F.when(F.substring("o_orderpriority", 1, 1) == "1", "World Bank · World Development Indicators")
-            .otherwise("Statistics Bureau").alias("source"),
-            F.when(F.substring("o_orderpriority", 1, 1) == "2", F.concat(F.lit("raw/table_1_year_"), year, F.lit(".xlsx")))
-            .otherwise(F.concat(F.lit("raw/orders "), year, F.lit(".csv"))).alias("original_file"),
-            F.concat(F.date_format(F.trunc("period", "quarter"), "yyyy-MM-dd"), F.lit("T00:00:00+00:00")).alias("completed_at"),
-            F.concat(F.lit("manifests/"), F.date_format("period", "yyyyMM"), F.lit("-"), F.substring("o_orderpriority", 1, 1),
-                     F.lit(".json")).alias("manifest_path"),
-            F.concat(F.lit("license "), F.substring("o_orderpriority", 1, 1)).alias("license"),
-            "raw_rows", "rejected_rows", "duplicates", "missing_values",
-            (F.col("raw_rows") - F.col("rejected_rows") - F.col("duplicates")).alias("processed_rows"),
-        )
-    )
+    p, year = "substr(o_orderpriority, 1, 1)", "date_format(period, 'yyyy')"
+    return spark.sql(f"""SELECT concat('{SITE}orders/', {year}, '/', {p}) AS source_url,
+  if({p} = '1', 'World Bank · World Development Indicators', 'Statistics Bureau') AS source,
+  if({p} = '2', concat('raw/table_1_year_', {year}, '.xlsx'), concat('raw/orders ', {year}, '.csv')) AS original_file,
+  concat(date_format(trunc(period, 'QUARTER'), 'yyyy-MM-dd'), 'T00:00:00+00:00') AS completed_at,
+  concat('manifests/', date_format(period, 'yyyyMM'), '-', {p}, '.json') AS manifest_path,
+  concat('license ', {p}) AS license,
+  raw_rows, rejected_rows, duplicates, missing_values, raw_rows - rejected_rows - duplicates AS processed_rows
+FROM (SELECT trunc(CAST(o_orderdate AS DATE), 'MM') AS period, o_orderpriority, count(*) AS raw_rows,
+    count_if(o_orderstatus = 'P') AS rejected_rows, count_if(o_orderstatus = 'F' AND o_custkey % 10 = 0) AS duplicates,
+    count_if(o_custkey % 7 = 0) AS missing_values
+  FROM parquet.`{sf_dir}/orders.parquet` GROUP BY 1, 2)""")
 
 
 MANIFESTS = f"""

@@ -142,7 +142,7 @@ def sorted_by_value(spark, d):
   AND period = DATE '1998-03-01' ORDER BY value DESC, geography LIMIT 10""",
 )
 def top_geographies(spark, d):
-    rows = S.series_of_dataset(obs(spark, d), "shipments_supplier", "ship_value", "1998-03")
+    rows = S.series_of_dataset(obs(spark, d, "shipments_supplier"), "shipments_supplier", "ship_value", "1998-03")
     return S.top(rows, 10, F.desc("value"), F.asc("geography")).select("geography", "value")
 
 
@@ -151,5 +151,5 @@ def top_geographies(spark, d):
     f"""WITH {OBS} SELECT {_ID}, value FROM obs WHERE dataset IN ('orders_nation', 'orders_world')""",
 )
 def bounded_workspace(spark, d):
-    rows = obs(spark, d).filter(F.col("dataset").isin("orders_nation", "orders_world"))
+    rows = obs(spark, d, "orders_nation", "orders_world")
     return S.bounded(rows, 20000, "Workspace snapshot exceeds 20,000 rows").select(*KEY, "value")
