@@ -59,7 +59,7 @@ MANIFEST_SCHEMA = T.StructType(
         for c in (
             "source", "source_url", "retrieval_date", "original_file", "dataset_version",
             "geographic_level", "time_period", "ingestion_status", "license", "ingestion_id",
-            "source_hash", "completed_at",
+            "source_hash", "completed_at", "manifest_path",
         )
     ]
     + [

@@ -47,12 +47,15 @@ def stage_stream(rows: DataFrame, source_url: str, staging: str, checkpoint: str
 
 
 def settle(staged: DataFrame) -> DataFrame:
-    """One staged batch from many: the earliest batch wins, counters add up."""
-    order = F.struct("batch", "seq")
+    """One staged batch from many: the earliest row of the source wins, counters add up.
+
+    The order is that of files and rows, not of batches, so neither the chunk size nor
+    the arrival of files changes the result.
+    """
     return (
         staged.groupBy("outcome", *KEY)
         .agg(
-            F.min_by(F.struct("value", "source_url"), order).alias("p"),
+            F.min_by(F.struct("value", "source_url"), "seq").alias("p"),
             F.sum("copies").alias("copies"),
             F.sum("blanks").alias("blanks"),
         )
