@@ -52,6 +52,15 @@ def compare(fact: DataFrame, indicator_a: str, indicator_b: str, geography: str)
     return matched_pairs(fact, indicator_a, indicator_b, geography).select("period", "value_a", "value_b")
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation over the rows that hold both values; null for a constant side.
+
+    The built-in aggregate raises a division error on constant input in ANSI mode.
+    """
+    deviations = F.stddev_pop(_both(x, y, x)) * F.stddev_pop(_both(x, y, y))
+    return F.try_divide(F.covar_pop(x, y), deviations)
+
+
 def correlations(pairs: DataFrame, groups: list[str], minimum: int = 3) -> DataFrame:
     """Pearson and Spearman of ``value_a`` and ``value_b`` per group.
 
@@ -69,8 +78,8 @@ def correlations(pairs: DataFrame, groups: list[str], minimum: int = 3) -> DataF
     defined = (F.count("*") >= minimum) & varied
     return ranked.groupBy(*groups).agg(
         F.count("*").alias("n"),
-        F.when(defined, F.corr("value_a", "value_b")).alias("pearson"),
-        F.when(defined, F.corr("_rank_a", "_rank_b")).alias("spearman"),
+        F.when(defined, pearson(F.col("value_a"), F.col("value_b"))).alias("pearson"),
+        F.when(defined, pearson(F.col("_rank_a"), F.col("_rank_b"))).alias("spearman"),
     )
 
 
@@ -119,7 +128,7 @@ def pearson_matrix(frame: DataFrame, groups: list[str], columns: list[str], mini
                         (n >= minimum)
                         & (F.min(_both(x, y, x)) < F.max(_both(x, y, x)))
                         & (F.min(_both(x, y, y)) < F.max(_both(x, y, y))),
-                        F.corr(x, y),
+                        pearson(x, y),
                     ).alias("coefficient"),
                 ).alias(f"_{i}")
             )
