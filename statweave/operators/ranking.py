@@ -1,9 +1,9 @@
 """Exact positions in groups of any size.
 
-A window would send a whole group to one task.  Here each group is cut into ordered
-ranges at approximate quantiles, ranges are numbered independently, and the exact
-counts of the lower ranges are added as offsets.  The cut points only balance the
-work; the resulting positions are exact.
+A window would send a whole group to one task.  Here the rows are range-partitioned
+on group and order together, so a large group, or a long run of equal values, spans
+several ranges; each range is numbered on its own and the exact counts of the lower
+ranges of its group are added.
 """
 
 from __future__ import annotations
@@ -11,27 +11,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+from ..session import materialized
 
 
-def positions_by(df: DataFrame, groups: list[str], order: str, ties: list[str], ranges: int = RANGES) -> DataFrame:
-    """1-based ``position`` by ``order`` (a numeric column), then by ``ties``, inside each group."""
-    quantiles = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = df.groupBy(*groups).agg(F.percentile_approx(order, quantiles, F.lit(10 * ranges)).alias("_cuts"))
-    split = (
-        df.join(cuts, groups)
-        .withColumn("_range", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(order))))
-        .drop("_cuts")
+def positions_by(df: DataFrame, groups: list[str], order: list[Column], ranges: int | None = None) -> DataFrame:
+    """1-based ``position`` of each row inside its group.
+
+    Range borders come from a sample that a second evaluation could draw differently,
+    so the partitioned rows are written once and numbered from there.
+    """
+    spark = df.sparkSession
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialized(
+        df.repartitionByRange(n, *[F.col(g) for g in groups], *order).withColumn("_range", F.spark_partition_id()), "ranges"
     )
     below = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        split.groupBy(*groups, "_range")
+        ranged.groupBy(*groups, "_range")
         .agg(F.count("*").alias("_n"))
         .select(*groups, "_range", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_offset"))
     )
-    inside = Window.partitionBy(*groups, "_range").orderBy(order, *ties)
+    inside = Window.partitionBy(*groups, "_range").orderBy(*order)
     return (
-        split.withColumn("_inside", F.row_number().over(inside))
+        ranged.withColumn("_inside", F.row_number().over(inside))
         .join(offsets, [*groups, "_range"])
         .withColumn("position", F.col("_offset") + F.col("_inside"))
         .drop("_range", "_offset", "_inside")
@@ -39,9 +41,8 @@ def positions_by(df: DataFrame, groups: list[str], order: str, ties: list[str],
 
 
 def ranking(df: DataFrame, groups: list[str], value: str = "value", ties: list[str] | None = None) -> DataFrame:
-    """Descending ``position`` of every row inside its group."""
-    ranked = df.withColumn("_down", -F.col(value))
-    return positions_by(ranked, groups, "_down", ties or []).drop("_down")
+    """Descending ``position`` of every row inside its group; ``ties`` settle equal values."""
+    return positions_by(df, groups, [F.desc(value), *[F.asc(t) for t in ties or []]])
 
 
 def district_ranking(

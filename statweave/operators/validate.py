@@ -43,31 +43,50 @@ def blank_cells() -> Column:
     return reduce(lambda a, b: a + b, [F.when(F.col(c) == "", 1).otherwise(0) for c in COLUMNS])
 
 
+def _tests(source_url: str) -> dict[str, Column]:
+    """Reasons to reject a typed row; none of them can be null."""
+    return {
+        **{f"blank_{c}": F.col(c) == "" for c in _REQUIRED_TEXT},
+        "bad_period": F.col("period").isNull(),
+        "bad_value": F.col("value").isNull(),
+        "other_source": F.col("source_url") != F.lit(source_url),
+        "unknown_frequency": (F.col("frequency") != "") & ~F.col("frequency").isin(FREQUENCIES),
+    }
+
+
 def typed(raw: DataFrame, source_url: str) -> DataFrame:
     """Stripped text -> typed columns plus ``blanks``, ``valid`` and ``reasons``.
 
-    One narrow projection: no shuffle, no Python.
+    Narrow projections: no shuffle, no Python.  ``reasons`` is only computed where a
+    query reads it.
     """
     stripped = strip_fields(raw).withColumn("blanks", blank_cells())
     parsed = stripped.withColumns(
         {"period": iso_date(F.col("period")), "value": finite_number(F.col("value"))}
     )
-    tests = {
-        **{f"blank_{c}": F.col(c) == "" for c in _REQUIRED_TEXT},
-        "bad_period": F.col("period").isNull(),
-        "bad_value": F.col("value").isNull(),
-        "other_source": F.col("source_url") != F.lit(source_url),
-        "unknown_frequency": (F.col("frequency") != "") & ~F.col("frequency").isin(FREQUENCIES),
-    }
-    reasons = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]))
-    return parsed.withColumn("reasons", reasons).withColumn("valid", F.size("reasons") == 0)
+    tests = _tests(source_url)
+    return parsed.withColumns(
+        {
+            "valid": ~reduce(lambda a, b: a | b, tests.values()),
+            "reasons": F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()])),
+        }
+    )
+
+
+def valid_rows(typed_rows: DataFrame) -> DataFrame:
+    """The rows that pass validation.
+
+    A plain filter would be pushed below the parsing and repeat it inside the
+    condition; emitting zero or one row after the parsing evaluates it once.
+    """
+    row = F.struct(*[F.col(c) for c in typed_rows.columns if c not in ("valid", "reasons")])
+    return typed_rows.select(F.explode(F.when(F.col("valid"), F.array(row))).alias("r")).select("r.*")
 
 
 def reject_reasons(typed_rows: DataFrame) -> DataFrame:
     """How often each reason kept a row out; a row can carry several."""
     return (
-        typed_rows.filter(~F.col("valid"))
-        .select(F.explode("reasons").alias("reason"))
+        typed_rows.select(F.explode("reasons").alias("reason"))
         .groupBy("reason")
         .agg(F.count("*").alias("rejected_rows"))
     )
@@ -89,33 +108,32 @@ def keep_first(rows: DataFrame, sequence: list[str], keys: list[str] = KEY) -> D
 
 
 def staged(typed_rows: DataFrame, sequence: list[str]) -> DataFrame:
-    """Accepted keys and rejected groups of a batch in a single aggregation.
+    """Accepted keys and the rejected rest of a batch in a single aggregation.
 
     ``outcome`` is ``accepted`` (one row per key, first occurrence wins) or
     ``rejected`` (one row for all).  ``copies`` and ``blanks`` carry the counters, so
     every ingestion count is a sum over this small result and the raw text is read
-    once.
+    once.  Rejected rows share the null key; the outcome is an aggregate, not a
+    grouping column, so a later filter on it cannot repeat the parsing below.
     """
     keyed = [F.when(F.col("valid"), F.col(k)).alias(k) for k in KEY]
     order = F.struct(*sequence)
-    first = F.struct("value", "source_url")
     return (
-        typed_rows.select(
-            F.when(F.col("valid"), "accepted").otherwise("rejected").alias("outcome"),
-            *keyed,
-            F.when(F.col("valid"), first).alias("picked"),
-            order.alias("seq"),
-            "blanks",
-        )
-        .groupBy("outcome", *KEY)
+        typed_rows.select(*keyed, "valid", "value", "source_url", order.alias("seq"), "blanks")
+        .groupBy(*KEY)
         .agg(
-            F.min_by("picked", "seq").alias("picked"),
+            F.min_by(F.struct("value", "source_url", "seq"), "seq").alias("first"),
+            F.bool_or("valid").alias("_valid"),
             F.count("*").alias("copies"),
             F.sum("blanks").alias("blanks"),
-            F.min("seq").alias("seq"),
         )
-        .select("outcome", *KEY, F.col("picked.value").alias("value"), F.col("picked.source_url").alias("source_url"),
-                "copies", "blanks", "seq")
+        .select(
+            F.when(F.col("_valid"), "accepted").otherwise("rejected").alias("outcome"),
+            *KEY,
+            F.when(F.col("_valid"), F.col("first.value")).alias("value"),
+            F.when(F.col("_valid"), F.col("first.source_url")).alias("source_url"),
+            "copies", "blanks", F.col("first.seq").alias("seq"),
+        )
     )
 
 

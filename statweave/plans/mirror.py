@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +13,7 @@ from ..operators.coverage import coverage_table
 from ..operators.merge import insert_absent, upsert
 from ..operators.validate import require_empty
 from ..schema import FACT_COLUMNS, FACT_SCHEMA, KEY
-from ..sources.commits import SnapshotTable
+from ..sources.commits import Commits, SnapshotTable, YearTable, years_of
 
 MIRROR_COLUMNS = [c for c in FACT_COLUMNS if c != "ingestion_id"]
 
@@ -27,10 +29,34 @@ _COVERAGE = T.StructType(
 )
 
 
+class MirrorFacts:
+    """The mirrored observations; an upsert rewrites only the years it touches."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.table = YearTable(spark, root, T.StructType([FACT_SCHEMA[c] for c in MIRROR_COLUMNS]))
+        self.commits = Commits(spark, f"{root}/commits")
+
+    def _state(self) -> dict:
+        return self.commits.latest() or {"version": 0, "years": {}}
+
+    def read(self) -> DataFrame:
+        return self.table.read(self._state()["years"])
+
+    def upsert(self, batch: DataFrame) -> None:
+        state, years = self._state(), years_of(batch)
+        if not years:
+            return
+        version = state["version"] + 1
+        target = f"{version}-{uuid.uuid4().hex[:8]}"
+        merged = upsert(self.table.read(state["years"], years), batch.select(*MIRROR_COLUMNS), KEY, MIRROR_COLUMNS)
+        self.table.write(merged, target)
+        self.commits.publish(version, {"years": {**state["years"], **{y: target for y in years}}})
+
+
 class Mirror:
     def __init__(self, spark: SparkSession, root: str):
         table = lambda name, schema: SnapshotTable(spark, f"{root.rstrip('/')}/{name}", schema)
-        self.fact = table("fact_observation", T.StructType([FACT_SCHEMA[c] for c in MIRROR_COLUMNS]))
+        self.fact = MirrorFacts(spark, f"{root.rstrip('/')}/fact_observation")
         self.datasets = table("dim_dataset", _strings("dataset", "source_url", "license", "last_completed_at"))
         self.indicators = table("dim_indicator", _strings("indicator", "description"))
         self.geographies = table("dim_geography", _strings("geography", "parent", "geographic_level"))
@@ -51,7 +77,7 @@ class Mirror:
 
     def upsert_facts(self, batch: DataFrame) -> None:
         """Value, URL and version follow the batch; replaying a batch changes nothing."""
-        self.fact.replace(upsert(self.fact.read(), batch.select(*MIRROR_COLUMNS), KEY))
+        self.fact.upsert(batch)
 
     def refresh_coverage(self) -> None:
         self.coverage.replace(coverage_table(self.fact.read()))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.series import along, lag_features, positions
 from ..schema import SERIES
-from ..session import cut_lineage
+from ..session import cut_lineage, materialized
 
 SEASON, HOLDOUT, HORIZON, LIMIT, FOLDS = 12, 12, 6, 2400, 3
 
@@ -298,8 +298,9 @@ def forecast(
     refitted on the whole history.  Series that fail a requirement appear as blocked.
     """
     status = eligibility(fact, season, holdout, keys)
-    ready = cut_lineage(ready_series(fact, keys, season=season, holdout=holdout).select(*keys, "period", "value"))
-    rows = cut_lineage(feature_rows(ready, season, holdout, keys))
+    # Written once, read by column and by fold from then on.
+    ready = materialized(ready_series(fact, keys, season=season, holdout=holdout).select(*keys, "period", "value"), "ready")
+    rows = materialized(feature_rows(ready, season, holdout, keys), "features")
 
     base = (
         history(ready, keys)
@@ -338,8 +339,7 @@ def forecast(
                seasonal_naive(F.col("values"), horizon, season), missing, missing)
     ]
     if "ridge" in models:
-        fits = ridge_coefficients(moments(rows, keys, season), keys, season)
-        fits = cut_lineage(fits)
+        fits = materialized(ridge_coefficients(moments(rows, keys, season), keys, season), "ridge")
         chosen = base.join(fits, keys).join(ridge_cv(rows, fits, keys, season), keys)
         rolled = chosen.withColumns(
             {

@@ -12,6 +12,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -57,6 +58,44 @@ class Commits:
             raise RuntimeError(f"Version {number} was committed by another writer")
 
 
+class YearTable:
+    """Rows partitioned by year; a write adds a version holding only the years it touches.
+
+    Which version of a year counts is the caller's ``versions`` map (year -> version),
+    kept in a commit record.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+
+    def read(self, versions: dict[str, str], years: list[str] | None = None) -> DataFrame:
+        wanted = [y for y in (versions if years is None else years) if y in versions]
+        if not wanted:
+            return self.spark.createDataFrame([], self.schema)
+        paths = [f"{self.root}/version={versions[y]}/partition_year={y}" for y in wanted]
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def write(self, rows: DataFrame, version: str) -> None:
+        write_by_year(rows, f"{self.root}/version={version}")
+
+
+def write_by_year(rows: DataFrame, path: str) -> None:
+    """Partition by year; a rebalance keeps a crowded year in several files of even size."""
+    (
+        rows.withColumn("partition_year", F.year("period"))
+        .hint("rebalance", "partition_year")
+        .sortWithinPartitions("partition_year", "indicator", "geography", "period")
+        .write.partitionBy("partition_year")
+        .option("compression", "zstd")
+        .parquet(path)
+    )
+
+
+def years_of(batch: DataFrame) -> list[str]:
+    """Calendar years of a batch; at most one entry per year of the accepted date range."""
+    return sorted(str(r.y) for r in batch.select(F.year("period").alias("y")).distinct().collect())
+
+
 class SnapshotTable:
     """A table replaced as a whole by each commit."""
 

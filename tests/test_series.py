@@ -107,7 +107,7 @@ def test_positions_are_exact_under_skew(spark):
         F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.pmod(F.col("id") * 7919, F.lit(1009)).cast("double")).alias("v"),
         F.when(F.col("id") % 10 < 9, "big").otherwise("small").alias("g"), "id",
     )
-    got = ranking.positions_by(df, ["g"], "v", ["id"], ranges=16).toPandas()
+    got = ranking.positions_by(df, ["g"], [F.col("v"), F.col("id")], ranges=16).toPandas()
     for _, part in got.groupby("g"):
         part = part.sort_values(["v", "id"])
         assert part.position.tolist() == list(range(1, len(part) + 1))

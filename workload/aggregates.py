@@ -178,7 +178,7 @@ def missing_months(spark, d):
 def duplicate_keys(spark, d):
     from statweave.schema import KEY
 
-    return reconcile.duplicate_keys(V.typed(raw(spark, d), RAW_URL).filter("valid"), KEY)
+    return reconcile.duplicate_keys(V.valid_rows(V.typed(raw(spark, d), RAW_URL)), KEY)
 
 
 @query(

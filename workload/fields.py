@@ -91,7 +91,7 @@ def geography_aliases(spark, d):
 )
 def unit_conversion(spark, d):
     """Chained conversions: thousands become dollars, dollars become half millions (factors kept exact)."""
-    rows = V.typed(raw(spark, d), RAW_URL).filter("valid")
+    rows = V.valid_rows(V.typed(raw(spark, d), RAW_URL))
     out = normalize.convert_units(rows, {"thousand usd": ("usd", 1000.0), "usd": ("million usd", 0.5)})
     return out.groupBy("unit").agg(
         F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(28,6)")).cast("double").alias("total")

@@ -278,7 +278,7 @@ def streamed_fact(spark, d):
 def streamed_first_seen(spark, d):
     """Deduplication in the state store of a stream over the typed rows."""
     folder, out, checkpoint = (scratch_path(spark, n) for n in ("typed", "seen", "checkpoint"))
-    typed = V.typed(raw(spark, d), RAW_URL).filter("valid").select(*KEY, "value")
+    typed = V.valid_rows(V.typed(raw(spark, d), RAW_URL)).select(*KEY, "value")
     typed.repartition(4).write.parquet(folder)
     rows = spark.readStream.schema(typed.schema).option("maxFilesPerTrigger", 2).parquet(folder)
     stream = (

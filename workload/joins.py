@@ -18,8 +18,8 @@ _ID = "dataset, indicator, geography, CAST(period AS VARCHAR) AS period, unit, f
 
 def accepted(spark, d, vintage):
     """First valid row per key of a raw batch, as fact rows."""
-    rows = V.typed(raw(spark, d, vintage), RAW_URL).filter("valid")
-    return V.keep_first(rows.select(*KEY, "value", "source_url", *SEQUENCE), SEQUENCE).select(
+    rows = V.staged(V.typed(raw(spark, d, vintage), RAW_URL), SEQUENCE).filter("outcome = 'accepted'")
+    return rows.select(
         *KEY, "value", "source_url", F.lit(f"v{vintage}").alias("dataset_version"), F.lit(f"run-{vintage}").alias("ingestion_id")
     ).select(*FACT_COLUMNS)
 
