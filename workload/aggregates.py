@@ -50,10 +50,10 @@ def workspace_summary(spark, d):
 
 @query(
     "yearly_means",
-    f"""WITH {OBS} SELECT indicator, CAST(year(period) AS INT) AS year, round(avg(value), 6) AS mean_value FROM obs GROUP BY 1, 2""",
+    f"""WITH {OBS} SELECT indicator, CAST(year(period) AS INT) AS year, round(avg(value), 5) AS mean_value FROM obs GROUP BY 1, 2""",
 )
 def yearly_means(spark, d):
-    return coverage.yearly_means(obs(spark, d)).withColumn("mean_value", F.round("mean_value", 6))
+    return coverage.yearly_means(obs(spark, d)).withColumn("mean_value", F.round("mean_value", 5))
 
 
 for _name, _columns in {
@@ -403,7 +403,7 @@ def welch_p_values(spark, d):
     "forecast_error_metrics",
     f"""WITH {OBS}, p AS (SELECT {_SERIES}, value AS actual, lag(value, 12) OVER (PARTITION BY {_SERIES} ORDER BY period) AS predicted
     FROM obs WHERE frequency = 'monthly')
-  SELECT {_SERIES}, round(avg(abs(actual - predicted)), 6) AS mae, round(sqrt(avg((actual - predicted) * (actual - predicted))), 6) AS rmse,
+  SELECT {_SERIES}, round(avg(abs(actual - predicted)), 5) AS mae, round(sqrt(avg((actual - predicted) * (actual - predicted))), 5) AS rmse,
     round(avg(CASE WHEN abs(actual) > 1e-10 THEN abs((actual - predicted) / actual) END) * 100, 6) AS mape_percent,
     count(*) FILTER (WHERE abs(actual) > 1e-10) AS mape_eligible_rows FROM p WHERE predicted IS NOT NULL GROUP BY ALL""",
 )
@@ -411,4 +411,4 @@ def forecast_error_metrics(spark, d):
     rows = obs(spark, d).filter(F.col("frequency") == "monthly")
     lagged = rows.withColumns({"actual": F.col("value"), "predicted": F.lag("value", 12).over(W.along())})
     out = compare.forecast_errors(lagged.filter(F.col("predicted").isNotNull()), SERIES)
-    return out.withColumns({"mae": F.round("mae", 6), "rmse": F.round("rmse", 6), "mape_percent": F.round("mape_percent", 6)})
+    return out.withColumns({"mae": F.round("mae", 5), "rmse": F.round("rmse", 5), "mape_percent": F.round("mape_percent", 6)})

@@ -34,7 +34,7 @@ def series_eligibility(spark, d):
 @query(
     "seasonal_naive_holdout",
     f"""WITH {OBS}, {_ELIGIBLE}, p AS (SELECT *, lag(value, 12) OVER ({_W}) AS guess FROM ready)
-  SELECT {_S}, round(avg(abs(value - guess)), 6) AS mae, round(sqrt(avg((value - guess) * (value - guess))), 6) AS rmse,
+  SELECT {_S}, round(avg(abs(value - guess)), 5) AS mae, round(sqrt(avg((value - guess) * (value - guess))), 5) AS rmse,
     round(avg(CASE WHEN abs(value) > 1e-10 THEN abs((value - guess) / value) END) * 100, 6) AS mape_percent,
     count(*) FILTER (WHERE abs(value) > 1e-10) AS mape_eligible_rows FROM p WHERE rn > n - 12 GROUP BY ALL""",
 )
@@ -42,7 +42,7 @@ def seasonal_naive_holdout(spark, d):
     h = panel.history(panel.ready_series(obs(spark, d)))
     train = F.slice("values", F.lit(1), F.size("values") - 12)
     out = h.select(*SERIES, panel.error_columns(F.slice("values", -12, 12), panel.seasonal_naive(train, 12)).alias("e")).select(*SERIES, "e.*")
-    return out.withColumns({c: F.round(c, 6) for c in ("mae", "rmse", "mape_percent")})
+    return out.withColumns({"mae": F.round("mae", 5), "rmse": F.round("rmse", 5), "mape_percent": F.round("mape_percent", 6)})
 
 
 @query(

@@ -126,14 +126,9 @@ def catalog_search(spark, d):
     return S.search(manifests(spark, d), "YEAR_1997").select("source_url", "manifest_path", "processed_rows")
 
 
-@query(
-    "sorted_by_value",
-    f"""WITH {OBS} SELECT {_ID}, value, row_number() OVER (ORDER BY value DESC, dataset, indicator, geography, period, unit, frequency) AS place
-  FROM obs QUALIFY place <= 200""",
-)
+@query("sorted_by_value", f"WITH {OBS} SELECT {_ID}, value FROM obs ORDER BY value DESC, dataset, indicator, geography, obs.period, unit, frequency")
 def sorted_by_value(spark, d):
-    rows = S.sorted_by(obs(spark, d), "value", descending=True).limit(200)
-    return rows.select(*KEY, "value", F.expr("row_number() over (order by value desc, dataset, indicator, geography, period, unit, frequency)").alias("place"))
+    return S.sorted_by(obs(spark, d), "value", descending=True).select(*KEY, "value")
 
 
 @query(
