@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statweave.functions.text import indicator_title
+from statweave.session import spread
 
 SITE = "https://data.example.org/"
 WORLD = "World"
@@ -176,6 +177,7 @@ def raw(spark: SparkSession, sf_dir: str, vintage: int = 2) -> DataFrame:
             f"ELSE {price} END"
         )
     where = "WHERE l_shipdate < TIMESTAMP_NTZ '2000-01-01 00:00:00'" if vintage == 1 else ""
+    lines = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     k, iso, plain_name = "l_orderkey", "date_format(l_shipdate, 'yyyy-MM-dd')", "lower(concat('price_', l_returnflag, l_linestatus))"
     return spark.sql(f"""SELECT
   if({k} % 97 = 0, '', 'ship_lines') AS dataset,
@@ -190,8 +192,8 @@ def raw(spark: SparkSession, sf_dir: str, vintage: int = 2) -> DataFrame:
   if({k} % 103 = 0, '{SITE}elsewhere', '{RAW_URL}') AS source_url,
   l_orderkey AS s_order, l_linenumber AS s_line, l_partkey AS s_part, l_suppkey AS s_supp,
   CAST(l_shipdate AS DATE) AS s_date, l_extendedprice AS s_price
-FROM parquet.`{sf_dir}/lineitem.parquet` JOIN parquet.`{sf_dir}/supplier.parquet` ON l_suppkey = s_suppkey
-JOIN parquet.`{sf_dir}/nation.parquet` ON s_nationkey = n_nationkey {where}""")
+FROM {{lines}} JOIN parquet.`{sf_dir}/supplier.parquet` ON l_suppkey = s_suppkey
+JOIN parquet.`{sf_dir}/nation.parquet` ON s_nationkey = n_nationkey {where}""", lines=lines)
 
 
 def _raw_sql(vintage: int) -> str:
