@@ -85,6 +85,11 @@ def sorted_by(df: DataFrame, column: str, descending: bool = False, tie_break: l
     return df.orderBy(lead, *[c for c in tie_break if c != column and c in df.columns])
 
 
+def availability(df: DataFrame) -> str:
+    """Whether any observation supports a request; an empty result is never filled in."""
+    return "unavailable" if df.isEmpty() else "available"
+
+
 def bounded(df: DataFrame, cap: int, message: str) -> DataFrame:
     """Refuse a result of more than ``cap`` rows; the probe reads at most cap+1 rows."""
     if df.limit(cap + 1).count() > cap:

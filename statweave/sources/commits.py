@@ -45,14 +45,21 @@ class Commits:
         finally:
             stream.close()
 
-    def publish(self, number: int, record: dict) -> None:
-        fs = self._fs()
-        aside, target = self._path(f"_{uuid.uuid4().hex}.tmp"), self._path(f"{number:010d}.json")
-        out = fs.create(aside, True)
+    def _write(self, path, record: dict) -> None:
+        out = self._fs().create(path, True)
         try:
-            out.write(bytearray(json.dumps({**record, "version": number}), "utf-8"))
+            out.write(bytearray(json.dumps(record), "utf-8"))
         finally:
             out.close()
+
+    def note_failure(self, run: str, record: dict) -> None:
+        """Keep a trace of a run that published nothing; readers of the table ignore it."""
+        self._write(self._path("failed", f"{run}.json"), {**record, "status": "failed", "ingestion_id": run})
+
+    def publish(self, number: int, record: dict) -> None:
+        fs = self._fs()
+        aside, target = self._path(f"_{uuid.uuid4().hex}.tmp"), self._path(f"{number:010d}.json")
+        self._write(aside, {**record, "version": number})
         if fs.exists(target) or not fs.rename(aside, target):
             fs.delete(aside, False)
             raise RuntimeError(f"Version {number} was committed by another writer")

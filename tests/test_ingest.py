@@ -57,6 +57,8 @@ def test_failure_before_the_commit_leaves_the_fact_alone(spark, tmp_path, meta,
         warehouse.ingest_csv(write_csv(tmp_path / "b.csv", [("2020-01-01", "9")]), {**meta, "dataset_version": "v2"})
     assert sorted(map(str, warehouse.fact().collect())) == before
     assert warehouse.manifests().count() == 1 and warehouse.revisions().count() == 0
+    (record,) = (tmp_path / "data" / "commits" / "failed").glob("*.json")
+    assert json.loads(record.read_text())["reason"] == "lost"
 
 
 def test_concurrent_commit_is_refused(spark, tmp_path):

@@ -55,7 +55,7 @@ def test_transform_before_page(series):
     page = select.timeseries(series([100, 110, 121]), "cpi", "Pakistan", how="pct_change", limit=1, offset=1).collect()
     assert [r.value for r in page] == [pytest.approx(10)]
     assert select.timeseries(series([1]), "cpi'; DROP TABLE x; --", "Pakistan").collect() == []
-    assert select.timeseries(series([1]), "cpi", "Swat").collect() == []
+    assert select.availability(select.timeseries(series([1]), "cpi", "Swat")) == "unavailable"
 
 
 def test_bounded_read(series):
