@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statweave.llm import ngram_join
+from statweave.llm import metric_search, mixing, ngram_join, packing, quality, toxicity
 from statweave.llm.frames import read_table
 
+TOKENIZER = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,3 +31,60 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component and shingle count of every document."""
     found = ngram_join.gram_components(read_table(spark, sf_dir, "documents"), n=5, percent=80)
     return found.select("doc_id", F.col("n_grams").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@query("op2_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document; strata are languages."""
+    found = quality.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "lang")
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@query("op3_source_mixing")
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes from every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.array("source").alias("sources"), "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Place of a public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op9_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and offset of every piece of every document."""
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
+
+
+@query("op7_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    found = toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query(
+    "op8_metric_top_k",
+    """
+    with v as (
+      select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+      where vec_id is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), s as (
+      select q.vec_id as query_id, v.vec_id, cast(list_inner_product(q.e, v.e) as bigint) as score
+      from v q join v on q.vec_id % 50 = 0 and q.vec_id <> v.vec_id and len(q.e) = len(v.e)
+    ), r as (
+      select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s
+    )
+    select query_id, cast(n as integer) as "rank", vec_id, score from r where n <= 5
+    """,
+)
+def metric_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector."""
+    return metric_search.top_inner_products(read_table(spark, sf_dir, "embeddings"), every=50, k=5)
