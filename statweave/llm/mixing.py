@@ -183,3 +183,13 @@ def mix(docs: DataFrame, targets=None, max_copies: int = MAX_COPIES, seed: int =
     both = joined.where("_b is null or bin <> _b").unionByName(inside)
     taken = F.col("size") * F.least(F.col("copies") + F.col("extra"), F.lit(max_copies))
     return both.select("doc_id", "sources", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed(docs: DataFrame, source: str = "source", **how) -> DataFrame:
+    """The documents of the mix with all columns, as often as the mix takes them; null sources are one source."""
+    taken = mix(docs.select("doc_id", F.array(source).alias("sources"), "text"), **how).where("taken > 0")
+    copies = taken.groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    copies = copies.select(F.col("doc_id").alias("_id"), "copies")
+    rows = docs.select(F.struct("*").alias("row")).join(copies, F.col("row.doc_id").eqNullSafe(F.col("_id")))
+    rows = rows.where((F.length(F.coalesce("row.text", F.lit(""))) > 0))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statweave.llm import metric_search, mixing, ngram_join, packing, quality, toxicity
+from statweave.llm import (
+    license_scan,
+    metric_search,
+    mixing,
+    ngram_join,
+    packing,
+    phrase_dedup,
+    pii,
+    quality,
+    suffix_dedup,
+    toxicity,
+)
 from statweave.llm.frames import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -88,3 +99,33 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metric_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five highest integer inner products of every fiftieth vector."""
     return metric_search.top_inner_products(read_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+@query("op6_license_scan")
+def license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of every document."""
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_pii")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    found = pii.find(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"),
+    )
+
+
+@query("op4_suffix_dedup")
+def suffix_dedup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that repeated 100-byte strings cover."""
+    left = suffix_dedup.remove_repeated_bytes(read_table(spark, sf_dir, "documents"), threshold=100)
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query("op5_substring_dedup")
+def substring_dedup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words that repeated 20-word windows cover."""
+    left = phrase_dedup.remove_repeated_words(read_table(spark, sf_dir, "documents"), window=20)
+    return left.select("doc_id", "n_words", "n_removed", "kept_sha256")
