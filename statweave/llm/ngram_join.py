@@ -16,18 +16,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statweave.llm import kernel
 from statweave.llm.frames import components, grouped, map_batches, stored, with_bytes
 
 FREQUENT_TERMS = 1_000_000
-"""At most so many n-grams count as frequent: those in more documents than (all n-grams / this). It bounds what is broadcast."""
+"""At most so many n-grams count as frequent, those in most documents. It bounds what is broadcast and changes no result."""
 COUNT_CHUNK = 2_000_000
+REPEATED = 3
+"""Documents of a chunk that hold an n-gram for it to be counted as repeated."""
 PAIR_RUN = 64
-"""Sets that share a prefix n-gram meet pairwise up to this number, and through the first of them beyond."""
-BLOCK_SETS, BLOCK_GRAMS = 256, 1_000_000
+"""Sets that share a prefix n-gram are paired at once up to this number; larger runs are compared by sketches, in blocks."""
+RUN_BLOCK = 2048
+BLOCK_SETS, BLOCK_GRAMS = 1024, 2_000_000
 
 
 def gram_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]:
@@ -79,11 +82,11 @@ def largest_difference(a: int, b: int, percent: int) -> int:
 
 def _count_repeated(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, total = [], 0, 0
+        held, size = [], 0
 
         def out():
             grams, counts = np.unique(np.concatenate(held), return_counts=True)
-            some = counts >= 4
+            some = counts >= REPEATED
             return pa.record_batch({"gram": grams[some].view(np.int64), "n": counts[some].astype(np.int64)})
 
         for batch in batches:
@@ -92,13 +95,10 @@ def _count_repeated(n: int):
                     held.append(grams)
                     size += len(grams)
                 if size >= COUNT_CHUNK:
-                    total += size
                     yield out()
                     held, size = [], 0
         if held:
-            total += size
             yield out()
-        yield pa.record_batch({"gram": pa.array([None], pa.int64()), "n": pa.array([total], pa.int64())})
 
     return run
 
@@ -108,9 +108,18 @@ def frequent_grams(docs: DataFrame, n: int) -> np.ndarray:
     counts = stored(
         map_batches(with_bytes(docs), _count_repeated(n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts"
     )
-    total = counts.where("gram is null").agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("gram").isNotNull() & (F.col("n") > max(8, total // FREQUENT_TERMS))).select("gram").toArrow()
-    return np.sort(rows.column("gram").to_numpy().view(np.uint64)) if rows.num_rows else np.zeros(0, np.uint64)
+    # The lowest number of documents, a power of the square root of 2, that few enough n-grams reach.
+    steps = counts.groupBy(F.floor(2 * F.log2("n")).cast("int").alias("step")).count().orderBy(F.desc("step")).collect()
+    least, held = None, 0
+    for row in steps:
+        held += row["count"]
+        if held > FREQUENT_TERMS:
+            break
+        least = row["step"]
+    if least is None:
+        return np.zeros(0, np.uint64)
+    rows = counts.where(F.floor(2 * F.log2("n")) >= least).select("gram").toArrow()
+    return np.sort(rows.column("gram").to_numpy().view(np.uint64))
 
 
 # --- candidate families -----------------------------------------------------------------------------------------------------
@@ -147,11 +156,11 @@ def _describe(n: int, percent: int, frequent):
 
 
 def _meet(percent: int):
-    """Pairs of nodes within runs of the same n-gram, from rows sorted by n-gram and node."""
+    """Pairs of nodes within runs of the same n-gram, from rows sorted by n-gram and node; of a long run, (n-gram, node)."""
 
-    def pairs_of(node: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    def pairs_of(gram: int, node: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
         if len(node) > PAIR_RUN:
-            return np.full(len(node) - 1, node[0]), node[1:], True
+            return np.full(len(node), gram), node, True
         a, b = np.triu_indices(len(node), 1)
         low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         near = 100 * low >= percent * high
@@ -163,12 +172,12 @@ def _meet(percent: int):
         count = 0
 
         def flush() -> pa.RecordBatch:
-            a, b, star = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((star, b, a))
-            a, b, star = a[order], b[order], star[order]
+            a, b, long = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((long, b, a))
+            a, b, long = a[order], b[order], long[order]
             new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (star[1:] != star[:-1])
-            return pa.record_batch({"a": a[new], "b": b[new], "star": star[new]})
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (long[1:] != long[:-1])
+            return pa.record_batch({"a": a[new], "b": b[new], "long_run": long[new]})
 
         def work(gram, node, size) -> None:
             nonlocal count
@@ -184,9 +193,9 @@ def _meet(percent: int):
                 found.append((node[two], node[two + 1], np.zeros(len(two), bool)))
                 count += len(two)
             for at, m in zip(begin[length > 2].tolist(), length[length > 2].tolist()):
-                a, b, star = pairs_of(node[at : at + m], size[at : at + m])
+                a, b, long = pairs_of(gram[at], node[at : at + m], size[at : at + m])
                 if len(a):
-                    found.append((a, b, np.full(len(a), star)))
+                    found.append((a, b, np.full(len(a), long)))
                     count += len(a)
 
         for batch in batches:
@@ -220,6 +229,57 @@ def _close(percent: int):
     return run
 
 
+def _compare_runs(percent: int):
+    """Spanning forests of the close pairs of each group; rows are sorted by group."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, "grp"):
+            node, size, part = (table[c].to_numpy() for c in ("node", "n", "part"))
+            sketch = table["sketch"].to_pylist()
+            forest = Forest(len(node))
+            by: dict[int, list[int]] = {}
+            for k, x in enumerate(sketch):
+                by.setdefault(len(x), []).append(k)
+            several = len(np.unique(part)) > 1
+            for long, own in by.items():
+                for short, other in by.items():
+                    if not short <= long <= 2 * short:
+                        continue
+                    x = np.frombuffer(b"".join(sketch[k] for k in own), np.uint64).reshape(len(own), -1)
+                    y = np.frombuffer(b"".join(sketch[k] for k in other), np.uint64).reshape(len(other), -1)
+                    if long > short:
+                        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+                    mine, theirs = np.array(own), np.array(other)
+                    for i in range(len(own)):
+                        apart = np.bitwise_count(y ^ x[i]).sum(1, dtype=np.int64)
+                        both = size[theirs] + size[mine[i]]
+                        near = (100 + percent) * apart <= (100 - percent) * both
+                        if several:  # pairs within a block meet elsewhere
+                            near &= part[theirs] != part[mine[i]]
+                        for j in theirs[near].tolist():
+                            forest.join(int(mine[i]), j)
+            to = [int(node[forest.find(k)]) for k in range(len(node))]
+            yield pa.record_batch([pa.array(node), pa.array(to, pa.int64())], schema=schema)
+
+    return run
+
+
+def _long_runs(runs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Close pairs among many sets that share an n-gram, as edges of spanning forests; runs: gram, node.
+
+    A run is dealt to blocks, and every two blocks meet in a task of their own.
+    """
+    sizes = runs.groupBy("gram").agg(F.ceil(F.count("*") / RUN_BLOCK).cast("int").alias("blocks"))
+    rows = runs.join(sizes, "gram").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rows.withColumn("other", other).select(
+        F.xxhash64("gram", F.least("part", "other"), F.greatest("part", "other")).alias("grp"), "node", "part"
+    )
+    met = dealt.join(sketches, "node").select("grp", "node", "part", "n", "sketch").repartition("grp").sortWithinPartitions("grp")
+    return map_batches(met, _compare_runs(percent), "a long, b long").where("a <> b").distinct()
+
+
 # --- trie join --------------------------------------------------------------------------------------------------------------
 
 
@@ -394,16 +454,17 @@ def gram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     rows = described.where("grams is not null").select(F.explode("grams").alias("gram"), "node", "n")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    met = rows.repartition("gram").sortWithinPartitions("gram", "node").mapInArrow(_meet(percent), "a long, b long, star boolean")
+    met = rows.repartition("gram").sortWithinPartitions("gram", "node").mapInArrow(_meet(percent), "a long, b long, long_run boolean")
     met = stored(met.distinct(), "gram-pairs")
     sketches = described.where("sketch is not null").select("node", "n", "sketch").dropDuplicates(["node"])
     pairs = (
-        met.where("not star")
+        met.where("not long_run")
         .join(sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
         .join(sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
     )
     near = map_batches(pairs.select("a", "b", "na", "nb", "sa", "sb"), _close(percent), "a long, b long")
-    families = components(near.unionByName(met.where("star").select("a", "b")), "gram-families")
+    runs = met.where("long_run").select(F.col("a").alias("gram"), F.col("b").alias("node"))
+    families = components(near.unionByName(_long_runs(runs, sketches, percent)), "gram-families")
 
     members = nodes.join(families.withColumnRenamed("root", "family"), "node")
     members = stored(_blocks(members, ["family"]), "gram-members")
@@ -413,9 +474,11 @@ def gram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     wide = members.where("blocks > 1")
     if not wide.isEmpty():
-        for name, groups in (("representatives", _representatives), ("block-pairs", _block_pairs)):
-            labelled = stored(_labelled(wide.drop("blocks", "block"), links), f"gram-{name}")
-            links = links.unionByName(stored(_linked(docs, groups(labelled), n, percent), f"gram-links-{name}"))
+        # A set lies in one block, so its component there is its label.
+        found = _relabelled(wide.drop("blocks", "block").withColumn("label", F.col("node")), links)
+        across = stored(_linked(docs, _representatives(found), n, percent), "gram-links-representatives")
+        found = stored(_split(_relabelled(found, across)), "gram-split")
+        links = links.unionByName(across).unionByName(stored(_linked(docs, _block_pairs(found), n, percent), "gram-links-blocks"))
 
     joined = components(links, "gram-components")
     named = nodes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -428,16 +491,21 @@ def gram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     )
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of families that still fall into several components, with the component found so far."""
-    found = members.join(components(links, "gram-so-far"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    spread = found.groupBy("family").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    return found.join(spread.select("family"), "family")
+def _relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members whose label was linked to a smaller one take that; links: a (a label), b."""
+    new = links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "label")
+    return members.join(new, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+
+
+def _split(members: DataFrame) -> DataFrame:
+    """Members of families that still have several labels."""
+    spread = members.groupBy("family").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return members.join(spread.select("family"), "family")
 
 
 def _representatives(found: DataFrame) -> DataFrame:
     """One set of each component, in blocks of its family: most copies of a large family connect through these."""
-    reps = found.groupBy("family", "label").agg(F.min_by(F.struct("node", "doc_id", "n"), "node").alias("r")).select("family", "label", "r.*")
+    reps = found.groupBy("family", "label").agg(F.min_by(F.struct("node", "doc_id", "n"), F.col("node") != F.col("label")).alias("r")).select("family", "label", "r.*")
     return _blocks(reps, ["family"]).select("node", "doc_id", "label", F.xxhash64("family", "block", F.lit("r")).alias("grp"))
 
 
@@ -456,3 +524,16 @@ def _block_pairs(found: DataFrame) -> DataFrame:
     dealt = parts.join(counts, "family").withColumn("own", own).withColumn("other", F.explode(other))
     pair = F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other"), F.lit("p"))
     return dealt.select("node", "doc_id", "label", pair.alias("grp"))
+
+
+def first_of_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without near duplicates: of every component the one of smallest doc_id stays, with all columns.
+
+    Rows repeated with equal id and text become one; rows without doc_id and texts without words all stay.
+    """
+    found = gram_components(docs, n, percent)
+    stay = found.where("doc_id = component").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi")
+    copies = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
+    once = named.select(F.struct("*").alias("row"), copies.alias("nth")).where("nth = 1").select("row.*")
+    return once.unionByName(docs.where("doc_id is null"))
