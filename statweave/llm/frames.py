@@ -13,9 +13,9 @@ from statweave.session import materialized
 BATCH_ROWS = 1000
 
 
-def modest_batches(spark: SparkSession) -> None:
-    """Batches between the JVM and Python hold few rows, as one text may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def batch_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Batches between the JVM and Python hold few rows, as one text may be very long; narrow rows come in larger ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +27,8 @@ def with_bytes(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return docs.select(*keep, F.col(text).cast("binary").alias("text"))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    modest_batches(df.sparkSession)
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema, rows: int = BATCH_ROWS) -> DataFrame:
+    batch_rows(df.sparkSession, rows)
     return df.mapInArrow(fn, schema)
 
 
@@ -60,6 +60,24 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same components with fewer edges: each node of a batch with the smallest node it reaches in the batch."""
+    for batch in batches:
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            u, v = find(u), find(v)
+            up[max(u, v)] = min(u, v)
+        pairs = [(x, find(x)) for x in list(up)]
+        pairs = [(x, y) for x, y in pairs if x != y]
+        yield pa.record_batch([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["u", "v"])
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Smallest node that each node of an undirected graph reaches: columns node, root.
 
@@ -67,23 +85,22 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     star around its root. Each round is stored, so that its lineage stays short. A node with very many neighbours is only
     aggregated and joined, never gathered.
     """
-    spark = edges.sparkSession
-    current = stored(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name
-    )
-    before = None
-    while True:
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    down = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    # Each task first turns its own edges into stars.
+    current = stored(map_batches(down, _stars, "u long, v long", 50_000).distinct(), name)
+    print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = print_of(current)
+    while before[0]:
+        both = current.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         # Larger neighbours of u move to the least of u's neighbourhood.
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Smaller neighbours of u, and u, move to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
         current = stored(small.select("e.u", "e.v").where("u <> v").distinct(), name)
-        # Edges only ever move down; the same count and sums twice mean a fixed point.
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
-        if now == before or now[0] == 0:
+        now = print_of(current)
+        if now == before:  # edges only ever move down, so this is the end
             break
         before = now
     roots = current.select(F.col("u").alias("node"), F.col("v").alias("root"))

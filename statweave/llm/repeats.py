@@ -83,6 +83,9 @@ def collapsed(route: np.ndarray, key: np.ndarray, doc: np.ndarray, start: np.nda
     """Rows for the shuffle: the first of each key goes to its route; what repeats it here is settled (key null) and goes anywhere."""
     order, new = earliest([key], doc, start)
     route, key, doc, start, count = (x[order] for x in (route, key, doc, start, count))
+    once = new.copy()  # a row that is repeated with its id is the same place
+    once[1:] |= (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
+    route, key, doc, start, count, new = (x[once] for x in (route, key, doc, start, count, new))
     anywhere = kernel.mix(doc.astype(np.int64).view(np.uint64) ^ kernel.mix(start.astype(np.uint64)))
     return pa.record_batch(
         [
@@ -114,7 +117,7 @@ def _contexts(split: Callable[[np.ndarray, np.ndarray], Units], window: int, gra
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs by kind, from rows sorted by route, key, document and start. Only the open gram's first row is carried over."""
-    last: tuple[int, int] | None = None  # route and key of the row before
+    last: tuple[int, int, int, int] | None = None  # route, key, document and start of the row before
     waiting = None  # first row of a gram that has shown one context so far
     unpaired = None  # first row of a context that has shown one member so far
 
@@ -136,7 +139,10 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new_key = new_route | (keys != before_key)
             if last is None:
                 new_route[0] = new_key[0] = True
-            pick(np.flatnonzero(~new_key), REPEATED)
+            before_doc = np.concatenate([[last[2] if last else 0], cols["doc_id"][:-1]])
+            before_start = np.concatenate([[last[3] if last else 0], cols["start"][:-1]])
+            elsewhere = (cols["doc_id"] != before_doc) | (cols["start"] != before_start)
+            pick(np.flatnonzero(~new_key & elsewhere), REPEATED)
             # Contexts that turn out to have a second member.
             if unpaired is not None:
                 if not new_key[0]:
@@ -161,7 +167,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pick(heads[several[gram[heads]]], UNDECIDED)
             if not (opened and gram[-1] == 0):
                 waiting = row(int(heads[-1])) if not several[-1] else None
-            last = (int(cols["route"][-1]), int(keys[-1]))
+            last = (int(cols["route"][-1]), int(keys[-1]), int(cols["doc_id"][-1]), int(cols["start"][-1]))
         doc, start, count, kind = (np.concatenate(x) for x in zip(*out))
         yield pa.record_batch(
             {"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int32()), "count": pa.array(count, pa.int32()), "kind": pa.array(kind, pa.int8())}
