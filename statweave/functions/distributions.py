@@ -13,84 +13,83 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz iteration)."""
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta function (modified Lentz iteration), all elements at once."""
     tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    result = d
+    away = lambda v: np.where(np.abs(v) > tiny, v, tiny)
+    c, d = np.ones_like(x), 1.0 / away(1.0 - (a + b) * x / (a + 1.0))
+    result = d.copy()
     for m in range(1, 1000):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         for term in (even, odd):
-            d = 1.0 + term * d
-            c = 1.0 + term / c
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            result *= c * d
-        if abs(c * d - 1.0) < 1e-15:
+            d = 1.0 / away(1.0 + term * d)
+            c = away(1.0 + term / c)
+            result = result * c * d
+        if np.all(np.abs(c * d - 1.0) < 1e-15):
             break
     return result
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    log_front = (
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(log_front) * _beta_fraction(a, b, x) / a
-    return 1.0 - math.exp(log_front) * _beta_fraction(b, a, 1.0 - x) / b
-
-
-def two_sided_p(t: float, df: float) -> float:
-    """P(|T| >= |t|) for Student's t."""
-    if t is None or df is None or math.isnan(t) or math.isnan(df) or df <= 0:
-        return math.nan
-    if math.isinf(t):
-        return 0.0
-    return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
-
-
-def t_quantile(confidence: float, df: float) -> float:
-    """Half width of the central interval in standard errors, by bisection."""
-    low, high = 0.0, 1.0
-    while two_sided_p(high, df) > 1.0 - confidence:
-        high *= 2.0
-    for _ in range(200):
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Evaluated once per distinct argument."""
+    values, where = np.unique(x, return_inverse=True)
+    return np.array([math.lgamma(v) for v in values])[where]
+
+
+def incomplete_beta(a, b, x) -> np.ndarray:
+    a, b, x = (np.atleast_1d(v).astype(float) for v in np.broadcast_arrays(a, b, x))
+    out = np.where(x >= 1.0, 1.0, 0.0)
+    inside = (x > 0.0) & (x < 1.0)
+    a, b, x = a[inside], b[inside], x[inside]
+    if len(x):
+        front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(x) + b * np.log1p(-x))
+        low = x < (a + 1.0) / (a + b + 2.0)
+        # The fraction converges fast on one side; the other side is its complement.
+        p, q, y = np.where(low, a, b), np.where(low, b, a), np.where(low, x, 1.0 - x)
+        part = front * _beta_fraction(p, q, y) / p
+        out[inside] = np.where(low, part, 1.0 - part)
+    return out
+
+
+def two_sided_p(t, df) -> np.ndarray:
+    """P(|T| >= |t|) for Student's t; not a number where either is missing or df is not positive."""
+    t, df = (np.atleast_1d(v).astype(float) for v in np.broadcast_arrays(t, df))
+    known = ~np.isnan(t) & (df > 0)
+    n, s = np.where(known, df, 1.0), np.where(known & np.isfinite(t), t, 0.0)
+    p = incomplete_beta(n / 2.0, 0.5, n / (n + s * s))
+    return np.where(known, np.where(np.isinf(t), 0.0, p), np.nan)
+
+
+def t_quantile(confidence, df) -> np.ndarray:
+    """Half width of the central interval in standard errors, by bisection, once per distinct pair."""
+    pairs, where = np.unique(np.stack(np.broadcast_arrays(np.atleast_1d(confidence), np.atleast_1d(df))).astype(float), axis=1, return_inverse=True)
+    level, n = pairs
+    low, high = np.zeros_like(n), np.ones_like(n)
+    while (wide := two_sided_p(high, n) > 1.0 - level).any():
+        high = np.where(wide, high * 2.0, high)
+    for _ in range(80):
         middle = (low + high) / 2.0
-        if two_sided_p(middle, df) > 1.0 - confidence:
-            low = middle
-        else:
-            high = middle
-    return (low + high) / 2.0
+        above = two_sided_p(middle, n) > 1.0 - level
+        low, high = np.where(above, middle, low), np.where(above, high, middle)
+    return np.where(n > 0, (low + high) / 2.0, np.nan)[where.ravel()]
 
 
 @F.pandas_udf(T.DoubleType())
 def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([two_sided_p(x, n) for x, n in zip(t.astype(float), df.astype(float))], dtype=float)
+    return pd.Series(two_sided_p(t.to_numpy(float), df.to_numpy(float)) if len(t) else [], dtype=float)
 
 
 @F.pandas_udf(T.DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a correlation from n matched observations."""
-    out = []
-    for x, size in zip(r.astype(float), n.astype(float)):
-        if np.isnan(x) or size < 3:
-            out.append(math.nan)
-        elif size == 2 or 1.0 - x * x <= 0.0:
-            out.append(0.0)
-        else:
-            out.append(two_sided_p(x * math.sqrt((size - 2.0) / ((1.0 - x) * (1.0 + x))), size - 2.0))
-    return pd.Series(out, dtype=float)
+    x, size = r.to_numpy(float), n.to_numpy(float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(1.0 - x * x <= 0.0, np.inf, x * np.sqrt((size - 2.0) / ((1.0 - x) * (1.0 + x))))
+    p = two_sided_p(np.where(np.isnan(x), np.nan, t), size - 2.0) if len(x) else []
+    return pd.Series(p, dtype=float)
 
 
 @F.pandas_udf(T.DoubleType())
 def t_half_width(confidence: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series(
-        [t_quantile(c, n) if n and n > 0 else math.nan for c, n in zip(confidence.astype(float), df.astype(float))],
-        dtype=float,
-    )
+    return pd.Series(t_quantile(confidence.to_numpy(float), df.to_numpy(float)) if len(df) else [], dtype=float)

@@ -12,10 +12,10 @@ _SPACES = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-_CLEAN_EDGES = r"^[!-~](?:.*[!-~])?$"
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_PLAIN_DATE = r"^\d{4}-\d{2}-\d{2}$"
-_OTHER_SHAPE = r"(?s)^(?!\d{4}(-\d{1,2}(-\d{1,2}([T ]\d.*)?)?)?$).*$"
+_CLEAN_EDGES = r"(?s)\A[!-~](?:.*[!-~])?\z"
+_NUMBER = r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
+_PLAIN_DATE = r"\A\d{4}-\d{2}-\d{2}\z"
+_OTHER_SHAPE = r"(?s)\A(?!\d{4}(-\d{1,2}(-\d{1,2}([T ]\d.*)?)?)?\z).*\z"
 
 
 def strip(c: Column) -> Column:
@@ -49,12 +49,23 @@ def iso_date(c: Column) -> Column:
 
 
 def _instant_date(c: Column) -> Column:
+    clock = r"[T ][\d:.]{1,20}"
     rewrites = [
-        (r"^(\d{4})[/. ](\d{1,2})[/. ](\d{1,2})", "$1-$2-$3"),
-        (r"^(\d{4})(\d{2})(\d{2})(T|$)", "$1-$2-$3$4"),
-        (r"(:\d\d[+-]\d{2})(\d{2})$", "$1:$2"),
-        (r"([T ]\d{2})$", "$1:00"),
-        (r"(:\d{2}[+-]\d{2})$", "$1:00"),
+        # Dates: other separators, none at all, and year with month.
+        (r"\A(\d{4})([/. ])(\d{1,2})\2(\d{1,2})(?=\z|[T ])", "$1-$3-$4"),
+        (r"\A(\d{4})[/. ](\d{1,2})\z", "$1-$2"),
+        (r"\A(\d{4})(\d{2})(\d{2})(?=\z|[T ])", "$1-$2-$3"),
+        # Times without colons.
+        (r"(?<=\d)([T ]\d{2})(\d{2})(\d{2})(?=\z|[Z. +-])", "$1:$2:$3"),
+        (r"(?<=\d)([T ]\d{2})(\d{2})(?=\z|[Z +-])", "$1:$2"),
+        # Offsets: a space before them, one digit, no colon, hours only.
+        (rf"(?<={clock}) (?=[+-]\d|Z)", ""),
+        (rf"(?<={clock}[+-])(\d)\z", "0$1"),
+        (rf"(?<={clock}[+-]\d\d)(\d\d)\z", ":$1"),
+        (rf"(?<={clock}[+-]\d\d)\z", ":00"),
+        # Minutes and seconds that are left out.
+        (r"(?<=\d)([T ]\d{1,2})(?=\z|[Z+-])", "$1:00"),
+        (r"(?<=\d)([T ]\d{1,2}:\d{1,2})(?=\z|[Z+-])", "$1:00"),
     ]
     text = c
     for pattern, replacement in rewrites:

@@ -7,12 +7,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.periods import range_predicate
 from ..functions.distributions import correlation_p, t_half_width, t_two_sided_p
 from .ranking import average_rank
 from .series import finite, fractional_change, along
+from ..session import materialized
 from .validate import ContractError
 
-MATRIX_BLOCK = 200  # pairs aggregated per pass
+MATRIX_BLOCK = 200  # pairs aggregated per pass over the stored frame
 
 
 def matched_pairs(fact: DataFrame, indicator_a: str, indicator_b: str, geography: str | None = None) -> DataFrame:
@@ -39,19 +41,26 @@ def side_profile(fact: DataFrame, indicator: str, geography: str) -> DataFrame:
     return rows.select("dataset", "frequency", "unit").distinct()
 
 
-def compare(fact: DataFrame, indicator_a: str, indicator_b: str, geography: str) -> DataFrame:
-    """Matched values of two series; each side must be one source, frequency and unit."""
+def compare(fact: DataFrame, indicator_a: str, indicator_b: str, geography: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Matched values of two series in a period range; each side must be one source, frequency and unit."""
+    fact = fact.filter(range_predicate(F.col("period"), start, end))
     sides = []
     for indicator in (indicator_a, indicator_b):
         found = side_profile(fact, indicator, geography).limit(2).collect()
         if len(found) > 1:
-            raise ContractError("Comparison requires one source, frequency and unit per indicator.")
+            raise ContractError(f"{indicator} has several sources, frequencies or units there; choose one.")
         sides.append(found)
     if all(sides) and sides[0][0].frequency != sides[1][0].frequency:
-        raise ContractError("Compare indicators with identical frequency.")
+        raise ContractError("The two indicators are published at different frequencies.")
     return matched_pairs(fact, indicator_a, indicator_b, geography).select("period", "value_a", "value_b")
 
 
+def comparison(fact: DataFrame, indicator_a: str, indicator_b: str, geography: str, start: str | None = None, end: str | None = None) -> dict:
+    """A comparison with its status and both correlations (one row; null below three pairs or with a constant side)."""
+    rows = compare(fact, indicator_a, indicator_b, geography, start, end)
+    return {"status": "unavailable" if rows.isEmpty() else "available", "rows": rows, "correlation": with_p_values(correlations(rows, [], 3))}
+
+
 def pearson(x: Column, y: Column) -> Column:
     """Correlation over the rows that hold both values; null for a constant side.
 
@@ -113,8 +122,10 @@ def pearson_matrix(frame: DataFrame, groups: list[str], columns: list[str], mini
     Every pair is one aggregate of the same scan, so rows are neither joined nor
     repeated; with many columns the pairs go through in blocks.
     """
-    parts = []
-    for block in _pair_blocks(columns):
+    parts, blocks = [], _pair_blocks(columns)
+    if len(blocks) > 1:  # evaluated once, read once per block
+        frame = materialized(frame.select(*groups, *columns), "matrix")
+    for block in blocks:
         stats = []
         for i, (a, b) in enumerate(block):
             x, y = F.col(a), F.col(b)
@@ -150,8 +161,10 @@ def spearman_matrix(frame: DataFrame, groups: list[str], columns: list[str], min
     values once per pair of named columns; a group's matched rows are bounded by the
     calendar.
     """
-    parts = []
-    for block in _pair_blocks(columns):
+    parts, blocks = [], _pair_blocks(columns)
+    if len(blocks) > 1:
+        frame = materialized(frame.select(*groups, *columns), "matrix")
+    for block in blocks:
         entries = [
             F.when(
                 F.col(a).isNotNull() & F.col(b).isNotNull(),

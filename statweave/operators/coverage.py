@@ -102,7 +102,7 @@ def missing_series(dictionary: DataFrame, fact: DataFrame) -> DataFrame:
     return dictionary.join(fact.select("indicator").distinct(), "indicator", "left_anti")
 
 
-def homogeneity(fact: DataFrame, keys: list[str], limit: int = 2400) -> DataFrame:
+def homogeneity(fact: DataFrame, keys: list[str]) -> DataFrame:
     """Whether each selection is one clean monthly series; the first failed test gives the reason.
 
     The distinct counts run on months already reduced to one row per attribute
@@ -120,8 +120,7 @@ def homogeneity(fact: DataFrame, keys: list[str], limit: int = 2400) -> DataFram
         F.count_distinct("month").alias("months"),
     )
     reason = (
-        F.when(F.col("observations") > limit, "exceeds_limit")
-        .when((F.col("frequencies") != 1) | ~F.lower("frequency").isin("monthly", "m"), "not_monthly")
+        F.when((F.col("frequencies") != 1) | ~F.lower("frequency").isin("monthly", "m"), "not_monthly")
         .when((F.col("units") != 1) | (F.col("datasets") != 1), "mixed_source_or_unit")
         .when(F.col("months") != F.col("observations"), "duplicate_periods")
     )

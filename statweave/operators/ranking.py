@@ -22,22 +22,25 @@ def positions_by(df: DataFrame, groups: list[str], order: list[Column], ranges:
     """
     spark = df.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialized(
-        df.repartitionByRange(n, *[F.col(g) for g in groups], *order).withColumn("_range", F.spark_partition_id()), "ranges"
-    )
+    keys = [*[F.col(g) for g in groups], *order]
+    # Ordered inside its range, a row's number there needs no further shuffle: the id counts rows of a partition.
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    ranged = materialized(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
     below = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    # A row per group and range: how many rows come before it, and where its numbers begin.
+    shifts = (
         ranged.groupBy(*groups, "_range")
-        .agg(F.count("*").alias("_n"))
-        .select(*groups, "_range", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_offset"))
-    )
-    inside = Window.partitionBy(*groups, "_range").orderBy(*order)
-    return (
-        ranged.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, [*groups, "_range"])
-        .withColumn("position", F.col("_offset") + F.col("_inside"))
-        .drop("_range", "_offset", "_inside")
+        .agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+        .select(
+            *[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_range").alias("_r"),
+            (F.coalesce(F.sum("_n").over(below), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
+        )
     )
+    same = F.col("_range") == F.col("_r")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    joined = ranged.join(shifts, same).withColumn("position", F.col("_id") + F.col("_shift"))
+    return joined.drop("_id", "_range", "_r", "_shift", *[f"_g_{g}" for g in groups])
 
 
 def ranking(df: DataFrame, groups: list[str], value: str = "value", ties: list[str] | None = None) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.periods import range_predicate
 from ..schema import KEY
+from .ranking import positions_by
 from .series import transform
-from .validate import ContractError
 
 # Keyword topics; each term is matched inside dataset or indicator names.
 TOPICS = {
@@ -72,11 +72,39 @@ def timeseries(
 
 
 def page(df: DataFrame, order: list[str | Column], limit: int | None, offset: int = 0) -> DataFrame:
-    """Ordered slice; Spark keeps only offset+limit rows per task when a limit is given."""
-    ordered = df.orderBy(*order)
-    if offset:
-        ordered = ordered.offset(offset)
-    return ordered.limit(limit) if limit is not None else ordered
+    """Ordered slice.
+
+    With a limit Spark keeps only offset+limit rows per task.  Without one, rows are
+    numbered across range partitions, so that no task holds all that is left.
+    """
+    if limit is not None:
+        ordered = df.orderBy(*order)
+        return (ordered.offset(offset) if offset else ordered).limit(limit)
+    if not offset:
+        return df.orderBy(*order)
+    numbered = positions_by(df, [], [F.col(c) if isinstance(c, str) else c for c in order])
+    return numbered.filter(F.col("position") > offset).drop("position").orderBy(*order)
+
+
+def page_after(df: DataFrame, keys: list[str], after: dict | None, limit: int) -> DataFrame:
+    """The next rows behind a given key, in ascending order: a deep page costs no more than the first."""
+    if after:
+        beyond = F.lit(False)
+        for i, k in enumerate(keys):
+            same = reduce(lambda a, b: a & b, [F.col(c) == F.lit(after[c]) for c in keys[:i]], F.lit(True))
+            beyond = beyond | (same & (F.col(k) > F.lit(after[k])))
+        df = df.filter(beyond)
+    return df.orderBy(*keys).limit(limit)
+
+
+def timeseries_page(fact: DataFrame, indicator: str, geography: str, *, how: str = "raw", limit: int = 500, offset: int = 0, **options) -> dict:
+    """A page of ``timeseries`` with what describes it: the number of all rows, the page borders and the transform."""
+    rows = timeseries(fact, indicator, geography, how=how, limit=None, **options)
+    total = rows.count()
+    return {
+        "status": "available" if total else "unavailable", "total": total, "limit": limit, "offset": offset, "transform": how,
+        "rows": timeseries(fact, indicator, geography, how=how, limit=limit, offset=offset, **options),
+    }
 
 
 def sorted_by(df: DataFrame, column: str, descending: bool = False, tie_break: list[str] = KEY) -> DataFrame:
@@ -90,11 +118,9 @@ def availability(df: DataFrame) -> str:
     return "unavailable" if df.isEmpty() else "available"
 
 
-def bounded(df: DataFrame, cap: int, message: str) -> DataFrame:
-    """Refuse a result of more than ``cap`` rows; the probe reads at most cap+1 rows."""
-    if df.limit(cap + 1).count() > cap:
-        raise ContractError(message)
-    return df
+def snapshot(df: DataFrame) -> DataFrame:
+    """Everything a workspace shows, in the order of its key; of any size."""
+    return df.orderBy(*KEY)
 
 
 def topic_predicate(topic: str, topics: dict[str, tuple[str, ...]] = TOPICS) -> Column:
@@ -132,10 +158,10 @@ def subject_rows(
     """
     if subject in ("overview", "geographies"):
         return rows.filter(F.col("geography") == F.lit(geography))
-    wanted = dictionary.filter(
-        (F.col("domain") == F.lit(subject)) | F.col("indicator").isin((extra or {}).get(subject, []))
-    ).select("indicator").distinct()
-    return rows.join(wanted, "indicator", "left_semi")
+    wanted = dictionary.filter(F.col("domain") == F.lit(subject)).select("indicator", F.lit(True).alias("_wanted")).distinct()
+    # An extra indicator counts by its own name, whether or not the dictionary knows it.
+    added = F.col("indicator").isin((extra or {}).get(subject, []))
+    return rows.join(wanted, "indicator", "left").filter(F.col("_wanted").isNotNull() | added).drop("_wanted")
 
 
 def search(df: DataFrame, text: str) -> DataFrame:

@@ -201,22 +201,21 @@ def sparkline(df: DataFrame, points: int = 16, keys: list[str] = SERIES) -> Data
 
 
 def densify(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
-    """Calendar periods a series skipped, as rows with a null value.
+    """All observations, and the calendar periods a series skipped as rows with a null value.
 
-    Months when any period falls outside January, else years.  Only for display: no
-    value is ever invented.
+    Only series whose periods all are first days of a month have a calendar: months when
+    any period falls outside January, else years.  Only for display: no value is ever invented.
     """
     span = df.groupBy(*keys).agg(
         F.min("period").alias("_lo"),
         F.max("period").alias("_hi"),
         F.max((F.month("period") != 1)).alias("_monthly"),
+        F.max((F.dayofmonth("period") != 1)).alias("_daily"),
     )
-    calendar = span.select(
-        *keys,
-        F.explode(
-            F.when(F.col("_monthly"), F.expr("sequence(_lo, _hi, interval 1 month)")).otherwise(
-                F.expr("sequence(_lo, _hi, interval 1 year)")
-            )
-        ).alias("period"),
+    step = F.when(F.col("_monthly"), F.expr("sequence(_lo, _hi, interval 1 month)")).otherwise(
+        F.expr("sequence(_lo, _hi, interval 1 year)")
     )
-    return calendar.join(df.select(*keys, "period", "value"), [*keys, "period"], "left")
+    calendar = span.filter("not _daily").select(*keys, F.explode(step).alias("period"))
+    skipped = calendar.join(df.select(*keys, "period"), [*keys, "period"], "left_anti")
+    value = dict(df.dtypes)["value"]
+    return df.select(*keys, "period", "value").unionByName(skipped.withColumn("value", F.lit(None).cast(value)))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.parse import finite_number, iso_date, strip
 from ..schema import COLUMNS, EXTREME_VALUE, FREQUENCIES, KEY
@@ -57,10 +58,11 @@ def _tests(source_url: str) -> dict[str, Column]:
 def typed(raw: DataFrame, source_url: str) -> DataFrame:
     """Stripped text -> typed columns plus ``blanks``, ``valid`` and ``reasons``.
 
-    Narrow projections: no shuffle, no Python.  ``reasons`` is only computed where a
-    query reads it.
+    Narrow projections: no shuffle, no Python.  ``reasons``, and ``text``, the cells as
+    they came, are only computed where a query reads them.
     """
-    stripped = strip_fields(raw).withColumn("blanks", blank_cells())
+    text = F.struct(*COLUMNS).alias("text")
+    stripped = strip_fields(raw.withColumn("text", text)).withColumn("blanks", blank_cells())
     parsed = stripped.withColumns(
         {"period": iso_date(F.col("period")), "value": finite_number(F.col("value"))}
     )
@@ -79,7 +81,7 @@ def valid_rows(typed_rows: DataFrame) -> DataFrame:
     A plain filter would be pushed below the parsing and repeat it inside the
     condition; emitting zero or one row after the parsing evaluates it once.
     """
-    row = F.struct(*[F.col(c) for c in typed_rows.columns if c not in ("valid", "reasons")])
+    row = F.struct(*[F.col(c) for c in typed_rows.columns if c not in ("valid", "reasons", "text")])
     return typed_rows.select(F.explode(F.when(F.col("valid"), F.array(row))).alias("r")).select("r.*")
 
 
@@ -92,6 +94,15 @@ def reject_reasons(typed_rows: DataFrame) -> DataFrame:
     )
 
 
+REJECTED = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS] + [T.StructField("reasons", T.ArrayType(T.StringType()))])
+
+
+def rejected_rows(typed_rows: DataFrame) -> DataFrame:
+    """Every row that fails, as the text it was, with all its reasons."""
+    failed = F.when(~F.col("valid"), F.array(F.struct("text", "reasons")))
+    return typed_rows.select(F.explode(failed).alias("r")).select("r.text.*", "r.reasons")
+
+
 def keep_first(rows: DataFrame, sequence: list[str], keys: list[str] = KEY) -> DataFrame:
     """One row per key: the earliest by ``sequence``.
 

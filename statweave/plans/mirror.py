@@ -13,7 +13,7 @@ from ..operators.coverage import coverage_table
 from ..operators.merge import insert_absent, upsert
 from ..operators.validate import require_empty
 from ..schema import FACT_COLUMNS, FACT_SCHEMA, KEY
-from ..sources.commits import Commits, SnapshotTable, YearTable, years_of
+from ..sources.commits import Commits, PartTable, write_beside
 
 MIRROR_COLUMNS = [c for c in FACT_COLUMNS if c != "ingestion_id"]
 
@@ -29,55 +29,77 @@ _COVERAGE = T.StructType(
 )
 
 
-class MirrorFacts:
-    """The mirrored observations; an upsert rewrites only the years it touches."""
+_DIMENSIONS = {
+    "dim_dataset": _strings("dataset", "source_url", "license", "last_completed_at"),
+    "dim_indicator": _strings("indicator", "description"),
+    "dim_geography": _strings("geography", "parent", "geographic_level"),
+    "indicator_coverage": _COVERAGE,
+}
+BUCKETS = 8
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.table = YearTable(spark, root, T.StructType([FACT_SCHEMA[c] for c in MIRROR_COLUMNS]))
-        self.commits = Commits(spark, f"{root}/commits")
+
+class Mirror:
+    """Facts in parts by year and series bucket, dimensions and coverage; one commit record names the current state of all."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.commits = Commits(spark, f"{self.root}/commits")
+        buckets = self._state().get("buckets", buckets)
+        self.facts = PartTable(spark, f"{self.root}/fact_observation", T.StructType([FACT_SCHEMA[c] for c in MIRROR_COLUMNS]), buckets)
 
     def _state(self) -> dict:
-        return self.commits.latest() or {"version": 0, "years": {}}
+        return self.commits.latest() or {"version": 0, "parts": {}, "tables": {}}
 
-    def read(self) -> DataFrame:
-        return self.table.read(self._state()["years"])
+    def fact(self) -> DataFrame:
+        return self.facts.read(self._state()["parts"])
 
-    def upsert(self, batch: DataFrame) -> None:
-        state, years = self._state(), years_of(batch)
-        if not years:
-            return
-        version = state["version"] + 1
-        target = f"{version}-{uuid.uuid4().hex[:8]}"
-        merged = upsert(self.table.read(state["years"], years), batch.select(*MIRROR_COLUMNS), KEY, MIRROR_COLUMNS)
-        self.table.write(merged, target)
-        self.commits.publish(version, {"years": {**state["years"], **{y: target for y in years}}})
+    def table(self, name: str) -> DataFrame:
+        """``dim_dataset``, ``dim_indicator``, ``dim_geography`` or ``indicator_coverage``."""
+        return self._table(self._state(), name)
 
+    def _table(self, state: dict, name: str) -> DataFrame:
+        data = state["tables"].get(name)
+        schema = _DIMENSIONS[name]
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{data}") if data else self.spark.createDataFrame([], schema)
 
-class Mirror:
-    def __init__(self, spark: SparkSession, root: str):
-        table = lambda name, schema: SnapshotTable(spark, f"{root.rstrip('/')}/{name}", schema)
-        self.fact = MirrorFacts(spark, f"{root.rstrip('/')}/fact_observation")
-        self.datasets = table("dim_dataset", _strings("dataset", "source_url", "license", "last_completed_at"))
-        self.indicators = table("dim_indicator", _strings("indicator", "description"))
-        self.geographies = table("dim_geography", _strings("geography", "parent", "geographic_level"))
-        self.coverage = table("indicator_coverage", _COVERAGE)
+    def _publish(self, state: dict, parts: dict, tables: dict) -> None:
+        self.commits.publish(
+            state["version"] + 1,
+            {"parts": {**state["parts"], **parts}, "tables": {**state["tables"], **tables}, "buckets": self.facts.buckets},
+        )
+
+    def _merged(self, state: dict, batch: DataFrame) -> dict[str, str]:
+        """Write the touched parts with the batch merged in; which versions they are."""
+        touched = self.facts.parts_of(batch)
+        if not touched:
+            return {}
+        version = f"{state['version'] + 1}-{uuid.uuid4().hex[:8]}"
+        old = self.facts.read(state["parts"], touched)
+        self.facts.write(upsert(old, batch.select(*MIRROR_COLUMNS), KEY, MIRROR_COLUMNS), version)
+        return dict.fromkeys(touched, version)
 
     def load(self, fact: DataFrame, manifests: DataFrame) -> None:
-        """Every source needs a manifest; then dimensions, facts and coverage follow."""
+        """Every source needs a manifest; dimensions, facts and coverage then change together, by one commit."""
         require_empty(catalog.without_provenance(fact, manifests), "No provenance manifest")
+        state = self._state()
         sources = catalog.provenance(fact, manifests).select("dataset", "source_url", "license", "last_completed_at")
-        self.datasets.replace(upsert(self.datasets.read(), sources, ["dataset", "source_url"]))
-        self.indicators.replace(insert_absent(self.indicators.read(), fact, "indicator"))
-        places = insert_absent(self.geographies.read(), fact, "geography")
-        self.geographies.replace(
-            places.withColumn("geographic_level", F.coalesce("geographic_level", F.lit("national")))
-        )
-        self.upsert_facts(fact)
-        self.refresh_coverage()
+        places = insert_absent(self._table(state, "dim_geography"), fact, "geography")
+        parts = self._merged(state, fact)
+        merged = self.facts.read({**state["parts"], **parts})
+        content = {
+            "dim_dataset": upsert(self._table(state, "dim_dataset"), sources, ["dataset", "source_url"]),
+            "dim_indicator": insert_absent(self._table(state, "dim_indicator"), fact, "indicator"),
+            "dim_geography": places.withColumn("geographic_level", F.coalesce("geographic_level", F.lit("national"))),
+            "indicator_coverage": coverage_table(merged),
+        }
+        tables = {name: write_beside(df, f"{self.root}/{name}", _DIMENSIONS[name]) for name, df in content.items()}
+        self._publish(state, parts, tables)
 
     def upsert_facts(self, batch: DataFrame) -> None:
-        """Value, URL and version follow the batch; replaying a batch changes nothing."""
-        self.fact.upsert(batch)
-
-    def refresh_coverage(self) -> None:
-        self.coverage.replace(coverage_table(self.fact.read()))
+        """Value, URL and version follow the batch, coverage with them; replaying a batch changes nothing."""
+        state = self._state()
+        parts = self._merged(state, batch)
+        if parts:
+            merged = self.facts.read({**state["parts"], **parts})
+            coverage = write_beside(coverage_table(merged), f"{self.root}/indicator_coverage", _COVERAGE)
+            self._publish(state, parts, {"indicator_coverage": coverage})

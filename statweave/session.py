@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,7 @@ def local_session(cpus: str | int = "*", app: str = "statweave", shuffle_partiti
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.files.openCostInBytes", "256k")  # small files are split between the cores as well
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
@@ -33,13 +35,17 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests, local runs) a local folder is made.
+    A session on one machine (tests, local runs) that names none gets a folder of its own. On a cluster such a folder
+    would be a different one on every machine, so there a missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     current = spark.sparkContext.getCheckpointDir()
     if not configured and not current:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         current = tempfile.mkdtemp(prefix="statweave-")
         spark.sparkContext.setCheckpointDir(current)
     elif configured and not current:
@@ -65,11 +71,3 @@ def materialized(df: DataFrame, name: str = "table") -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Share an under-split source (one file, compressed files) between the cores before heavy parsing.
-
-    A source that already comes in enough splits, as any large one does, is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -11,10 +11,13 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..schema import SERIES
+
 
 class Commits:
     def __init__(self, spark: SparkSession, folder: str):
@@ -57,33 +60,55 @@ class Commits:
         self._write(self._path("failed", f"{run}.json"), {**record, "status": "failed", "ingestion_id": run})
 
     def publish(self, number: int, record: dict) -> None:
-        fs = self._fs()
+        """Make a record current; the rename refuses a number that exists, so one of two writers fails."""
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri(), self._conf)
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.NONE
         aside, target = self._path(f"_{uuid.uuid4().hex}.tmp"), self._path(f"{number:010d}.json")
         self._write(aside, {**record, "version": number})
-        if fs.exists(target) or not fs.rename(aside, target):
-            fs.delete(aside, False)
-            raise RuntimeError(f"Version {number} was committed by another writer")
+        try:
+            context.rename(aside, target, options)
+        except Py4JJavaError as error:
+            self._fs().delete(aside, False)
+            raise RuntimeError(f"Version {number} was committed by another writer") from error
 
 
-class YearTable:
-    """Rows partitioned by year; a write adds a version holding only the years it touches.
+class PartTable:
+    """Rows in parts, a part being a year and a bucket of the series key; a write adds a version of the parts it touches.
 
-    Which version of a year counts is the caller's ``versions`` map (year -> version),
-    kept in a commit record.
+    Which version of a part counts is the caller's ``parts`` map ("year/bucket" -> version), kept in a commit record,
+    and so is the number of buckets.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, buckets: int):
+        self.spark, self.root, self.schema, self.buckets = spark, root.rstrip("/"), schema, buckets
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*SERIES), F.lit(self.buckets)).cast("int")
 
-    def read(self, versions: dict[str, str], years: list[str] | None = None) -> DataFrame:
-        wanted = [y for y in (versions if years is None else years) if y in versions]
-        if not wanted:
+    def parts_of(self, batch: DataFrame) -> list[str]:
+        """Parts that a batch touches: at most one for each calendar year and bucket."""
+        found = batch.select(F.year("period").alias("y"), self.bucket().alias("b")).distinct().collect()
+        return sorted(f"{r.y}/{r.b}" for r in found)
+
+    def read(self, parts: dict[str, str], wanted: list[str] | None = None) -> DataFrame:
+        chosen = [p for p in (parts if wanted is None else wanted) if p in parts]
+        if not chosen:
             return self.spark.createDataFrame([], self.schema)
-        paths = [f"{self.root}/version={versions[y]}/partition_year={y}" for y in wanted]
+        paths = [f"{self.root}/version={parts[p]}/partition_year={p.split('/')[0]}/bucket={p.split('/')[1]}" for p in chosen]
         return self.spark.read.schema(self.schema).parquet(*paths)
 
     def write(self, rows: DataFrame, version: str) -> None:
-        write_by_year(rows, f"{self.root}/version={version}")
+        """A rebalance keeps a crowded part in several files of even size."""
+        (
+            rows.withColumns({"partition_year": F.year("period"), "bucket": self.bucket()})
+            .hint("rebalance", "partition_year", "bucket")
+            .sortWithinPartitions("partition_year", "bucket", "indicator", "geography", "period")
+            .write.partitionBy("partition_year", "bucket")
+            .option("compression", "zstd")
+            .parquet(f"{self.root}/version={version}")
+        )
 
 
 def write_by_year(rows: DataFrame, path: str) -> None:
@@ -98,27 +123,8 @@ def write_by_year(rows: DataFrame, path: str) -> None:
     )
 
 
-def years_of(batch: DataFrame) -> list[str]:
-    """Calendar years of a batch; at most one entry per year of the accepted date range."""
-    return sorted(str(r.y) for r in batch.select(F.year("period").alias("y")).distinct().collect())
-
-
-class SnapshotTable:
-    """A table replaced as a whole by each commit."""
-
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        self.commits = Commits(spark, f"{self.root}/commits")
-
-    def read(self) -> DataFrame:
-        state = self.commits.latest()
-        if state is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{state['data']}")
-
-    def replace(self, df: DataFrame) -> None:
-        """Write the new content beside the old and switch; reading the old content meanwhile is safe."""
-        number = (self.commits.latest() or {"version": 0})["version"] + 1
-        data = f"data/{number:010d}-{uuid.uuid4().hex[:8]}"
-        df.select(*[f.name for f in self.schema.fields]).write.option("compression", "zstd").parquet(f"{self.root}/{data}")
-        self.commits.publish(number, {"data": data})
+def write_beside(df: DataFrame, root: str, schema: T.StructType) -> str:
+    """The whole content of a small table as a new folder below root; a commit record makes it current."""
+    data = f"data/{uuid.uuid4().hex}"
+    df.select(*[f.name for f in schema.fields]).write.option("compression", "zstd").parquet(f"{root}/{data}")
+    return data

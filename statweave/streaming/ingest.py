@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,37 +11,35 @@ from pyspark.sql import functions as F
 from ..operators import validate as V
 from ..plans.mirror import MIRROR_COLUMNS, Mirror
 from ..plans.warehouse import Metadata, Warehouse
-from ..schema import FACT_SCHEMA, KEY, RAW_SCHEMA
-from ..session import scratch_path
+from ..schema import FACT_SCHEMA, KEY
+from ..sources.files import read_csv
 
 
-def csv_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
-    """Canonical CSV files of a folder as a stream of text rows with their place in the file."""
-    rows = (
-        spark.readStream.schema(RAW_SCHEMA)
-        .options(header=True, enforceSchema=False, quote='"', escape='"', maxFilesPerTrigger=files_per_trigger)
-        .csv(folder)
-    )
-    return rows.select(
-        "*", F.col("_metadata.file_path").alias("s_file"), F.col("_metadata.file_block_start").alias("s_block")
-    )
+def file_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+    """The files of a folder as a stream of paths; no content is read here."""
+    listing = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return listing.option("maxFilesPerTrigger", files_per_trigger).load(folder).select("path")
 
 
-def stage_stream(rows: DataFrame, source_url: str, staging: str, checkpoint: str):
-    """Stage every micro-batch under its batch id, so a replay overwrites itself.
+def stage_stream(paths: DataFrame, source_url: str, folder: str):
+    """Stage the canonical CSV files of every micro-batch under its batch id, so a replay overwrites itself.
 
-    A batch is reduced to first occurrences on its own; what repeats between batches
-    is settled once, by ``settle``, instead of looking up all earlier batches in each.
+    Files are read like a batch source, quoted line breaks and further columns included.
+    A micro-batch is reduced to first occurrences on its own; what repeats between them
+    is settled once, by ``settle``, instead of looking up all earlier ones in each.
     """
+    spark = paths.sparkSession
 
     def stage(batch: DataFrame, batch_id: int) -> None:
-        ordered = batch.withColumn("s_row", F.monotonically_increasing_id())
-        staged = V.staged(V.typed(ordered, source_url), ["s_file", "s_block", "s_row"])
-        staged.write.mode("overwrite").parquet(f"{staging}/batch={batch_id}")
+        files = sorted(r.path for r in batch.collect())  # at most maxFilesPerTrigger
+        if files:
+            typed = V.typed(read_csv(spark, files), source_url)
+            V.staged(typed, ["seq"]).write.mode("overwrite").parquet(f"{folder}/staged/batch={batch_id}")
+            V.rejected_rows(typed).write.mode("overwrite").parquet(f"{folder}/rejected/batch={batch_id}")
 
     return (
-        rows.writeStream.foreachBatch(stage)
-        .option("checkpointLocation", checkpoint)
+        paths.writeStream.foreachBatch(stage)
+        .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
@@ -63,37 +62,61 @@ def settle(staged: DataFrame) -> DataFrame:
     )
 
 
+def stream_folder(root: str, *source: str) -> str:
+    """Where a stream keeps its checkpoint and staged batches: one place per source, so a later call goes on from there."""
+    return f"{root}/streams/{hashlib.sha256(chr(0).join(source).encode()).hexdigest()[:32]}"
+
+
 def ingest_stream(
     warehouse: Warehouse, folder: str, metadata: Metadata, source_hash: str, files_per_trigger: int = 1
 ) -> dict:
-    """Run the stream over the available files and merge its result as a single commit."""
+    """Run the stream over the files that have come since the last call and merge its result as a single commit.
+
+    The commit records the last micro-batch it merged: what a failed run had staged is merged by the next one.
+    """
     spark = warehouse.spark
     done = warehouse.already_ingested(source_hash, metadata)
     if done:
         return done
-    run = uuid.uuid4().hex
-    staging, checkpoint = scratch_path(spark, "staging"), scratch_path(spark, "stream")
-    query = stage_stream(csv_stream(spark, folder, files_per_trigger), metadata.source_url, staging, checkpoint)
-    query.awaitTermination()
-    return warehouse.commit(settle(spark.read.parquet(staging)), metadata, source_hash, 0, run)
+    run, place = uuid.uuid4().hex, stream_folder(warehouse.root, folder, metadata.source_url, metadata.dataset_version)
+    stage_stream(file_stream(spark, folder, files_per_trigger), metadata.source_url, place).awaitTermination()
+    merged = warehouse.stream_state(place)
+    fresh = lambda kind: spark.read.parquet(f"{place}/{kind}").filter(F.col("batch") > F.lit(merged))
+    staged = fresh("staged")
+    last = staged.agg(F.max("batch")).first()[0]
+    return warehouse.commit(
+        settle(staged), metadata, source_hash, 0, run, fresh("rejected").drop("batch"),
+        {place: merged if last is None else int(last)},
+    )
 
 
-def first_seen(rows: DataFrame) -> DataFrame:
-    """Keyed deduplication inside the stream's state store, across all its batches.
+def first_seen(rows: DataFrame, delay: str | None = None, time: str = "period") -> DataFrame:
+    """Keyed deduplication inside the stream's state store.
 
-    Keeps one row per key; which one is settled only by ``settle``.
+    Keeps one row per key; which one is settled only by ``settle``.  Without ``delay`` a
+    key is remembered for ever; with one, for as long as duplicates may come late.
     """
-    return rows.dropDuplicates(KEY)
+    if delay is None:
+        return rows.dropDuplicates(KEY)
+    timed = rows.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", delay)
+    return timed.dropDuplicatesWithinWatermark(KEY).drop("_time")
+
 
+def mirror_stream(spark: SparkSession, gold: str, mirror: Mirror, folder: str, files_per_trigger: int = 10) -> None:
+    """Stage accepted rows of a run micro-batch by micro-batch, then feed them into the mirror by one merge.
 
-def mirror_stream(spark: SparkSession, gold: str, mirror: Mirror, checkpoint: str, files_per_trigger: int = 10):
-    """Feed accepted rows of a run into the mirror, batch by batch; replays are harmless."""
+    Replays are harmless: a micro-batch overwrites itself, and merging the same rows changes nothing.
+    """
     rows = (
         spark.readStream.schema(FACT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{gold}/*")
     )
-    return (
-        rows.writeStream.foreachBatch(lambda batch, _: mirror.upsert_facts(batch.select(*MIRROR_COLUMNS)))
-        .option("checkpointLocation", checkpoint)
+    (
+        rows.writeStream.foreachBatch(
+            lambda batch, n: batch.select(*MIRROR_COLUMNS).write.mode("overwrite").parquet(f"{folder}/staged/batch={n}")
+        )
+        .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .start()
+        .awaitTermination()
     )
+    mirror.upsert_facts(spark.read.parquet(f"{folder}/staged").drop("batch"))

@@ -161,25 +161,12 @@ def test_regimes_find_the_break(spark):
     assert sorted(r.periods for r in out["profile"].collect()) == [30, 30]
 
 
-def test_silhouette_by_brute_force(spark):
-    rng = np.random.default_rng(9)
-    x, c = rng.normal(size=(50, 3)), rng.integers(0, 3, 50)
-    df = spark.createDataFrame([(p.tolist(), int(k)) for p, k in zip(x, c)], "point array<double>, cluster int")
-    s = []
-    for i in range(50):
-        d = np.sqrt(((x - x[i]) ** 2).sum(1))
-        same = (c == c[i]) & (np.arange(50) != i)
-        a, b = d[same].mean(), min(d[c == k].mean() for k in set(c) - {c[i]})
-        s.append((b - a) / max(a, b))
-    assert regimes.silhouette(df) == pytest.approx(np.mean(s))
-
-
 def test_regime_requirements(spark):
     small = _matrix(spark, 20)
     assert regimes.regimes(small, list("abcd"))["status"] == "blocked"
     assert regimes.regimes(_matrix(spark), ["a", "b"])["status"] == "blocked"
     infinite = _matrix(spark).withColumn("a", F.when(F.col("period") == "2000-01-01", float("inf")).otherwise(F.col("a")))
-    assert regimes.regimes(infinite, list("abcd"))["reason"] == "Nonfinite regime features."
+    assert regimes.regimes(infinite, list("abcd"))["reason"] == "impossible_numbers"
 
 
 @pytest.fixture(scope="module")
@@ -208,8 +195,8 @@ def test_permutation_is_one_to_one(crops):
 
 def test_yield_requirements(spark, crops):
     assert yields.yield_model(spark.createDataFrame([], "year int"))["status"] == "blocked"
-    assert "five years" in yields.yield_model(crops.filter("year < 2004"))["reason"]
-    assert "positive area" in yields.yield_model(crops.withColumn("area", F.lit(0.0)))["reason"]
+    assert "too_few_rows_or_years" in yields.yield_model(crops.filter("year < 2004"))["reason"]
+    assert "impossible_numbers" in yields.yield_model(crops.withColumn("area", F.lit(0.0)))["reason"]
 
 
 def test_saved_reports(spark, series, tmp_path):
@@ -217,4 +204,11 @@ def test_saved_reports(spark, series, tmp_path):
     out = panel.forecast(fact, models=("ridge",))
     reports.save(out, fact, str(tmp_path / "r"), "forecast")
     row = reports.listing(spark, str(tmp_path / "r"), "forecast").first()
-    assert row.provenance.observations == 72 and row.provenance.period_end == "2005-12-01" and row.status == "trained"
+    assert row.provenance.observations == 72 and str(row.provenance.period_end) == "2005-12-01" and row.status == "trained"
+
+
+def test_reports_of_blocked_series_have_all_fields(spark, series, tmp_path):
+    fact = series(wave(20))
+    reports.save(panel.forecast(fact, models=("ridge",)), fact, str(tmp_path / "r"), "forecast")
+    row = reports.listing(spark, str(tmp_path / "r"), "forecast").select("status", "reason", "selected_model", "forecast").first()
+    assert tuple(row) == ("blocked", "too_short", None, None)

@@ -20,7 +20,9 @@ def column(spark, values, expression):
 DATES = [
     "2020-01-01", "2020", "2020-02", "20200201", "2020-2-1", "2020/02/01", "2020-01-01T23:30:00-05:00",
     "2020-01-01T23:30:00-0500", "2020-01-01 10:15", "2020-02-30", "2020-13-01", "9999-01-01", "", "abc",
-    "2020-01-01T00:00:00Z", "2020-01-01T23:30:00+05:00",
+    "2020-01-01T00:00:00Z", "2020-01-01T23:30:00+05:00", "20200201T101112", "2020-02-01T23:30-05", "2020/2", "2020 2", "20200201T1011",
+    "20200201 101112", "20200201T101112-0500", "20200201T101112.25+05", "2020-02-01T10:11Z", "2020-02-01T10:11 +05:00", "2020-W05", "202002",
+    "2020-02-01T24:00", "2020-02-01T10:11+5",
 ]
 
 
@@ -44,7 +46,7 @@ def test_numbers(spark):
 
 
 def test_strip_removes_what_python_removes(spark):
-    cells = ["  a b\t", "\x1fa\x1c", "　x ", "\xa0\xa0", "plain", "a\nb\n", ""]
+    cells = ["  a b\t", "\x1fa\x1c", "　x ", "\xa0\xa0", "plain", "a\nb\n", "", "abc\n", "abc\r\n", "d\n", "\nd", "a\nb"]
     assert column(spark, cells, parse.strip) == [c.strip() for c in cells]
 
 

@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from statweave.operators import series as W
@@ -63,10 +64,49 @@ def test_year_range_opens_only_its_directories(spark, tmp_path, meta, write_csv)
 def test_a_commit_rewrites_only_touched_years(spark, tmp_path, meta, write_csv):
     warehouse = Warehouse(spark, str(tmp_path / "w"))
     warehouse.ingest_csv(write_csv(tmp_path / "a.csv", [(f"{y}-01-01", str(y)) for y in range(2000, 2003)]), meta)
-    first = dict(warehouse._state()["years"])
+    first = dict(warehouse._state()["parts"])
     warehouse.ingest_csv(write_csv(tmp_path / "b.csv", [("2001-01-01", "5")]), {**meta, "dataset_version": "v2"})
-    second = warehouse._state()["years"]
-    assert first["2000"] == second["2000"] and first["2002"] == second["2002"] and first["2001"] != second["2001"]
+    second = warehouse._state()["parts"]
+    assert len(first) == 3 and [p for p in first if first[p] != second[p]] == [p for p in first if p.startswith("2001/")]
+
+
+def test_a_revision_touches_one_bucket_of_its_year(spark, tmp_path, meta, write_csv):
+    warehouse = Warehouse(spark, str(tmp_path / "w"), buckets=4)
+    path = write_csv(tmp_path / "a.csv", [("2001-01-01", "1")])
+    body = [open(path).read().splitlines()[1].replace("cpi", f"i{k}") for k in range(20)]
+    (tmp_path / "a.csv").write_text("\n".join([open(path).read().splitlines()[0], *body]) + "\n")
+    warehouse.ingest_csv(path, meta)
+    first = dict(warehouse._state()["parts"])
+    assert len(first) == 4
+    write_csv(tmp_path / "b.csv", [("2001-01-01", "5")], indicator="i7")
+    result = warehouse.ingest_csv(str(tmp_path / "b.csv"), {**meta, "dataset_version": "v2"})
+    second = warehouse._state()["parts"]
+    (changed,) = [p for p in first if first[p] != second[p]]
+    assert result["revisions"] == 1 and warehouse.fact().count() == 20
+    written = warehouse.table.read({changed: second[changed]}).inputFiles()
+    assert all(f"partition_year=2001/bucket={changed.split('/')[1]}/" in f for f in written)
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    from statweave import session
+
+    class Elsewhere:
+        def __init__(self):
+            self.conf = self
+            self.sparkContext = self
+            self.master = "spark://host:7077"
+
+        def get(self, *a):
+            return None
+
+        def getConf(self):
+            return self
+
+        def getCheckpointDir(self):
+            return None
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Elsewhere())
 
 
 def test_no_broadcast_is_forced(spark, sf):
@@ -75,5 +115,7 @@ def test_no_broadcast_is_forced(spark, sf):
 
     root = pathlib.Path(__file__).resolve().parents[1]
     for path in [*root.glob("statweave/**/*.py"), *root.glob("workload/*.py")]:
+        if "llm" in path.parts:  # a subpackage with rules of its own
+            continue
         text = path.read_text()
         assert "broadcast(" not in text and "localCheckpoint" not in text and "crossJoin" not in text, path

@@ -58,10 +58,40 @@ def test_transform_before_page(series):
     assert select.availability(select.timeseries(series([1]), "cpi", "Swat")) == "unavailable"
 
 
-def test_bounded_read(series):
-    assert select.bounded(series([1, 2]), 2, "too many").count() == 2
-    with pytest.raises(ContractError):
-        select.bounded(series([1, 2, 3]), 2, "too many")
+def test_pages_report_their_total(series):
+    fact = series([100, 110, 121, 133.1])
+    page = select.timeseries_page(fact, "cpi", "Pakistan", how="pct_change", limit=1, offset=1)
+    assert (page["status"], page["total"], page["limit"], page["offset"], page["transform"]) == ("available", 4, 1, 1, "pct_change")
+    assert [r.value for r in page["rows"].collect()] == [pytest.approx(10)]
+    assert [r.value for r in select.page(fact, ["period"], None, 2).collect()] == [121, pytest.approx(133.1)]
+    after = select.page_after(fact, ["indicator", "period"], {"indicator": "cpi", "period": dt.date(2000, 2, 1)}, 1)
+    assert [r.value for r in after.collect()] == [121]
+    assert [r.value for r in select.snapshot(fact).collect()] == [100, 110, 121, pytest.approx(133.1)]
+
+
+def test_densify_keeps_every_observation(series, spark):
+    days = [(dt.date(2000, 1, 15), 1.0), (dt.date(2000, 2, 20), 2.0), (dt.date(2000, 4, 15), 3.0)]
+    daily = series([0]).drop("period", "value").crossJoin(spark.createDataFrame(days, "period date, value double"))
+    assert sorted(r.period for r in W.densify(daily).collect()) == [d for d, _ in days]
+    months = W.densify(series([1, 2, 3, 4]).filter("month(period) <> 3"))
+    assert sorted((r.period.month, r.value) for r in months.collect() if r.value) == [(1, 1.0), (2, 2.0), (4, 4.0)]
+    assert [r.period.month for r in months.collect() if r.value is None] == [3]
+
+
+def test_an_extra_indicator_needs_no_dictionary_entry(series, spark):
+    words = spark.createDataFrame([("other", "economy")], "indicator string, domain string")
+    rows = series([1, 2])
+    assert select.subject_rows(rows, words, "economy", "", {"economy": ["cpi"]}).count() == 2
+    assert select.subject_rows(rows, words, "economy", "").count() == 0
+
+
+def test_comparison_has_range_and_correlation(series):
+    a = series([1, 2, 3, 4, 5])
+    fact = a.unionByName(series([2, 4, 6, 8, 1], indicator="wpi"))
+    out = compare.comparison(fact, "cpi", "wpi", "Pakistan", end="2000-04")
+    row = out["correlation"].first()
+    assert out["status"] == "available" and out["rows"].count() == 4
+    assert (row.n, row.pearson, row.pearson_p) == (4, pytest.approx(1.0), pytest.approx(0.0, abs=1e-6))
 
 
 def test_lags_exclude_the_target(series):

@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from statweave.functions.distributions import t_two_sided_p
 from statweave.operators import catalog, compare, coverage, reconcile
+from statweave.functions.distributions import t_two_sided_p
 from statweave.operators import series as W
+from statweave.functions.distributions import t_two_sided_p
 from statweave.operators import validate as V
 from statweave.schema import SERIES
 
@@ -142,7 +145,7 @@ def missing_series(spark, d):
     "series_homogeneity",
     f"""WITH {OBS}, s AS (SELECT indicator, geography, count(*) AS observations, count(DISTINCT frequency) AS f, min(frequency) AS one,
     count(DISTINCT unit) AS u, count(DISTINCT dataset) AS ds, count(DISTINCT date_trunc('month', period)) AS m FROM obs GROUP BY 1, 2),
-  r AS (SELECT *, CASE WHEN observations > 2400 THEN 'exceeds_limit' WHEN f <> 1 OR lower(one) NOT IN ('monthly','m') THEN 'not_monthly'
+  r AS (SELECT *, CASE WHEN f <> 1 OR lower(one) NOT IN ('monthly','m') THEN 'not_monthly'
     WHEN u <> 1 OR ds <> 1 THEN 'mixed_source_or_unit' WHEN m <> observations THEN 'duplicate_periods' END AS reason FROM s)
   SELECT indicator, geography, observations, CASE WHEN reason IS NULL THEN 'ready' ELSE 'blocked' END AS status, reason FROM r""",
 )
@@ -162,12 +165,12 @@ def calendar_completeness(spark, d):
 
 @query(
     "missing_months",
-    f"""WITH {OBS}, span AS (SELECT {_SERIES}, min(period) AS lo, max(period) AS hi FROM obs WHERE dataset = 'shipments_supplier' GROUP BY ALL),
+    f"""WITH {OBS}, span AS (SELECT {_SERIES}, min(period) AS lo, max(period) AS hi FROM obs WHERE frequency = 'monthly' GROUP BY ALL),
   cal AS (SELECT {_SERIES}, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS period FROM span)
   SELECT {_SERIES}, CAST(period AS VARCHAR) AS period FROM cal ANTI JOIN obs USING ({_SERIES}, period)""",
 )
 def missing_months(spark, d):
-    return coverage.missing_months(obs(spark, d, "shipments_supplier"))
+    return coverage.missing_months(obs(spark, d).filter("frequency = 'monthly'"))
 
 
 @query(
@@ -254,6 +257,30 @@ pairs AS (SELECT a.geography, a.frequency, a.period, a.dataset AS dataset_a, b.d
 """
 
 
+def _t_p(t, n):
+    """P(|T| >= |t|) for whole degrees of freedom, by the finite series in the angle's cosine."""
+    angle, half = f"atan(abs({t}) / sqrt({n}))", f"CAST(floor({n} / 2) AS BIGINT)"
+    even = f"""sin({angle}) * list_sum(list_transform(generate_series(0, {half} - 1),
+      lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * pow(cos({angle}), 2 * j)))"""
+    odd = f"""2 / pi() * ({angle} + sin({angle}) * coalesce(list_sum(list_transform(generate_series(0, {half} - 1),
+      lambda j: exp(lgamma(j + 1) + lgamma(0.5) - lgamma(j + 1.5)) / 2 * pow(cos({angle}), 2 * j + 1))), 0))"""
+    return f"greatest(0, 1 - CASE WHEN {n} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+_RANKED = """ranked AS (SELECT *,
+    rank() OVER (PARTITION BY dataset_a, geography ORDER BY value_a) + (count(*) OVER (PARTITION BY dataset_a, geography, value_a) - 1) / 2.0 AS ra,
+    rank() OVER (PARTITION BY dataset_a, geography ORDER BY value_b) + (count(*) OVER (PARTITION BY dataset_a, geography, value_b) - 1) / 2.0 AS rb FROM pairs),
+  coefficients AS (SELECT dataset_a, geography, count(*) AS n,
+    CASE WHEN count(*) >= 3 AND count(DISTINCT value_a) > 1 AND count(DISTINCT value_b) > 1 THEN corr(value_a, value_b) END AS pearson,
+    CASE WHEN count(*) >= 3 AND count(DISTINCT value_a) > 1 AND count(DISTINCT value_b) > 1 THEN corr(ra, rb) END AS spearman
+  FROM ranked GROUP BY 1, 2)"""
+
+
+def _corr_p(r):
+    t = f"({r} * sqrt((n - 2) / ((1 - {r}) * (1 + {r}))))"
+    return f"round(CASE WHEN {r} IS NULL OR n < 3 THEN NULL WHEN 1 - {r} * {r} <= 0 THEN 0 ELSE {_t_p(t, '(n - 2)')} END, 8)"
+
+
 def _pairs(spark, d):
     rows = compare.matched_pairs(obs(spark, d), "ship_value", "returned_share")
     return rows.filter(F.col("dataset_a") == F.col("dataset_b"))
@@ -274,19 +301,25 @@ def pair_correlations(spark, d):
     return out.withColumns({c: F.round(c, 8) for c in ("pearson", "spearman")})
 
 
-@query("pair_p_values")
+@query(
+    "pair_p_values",
+    f"""WITH {OBS}, {_PAIRS}, {_RANKED} SELECT dataset_a, geography, n, round(pearson, 8) AS pearson, round(spearman, 8) AS spearman,
+  {_corr_p("pearson")} AS pearson_p, {_corr_p("spearman")} AS spearman_p FROM coefficients""",
+)
 def pair_p_values(spark, d):
-    return compare.with_p_values(compare.correlations(_pairs(spark, d), ["dataset_a", "geography"]))
+    out = compare.with_p_values(compare.correlations(_pairs(spark, d), ["dataset_a", "geography"]))
+    known = lambda c: F.round(F.when(~F.isnan(c), F.col(c)), 8)
+    return out.withColumns({c: known(c) for c in ("pearson", "spearman", "pearson_p", "spearman_p")})
 
 
-_SHIP5 = ["ship_value", "ship_qty", "ship_lines", "returned_share", "accepted_share"]
+_SHIP5 = ["ship_value", "ship_qty", "ship_lines", "returned_share", "accepted_share", "order_value", "click_value"]
 _WIDE = """
-wide AS (SELECT geography, period, {cols} FROM obs WHERE dataset IN ('shipments_supplier', 'shipments_nation') GROUP BY 1, 2)
+wide AS (SELECT frequency || ' ' || geography AS geography, period, {cols} FROM obs GROUP BY 1, 2)
 """.format(cols=", ".join(f"max(value) FILTER (WHERE indicator = '{c}') AS {c}" for c in _SHIP5))
 
 
 def _wide(spark, d):
-    rows = obs(spark, d, "shipments_supplier", "shipments_nation")
+    rows = obs(spark, d).withColumn("geography", F.concat_ws(" ", "frequency", "geography"))
     return compare.wide(rows, ["geography", "period"], _SHIP5)
 
 
@@ -367,9 +400,22 @@ def mean_standard_error(spark, d):
     return out.select("dataset", "indicator", "status", "n", F.round("mean", 6).alias("mean"), F.round("sem", 6).alias("sem"))
 
 
-@query("mean_interval")
+@query(
+    "mean_interval",
+    f"""WITH {OBS} SELECT dataset, indicator, CASE WHEN count(*) < 3 THEN 'blocked' ELSE 'calculated' END AS status, count(*) AS n,
+  round(CASE WHEN count(*) >= 3 THEN avg(value / 1e6) END, 6) AS mean,
+  CASE WHEN count(*) >= 3 AND min(value) < max(value) THEN 0.05::DOUBLE END AS lower_p,
+  CASE WHEN count(*) >= 3 AND min(value) < max(value) THEN 0.05::DOUBLE END AS upper_p FROM obs GROUP BY 1, 2""",
+)
 def mean_interval(spark, d):
-    return compare.mean_interval(obs(spark, d), ["dataset", "indicator"], independent=True)
+    """Both bounds, given as the two-sided probability of a mean that far away: one minus the confidence."""
+    millions = obs(spark, d).withColumn("value", F.col("value") / 1e6)
+    out = compare.mean_interval(millions, ["dataset", "indicator"], independent=True)
+    dof = (F.col("n") - 1).cast("double")
+    chance = lambda c: F.round(F.when(F.col("sem") > 0, t_two_sided_p((F.col(c) - F.col("mean")) / F.col("sem"), dof)), 8)
+    return out.select(
+        "dataset", "indicator", "status", "n", F.round("mean", 6).alias("mean"), chance("lower").alias("lower_p"), chance("upper").alias("upper_p")
+    )
 
 
 @query(
@@ -392,11 +438,35 @@ def welch_difference(spark, d):
     )
 
 
-@query("welch_p_values")
+_STEPS = 4000
+
+
+def _simpson_p(t, n):
+    """P(|T| >= |t|) for any degrees of freedom: Simpson's rule over the density, in the angle whose tangent is t / sqrt(n)."""
+    angle = f"(atan(abs({t}) / sqrt({n})) / {_STEPS})"
+    weight = f"CASE WHEN j = 0 OR j = {_STEPS} THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"list_sum(list_transform(generate_series(0, {_STEPS}), lambda j: {weight} * pow(cos({angle} * j), {n} - 1))) * {angle} / 3"
+    return f"greatest(0, 1 - 2 * exp(lgamma(({n} + 1) / 2) - lgamma({n} / 2)) / sqrt(pi()) * {area})"
+
+
+_WELCH = """s AS (SELECT dataset, indicator, count(*) FILTER (WHERE period < DATE '1998-01-01') AS n_a,
+    count(*) FILTER (WHERE period >= DATE '1998-01-01') AS n_b,
+    avg(value) FILTER (WHERE period < DATE '1998-01-01') AS ma, avg(value) FILTER (WHERE period >= DATE '1998-01-01') AS mb,
+    var_samp(value) FILTER (WHERE period < DATE '1998-01-01') / nullif(count(*) FILTER (WHERE period < DATE '1998-01-01'), 0) AS va,
+    var_samp(value) FILTER (WHERE period >= DATE '1998-01-01') / nullif(count(*) FILTER (WHERE period >= DATE '1998-01-01'), 0) AS vb
+    FROM obs WHERE frequency = 'monthly' GROUP BY 1, 2),
+  w AS (SELECT *, (ma - mb) / sqrt(va + vb) AS t, (va + vb) * (va + vb) / (va * va / (n_a - 1) + vb * vb / (n_b - 1)) AS dof FROM s)"""
+
+
+@query(
+    "welch_p_values",
+    f"WITH {OBS}, {_WELCH} SELECT dataset, indicator, n_a, n_b, round(t, 6) AS statistic, round({_simpson_p('t', 'dof')}, 7) AS p_value FROM w",
+)
 def welch_p_values(spark, d):
     rows = obs(spark, d).filter(F.col("frequency") == "monthly")
     early = F.col("period") < F.lit("1998-01-01").cast("date")
-    return compare.with_test_p(compare.difference_test(rows, ["dataset", "indicator"], early, independent=True))
+    out = compare.with_test_p(compare.difference_test(rows, ["dataset", "indicator"], early, independent=True))
+    return out.select("dataset", "indicator", "n_a", "n_b", F.round("statistic", 6).alias("statistic"), F.round("p_value", 7).alias("p_value"))
 
 
 @query(

@@ -29,7 +29,8 @@ def _meta(version: str) -> Metadata:
 
 def _as_csv(df, path, sort=SEQUENCE):
     """Rows as CSV files whose (file, position) order is the order of ``sort``."""
-    df.repartitionByRange(8, *sort).sortWithinPartitions(*sort).select(*COLUMNS).write.options(
+    # A further column, as published files have them; readers drop it.
+    df.repartitionByRange(8, *sort).sortWithinPartitions(*sort).select(F.lit("n/a").alias("note"), *COLUMNS).write.options(
         header=True, quote='"', escape='"', quoteAll=True
     ).csv(path)
     return path
@@ -37,12 +38,13 @@ def _as_csv(df, path, sort=SEQUENCE):
 
 @query(
     "csv_scan",
-    f"WITH {RAW2} SELECT dataset, trim(indicator, ' ' || chr(9)) AS indicator, period, value, count(*) AS n FROM raw_v2 GROUP BY ALL",
+    f"""WITH {RAW2} SELECT dataset, trim(indicator, ' ' || chr(9) || chr(10)) AS indicator, trim(geography) AS geography, period, value, unit, frequency,
+  source_url, count(*) AS n FROM raw_v2 GROUP BY ALL""",
 )
 def csv_scan(spark, d):
     path = _as_csv(raw(spark, d), scratch_path(spark, "csv"))
     rows = V.strip_fields(files.read_csv(spark, path))
-    return rows.groupBy("dataset", "indicator", "period", "value").agg(F.count("*").alias("n"))
+    return rows.groupBy(*COLUMNS).agg(F.count("*").alias("n"))
 
 
 @query("content_digest", "SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text)) AS bytes FROM documents")
@@ -53,12 +55,27 @@ def content_digest(spark, d):
     )
 
 
-@query("table_digest")
+_DIGESTED = {
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "pages": ["page_id", "url", "html"],
+    "conversations": ["conv_id", "turn", "role", "text"],
+}
+
+
+def _digest_sql(name, columns):
+    row = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '?')" for c in columns)
+    sums = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4))
+    return f"""SELECT n, sha256(concat_ws(':', CAST(n AS VARCHAR), s[1], s[2], s[3], s[4])) AS digest, '{name}' AS "table"
+  FROM (SELECT count(*) AS n, [{sums}] AS s FROM (SELECT sha256(concat_ws('|', {row})) AS h FROM {name}))"""
+
+
+@query("table_digest", " UNION ALL ".join(_digest_sql(*item) for item in _DIGESTED.items()))
 def table_digest(spark, d):
-    """Order-free identity of whole tables."""
+    """Order-free identity of whole tables, all columns."""
     parts = []
-    for name, column in (("documents", "text"), ("pages", "html"), ("conversations", "text")):
-        digests = table(spark, d, name).select(files.content_digest(F.col(column)).alias("sha256"))
+    for name, columns in _DIGESTED.items():
+        row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in columns])
+        digests = table(spark, d, name).select(files.content_digest(row).alias("sha256"))
         parts.append(files.multiset_digest(digests).withColumn("table", F.lit(name)))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -161,9 +178,10 @@ def json_records(spark, d):
         f"SELECT event_id AS id, event_type AS kind, from_json(props, 'k STRING').k AS amount FROM parquet.`{d}/events.parquet`"
     )
     path = scratch_path(spark, "json")
-    rows.write.json(path)
-    read = spark.read.option("primitivesAsString", True).json(path)
-    return files.map_columns(read, {"kind": "indicator", "id": "record", "amount": "value"})
+    # Reports of some hundred records, one list and file each.
+    lists = rows.groupBy(F.floor(F.col("id") / 500).alias("part")).agg(F.to_json(F.collect_list(F.struct("id", "kind", "amount"))).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return files.json_records(spark, path, {"kind": "indicator", "id": "record", "amount": "value"})
 
 
 def _payloads(spark, d):
@@ -303,7 +321,7 @@ def _mirrored(spark, d):
     count(*) AS observations FROM fact GROUP BY 1, 2, 3, 4""",
 )
 def mirror_coverage(spark, d):
-    return _mirrored(spark, d)[1].coverage.read()
+    return _mirrored(spark, d)[1].table("indicator_coverage")
 
 
 @query(
@@ -314,5 +332,5 @@ def mirror_streamed_batches(spark, d):
     warehouse = _ingested(spark, d, 2)
     mirror = Mirror(spark, scratch_path(spark, "mirror"))
     gold = warehouse.manifests().first().gold_path
-    streaming.mirror_stream(spark, gold, mirror, scratch_path(spark, "checkpoint"), files_per_trigger=6).awaitTermination()
-    return mirror.fact.read().select(*KEY, "value", "dataset_version")
+    streaming.mirror_stream(spark, gold, mirror, scratch_path(spark, "mirror-stream"), files_per_trigger=6)
+    return mirror.fact().select(*KEY, "value", "dataset_version")

@@ -6,7 +6,7 @@ from statweave.operators import compare
 from statweave.operators import series as W
 from statweave.plans import anomalies, panel, regimes, reports, yields
 from statweave.schema import KEY, SERIES
-from statweave.session import scratch_path
+from statweave.session import materialized, scratch_path
 
 from .observations import OBS, WORLD, obs, table
 from .registry import query
@@ -15,7 +15,7 @@ _S = "dataset, indicator, geography, unit, frequency"
 _ID = "dataset, indicator, geography, CAST(period AS VARCHAR) AS period, unit, frequency"
 _W = f"PARTITION BY {_S} ORDER BY period"
 _ELIGIBLE = f"""elig AS (SELECT {_S}, count(*) AS observations, CASE
-    WHEN count(*) > 2400 THEN 'exceeds_limit' WHEN count(DISTINCT period) <> count(*) THEN 'duplicate_periods'
+    WHEN count(DISTINCT period) <> count(*) THEN 'duplicate_periods'
     WHEN bool_or(NOT isfinite(value)) THEN 'missing_or_nonfinite'
     WHEN bool_or(day(period) <> 1) OR date_diff('month', min(period), max(period)) + 1 <> count(*) THEN 'not_contiguous_months'
     WHEN count(*) < 60 THEN 'too_short' END AS reason FROM obs GROUP BY ALL),
@@ -140,15 +140,47 @@ def regime_matrix(spark, d):
     return z.select("period", *[F.round(f"z_{c}", 6).alias(f"z_{c}") for c in _REGIME])
 
 
+@query(
+    "regime_profile",
+    f"""WITH {OBS}, w AS (SELECT period, {", ".join(f"max(value) FILTER (WHERE indicator = '{c}') AS {c}" for c in _REGIME)} FROM obs
+    WHERE dataset IN ('shipments_world', 'orders_world') GROUP BY 1),
+  c AS (SELECT * FROM w WHERE {" AND ".join(f"{c} IS NOT NULL" for c in _REGIME)})
+  SELECT count(*) AS periods, {", ".join(f"round(avg({c}) / 1e3, 4) AS {c}" for c in _REGIME)} FROM c""",
+)
+def regime_profile(spark, d):
+    """Cluster means, weighted by the clusters' periods: together they are the means of all periods."""
+    profile = regimes.regimes(_national_matrix(spark, d), _REGIME)["profile"]
+    mean = lambda c: F.round(F.sum(F.col(c) * F.col("periods")) / F.sum("periods") / 1e3, 4).alias(c)
+    return profile.agg(F.sum("periods").alias("periods"), *[mean(c) for c in _REGIME])
+
+
 @query("regime_periods")
 def regime_periods(spark, d):
-    out = regimes.regimes(_national_matrix(spark, d), _REGIME, restarts=3)
+    out = regimes.regimes(_national_matrix(spark, d), _REGIME)
     return out["periods"]
 
 
 @query("anomaly_flags")
 def anomaly_flags(spark, d):
-    return anomalies.anomalies(obs(spark, d, "shipments_nation", "shipments_world", "shipments_annual"))
+    return anomalies.anomalies(obs(spark, d))
+
+
+@query(
+    "anomaly_rows",
+    f"""WITH {OBS}, c AS (SELECT *, value / nullif(lag(value) OVER ({_W}), 0) - 1.0::DOUBLE AS change FROM obs),
+  r AS (SELECT *, row_number() OVER ({_W}) AS rn, count(*) OVER (PARTITION BY {_S}) AS n FROM c WHERE change IS NOT NULL),
+  s AS (SELECT *, rn <= floor(0.7 * n) AS train, floor(0.7 * n) >= 24 AND n - floor(0.7 * n) >= 6 AS enough FROM r)
+  SELECT {_S}, 'trained' AS status, CAST(max(period) FILTER (WHERE train) AS VARCHAR) AS training_end, count(*) FILTER (WHERE NOT train) AS later_rows,
+    CAST(max(period) AS VARCHAR) AS last_period, true AS flags_known FROM s WHERE enough GROUP BY {_S}
+  UNION ALL SELECT {_S}, 'blocked', NULL, 0, NULL, NULL FROM s WHERE NOT enough GROUP BY {_S}""",
+)
+def anomaly_rows(spark, d):
+    """What the flags of every series of the fact rest on; the flags themselves are in ``anomaly_flags``."""
+    out = anomalies.anomalies(obs(spark, d))
+    return out.groupBy(*SERIES, "status").agg(
+        F.max("training_end").alias("training_end"), F.count("period").alias("later_rows"), F.max("period").alias("last_period"),
+        F.bool_and(F.col("anomaly").isNotNull() & F.when(F.col("status") == "trained", True)).alias("flags_known"),
+    ).withColumn("flags_known", F.when(F.col("status") == "trained", F.col("flags_known")))
 
 
 @query(
@@ -195,6 +227,25 @@ def yield_median_baseline(spark, d):
     return out.withColumns({c: F.round(c, 5) for c in ("mae", "rmse", "mape_percent")})
 
 
+@query(
+    "yield_model_rows",
+    f"""WITH {_YIELD}, last AS (SELECT max(year) AS year FROM y), t AS (SELECT y.* FROM y JOIN last USING (year)),
+  b AS (SELECT median(yield) AS guess FROM y WHERE year < (SELECT year FROM last))
+  SELECT model, training_rows, holdout_rows, holdout_year, mae FROM (SELECT (SELECT count(*) FROM y) - (SELECT count(*) FROM t) AS training_rows,
+    (SELECT count(*) FROM t) AS holdout_rows, (SELECT year FROM last) AS holdout_year, round(avg(abs(yield - guess)), 5) AS m FROM t, b)
+  JOIN (VALUES ('training_median'), ('random_forest')) v(model) ON true,
+  LATERAL (SELECT CASE WHEN model = 'training_median' THEN m END AS mae)""",
+)
+def yield_model_rows(spark, d):
+    """Size and year of the holdout and the baseline's error; the forest's error is in ``yield_model_metrics``."""
+    out = yields.yield_model(_yield_panel(spark, d))
+    whole = lambda k, t="long": F.lit(out[k]).cast(t).alias(k)
+    return out["metrics"].select(
+        "model", whole("training_rows"), whole("holdout_rows"), whole("holdout_year", "int"),
+        F.round(F.when(F.col("model") == "training_median", F.col("mae")), 5).alias("mae"),
+    )
+
+
 @query("yield_model_metrics")
 def yield_model_metrics(spark, d):
     return yields.yield_model(_yield_panel(spark, d))["metrics"]
@@ -214,10 +265,18 @@ def report_provenance(spark, d):
     return reports.provenance(obs(spark, d)).withColumn("source_urls", F.array_join("source_urls", ","))
 
 
-@query("saved_reports")
+@query(
+    "saved_reports",
+    f"""WITH {OBS}, {_ELIGIBLE} SELECT {_S}, CASE WHEN reason IS NULL THEN 'trained' ELSE 'blocked' END AS status, reason, observations,
+  CAST(p.period_end AS VARCHAR) AS period_end, CASE WHEN reason IS NULL THEN 12 END AS holdout_rows,
+  CASE WHEN reason IS NULL THEN 2 ELSE -1 END AS models, CASE WHEN reason IS NULL THEN 6 ELSE -1 END AS forecast_rows
+  FROM elig JOIN (SELECT {_S}, max(period) AS period_end FROM obs GROUP BY ALL) p USING ({_S})""",
+)
 def saved_reports(spark, d):
-    path, fact = scratch_path(spark, "reports"), _long_history(spark, d)
+    """Every series with its report: what was trained, on what, and how far it looks ahead."""
+    path, fact = scratch_path(spark, "reports"), materialized(obs(spark, d), "reported")
     reports.save(panel.forecast(fact, models=("ridge",)), fact, path, "forecast")
     return reports.listing(spark, path, "forecast").select(
-        "indicator", "geography", "status", "selected_model", "provenance.observations", "provenance.period_end"
+        *SERIES, "status", "reason", "provenance.observations", "provenance.period_end", "holdout_rows",
+        F.coalesce(F.size("metrics"), F.lit(-1)).alias("models"), F.coalesce(F.size("forecast"), F.lit(-1)).alias("forecast_rows"),
     )

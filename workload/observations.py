@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statweave.functions.text import indicator_title
-from statweave.session import spread
 
 SITE = "https://data.example.org/"
 WORLD = "World"
@@ -177,14 +176,15 @@ def raw(spark: SparkSession, sf_dir: str, vintage: int = 2) -> DataFrame:
             f"ELSE {price} END"
         )
     where = "WHERE l_shipdate < TIMESTAMP_NTZ '2000-01-01 00:00:00'" if vintage == 1 else ""
-    lines = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     k, iso, plain_name = "l_orderkey", "date_format(l_shipdate, 'yyyy-MM-dd')", "lower(concat('price_', l_returnflag, l_linestatus))"
     return spark.sql(f"""SELECT
   if({k} % 97 = 0, '', 'ship_lines') AS dataset,
-  if({k} % 5 = 0, concat('  ', {plain_name}, char(9)), {plain_name}) AS indicator,
+  CASE WHEN {k} % 5 = 0 THEN concat('  ', {plain_name}, char(9)) WHEN {k} % 17 = 3 THEN concat({plain_name}, char(10)) ELSE {plain_name} END AS indicator,
   if({k} % 11 = 0, concat(' ', n_name, ' '), n_name) AS geography,
   CASE WHEN {k} % 13 = 0 THEN date_format(l_shipdate, 'yyyyMMdd') WHEN {k} % 13 = 1 THEN concat({iso}, 'T23:30:00-05:00')
-       WHEN {k} % 13 = 2 THEN concat({iso}, ' 10:15:00') WHEN {k} % 91 = 3 THEN 'not-a-date' ELSE {iso} END AS period,
+       WHEN {k} % 13 = 2 THEN concat({iso}, ' 10:15:00') WHEN {k} % 13 = 3 THEN concat(date_format(l_shipdate, 'yyyyMMdd'), 'T101500')
+       WHEN {k} % 13 = 4 THEN concat({iso}, 'T23:30-05') WHEN {k} % 91 = 3 THEN 'not-a-date' ELSE {iso} END AS period,
   CASE WHEN {k} % 89 = 0 THEN 'bad' WHEN {k} % 83 = 0 THEN 'inf' WHEN {k} % 79 = 0 THEN '' WHEN {k} % 73 = 0 THEN '1d'
        ELSE CAST({price} AS STRING) END AS value,
   if({k} % 7 = 0, 'thousand usd', 'usd') AS unit,
@@ -208,11 +208,14 @@ def _raw_sql(vintage: int) -> str:
 raw_v{vintage} AS (SELECT
   CASE WHEN l_orderkey % 97 = 0 THEN '' ELSE 'ship_lines' END AS dataset,
   CASE WHEN l_orderkey % 5 = 0 THEN '  price_' || lower(l_returnflag) || lower(l_linestatus) || chr(9)
+       WHEN l_orderkey % 17 = 3 THEN 'price_' || lower(l_returnflag) || lower(l_linestatus) || chr(10)
        ELSE 'price_' || lower(l_returnflag) || lower(l_linestatus) END AS indicator,
   CASE WHEN l_orderkey % 11 = 0 THEN ' ' || n_name || ' ' ELSE n_name END AS geography,
   CASE WHEN l_orderkey % 13 = 0 THEN strftime(l_shipdate, '%Y%m%d')
        WHEN l_orderkey % 13 = 1 THEN strftime(l_shipdate, '%Y-%m-%d') || 'T23:30:00-05:00'
        WHEN l_orderkey % 13 = 2 THEN strftime(l_shipdate, '%Y-%m-%d') || ' 10:15:00'
+       WHEN l_orderkey % 13 = 3 THEN strftime(l_shipdate, '%Y%m%d') || 'T101500'
+       WHEN l_orderkey % 13 = 4 THEN strftime(l_shipdate, '%Y-%m-%d') || 'T23:30-05'
        WHEN l_orderkey % 91 = 3 THEN 'not-a-date' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS period,
   CASE WHEN l_orderkey % 89 = 0 THEN 'bad' WHEN l_orderkey % 83 = 0 THEN 'inf' WHEN l_orderkey % 79 = 0 THEN ''
        WHEN l_orderkey % 73 = 0 THEN '1d' ELSE CAST({price} AS VARCHAR) END AS value,
@@ -231,8 +234,8 @@ stripped_v{vintage} AS (SELECT {strip('dataset')} AS dataset, {strip('indicator'
   {strip('period')} AS period, {strip('value')} AS value, unit, frequency, source_url,
   s_order, s_line, s_part, s_supp, s_date, s_price FROM raw_v{vintage}),
 parsed_v{vintage} AS (SELECT * EXCLUDE (period, value),
-  CASE WHEN regexp_full_match(period, '\\d{{8}}') THEN CAST(try_strptime(period, '%Y%m%d') AS DATE)
-       WHEN period LIKE '%T23:30:00-05:00' THEN CAST(substr(period, 1, 10) AS DATE) + 1
+  CASE WHEN regexp_full_match(period, '\\d{{8}}(T\\d{{6}})?') THEN CAST(try_strptime(substr(period, 1, 8), '%Y%m%d') AS DATE)
+       WHEN period LIKE '%T23:30:00-05:00' OR period LIKE '%T23:30-05' THEN CAST(substr(period, 1, 10) AS DATE) + 1
        WHEN regexp_full_match(period, '\\d{{4}}-\\d{{2}}-\\d{{2}}.*') THEN CAST(substr(period, 1, 10) AS DATE) END AS period,
   CASE WHEN regexp_full_match(value, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') THEN CAST(value AS DOUBLE) END AS value,
   (dataset = '')::INT + (indicator = '')::INT + (geography = '')::INT + (period = '')::INT + (value = '')::INT

@@ -96,7 +96,7 @@ def report_publisher_years(spark, d):
     return rows.select(*KEY, "value")
 
 
-_EXTRA = {"economy": ["returned_share"]}
+_EXTRA = {"economy": ["returned_share", "click_count"]}  # the dictionary lacks click_count
 
 
 @query(
@@ -105,7 +105,7 @@ _EXTRA = {"economy": ["returned_share"]}
   SELECT 'overview' AS subject, {_ID}, value FROM obs WHERE geography = '{WORLD}' UNION ALL
   SELECT 'geographies' AS subject, {_ID}, value FROM obs WHERE geography = 'NATION_4' UNION ALL
   SELECT 'economy' AS subject, {_ID}, value FROM obs WHERE indicator IN (SELECT indicator FROM dictionary WHERE domain = 'economy')
-    OR indicator = 'returned_share'""",
+    OR indicator IN ('returned_share', 'click_count')""",
 )
 def subject_export(spark, d):
     rows, words = obs(spark, d), dictionary(spark, d)
@@ -143,8 +143,8 @@ def top_geographies(spark, d):
 
 @query(
     "bounded_workspace",
-    f"""WITH {OBS} SELECT {_ID}, value FROM obs WHERE dataset IN ('orders_nation', 'orders_world')""",
+    f"""WITH {OBS} SELECT {_ID}, value FROM obs""",
 )
 def bounded_workspace(spark, d):
-    rows = obs(spark, d, "orders_nation", "orders_world")
-    return S.bounded(rows, 20000, "Workspace snapshot exceeds 20,000 rows").select(*KEY, "value")
+    """The whole workspace in the order of its key."""
+    return S.snapshot(obs(spark, d)).select(*KEY, "value")

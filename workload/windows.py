@@ -202,12 +202,13 @@ def holdout_split(spark, d):
 @query(
     "calendar_densified",
     f"""WITH {OBS}, span AS (SELECT {_S}, min(period) AS lo, max(period) AS hi, bool_or(month(period) <> 1) AS m FROM obs
-    WHERE frequency <> 'daily' GROUP BY ALL),
+    GROUP BY ALL HAVING NOT bool_or(day(period) <> 1)),
   cal AS (SELECT {_S}, CAST(unnest(CASE WHEN m THEN generate_series(lo, hi, INTERVAL 1 MONTH) ELSE generate_series(lo, hi, INTERVAL 1 YEAR) END) AS DATE) AS period FROM span)
-  SELECT {_S}, CAST(cal.period AS VARCHAR) AS period, value FROM cal LEFT JOIN obs USING ({_S}, period)""",
+  SELECT {_S}, CAST(period AS VARCHAR) AS period, value FROM obs UNION ALL
+  SELECT {_S}, CAST(period AS VARCHAR) AS period, NULL AS value FROM cal ANTI JOIN obs USING ({_S}, period)""",
 )
 def calendar_densified(spark, d):
-    return W.densify(obs(spark, d).filter("frequency <> 'daily'"))
+    return W.densify(obs(spark, d))
 
 
 @query(
