@@ -1,17 +1,20 @@
-"""Novelty flags for every series: an isolation forest grown with window functions.
+"""Novelty flags for every series: an isolation forest of its own.
 
-Each tree isolates its own sample of a series' training rows.  A tree level is one
-window over (series, tree, node): it finds the sample's range in the node, draws a
-split, and sends every row, sampled or not, to a side.  All levels share one
-exchange on (series, tree).
+One exchange brings a series together; the calendar bounds its rows.  All its trees
+grow on their samples level by level at once, and then its rows fall through them.  No
+row is copied per tree between tasks, and rows outside the samples only fall.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.series import along, fractional_change, whole
 from ..schema import SERIES
@@ -19,7 +22,7 @@ from ..schema import SERIES
 TREES, SAMPLE, CONTAMINATION = 100, 256, 0.05
 TRAIN_FRACTION, MIN_TRAIN, MIN_LATER = 0.7, 24, 6
 _EULER = 0.5772156649015329
-_LEVELS = math.ceil(math.log2(SAMPLE))
+_WALKERS = 2_000_000  # points times trees that fall at a time
 
 
 def monitored(fact: DataFrame, fraction: float = TRAIN_FRACTION, keys: list[str] = SERIES) -> DataFrame:
@@ -44,67 +47,77 @@ def monitored(fact: DataFrame, fraction: float = TRAIN_FRACTION, keys: list[str]
     )
 
 
-def _average_depth(n: Column) -> Column:
+def _average_depth(n: np.ndarray) -> np.ndarray:
     """Expected depth left in a node of n sampled rows."""
-    return (
-        F.when(n <= 1, F.lit(0.0))
-        .when(n == 2, F.lit(1.0))
-        .otherwise(2.0 * (F.log(n - 1.0) + _EULER) - 2.0 * (n - 1.0) / n)
-    )
-
-
-def _uniform(seed: int, *parts: Column) -> Column:
-    """A repeatable number in (0, 1) from the given columns."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 11)
-    return (bits.cast("double") + 0.5) / float(1 << 53)
+    m = np.maximum(n, 3).astype(float)
+    return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, 2.0 * (np.log(m - 1.0) + _EULER) - 2.0 * (m - 1.0) / m))
+
+
+def grow(points: np.ndarray, trees: int, sample: int, rng: np.random.Generator) -> list[dict]:
+    """Levels of all trees over samples of the points; the nodes of a level are numbered across the trees."""
+    size = min(sample, len(points))
+    rows = np.concatenate([points[rng.permutation(len(points))[:size]] for _ in range(trees)])
+    node, width, levels = np.repeat(np.arange(trees), size), trees, []
+    limit = math.ceil(math.log2(max(size, 2)))
+    while width:
+        count = np.bincount(node, minlength=width)
+        low, high = np.full((width, rows.shape[1]), np.inf), np.full((width, rows.shape[1]), -np.inf)
+        np.minimum.at(low, node, rows)
+        np.maximum.at(high, node, rows)
+        varies = high > low
+        leaf = (count <= 1) | (len(levels) == limit) | ~varies.any(axis=1)
+        # A random feature among those that vary, and a random cut within its range.
+        feature = np.where(varies, rng.random(varies.shape), -1.0).argmax(axis=1)
+        every = np.arange(width)
+        with np.errstate(invalid="ignore"):
+            cut = low[every, feature] + rng.random(width) * (high[every, feature] - low[every, feature])
+        first_child = 2 * (np.cumsum(~leaf) - 1)
+        levels.append({"leaf": leaf, "depth": len(levels) + _average_depth(count), "feature": feature, "cut": cut, "child": first_child})
+        stay = ~leaf[node]
+        rows, node = rows[stay], _fall(levels[-1], node[stay], rows[stay])
+        width = 2 * int((~leaf).sum())
+    return levels
+
+
+def _fall(level: dict, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return level["child"][node] + (rows[np.arange(len(rows)), level["feature"][node]] > level["cut"][node])
+
+
+def isolation_scores(points: np.ndarray, levels: list[dict], trees: int, sampled: int) -> np.ndarray:
+    """Isolation score of each point: higher is stranger."""
+    total = np.zeros(len(points))
+    step = max(1, _WALKERS // trees)
+    for begin in range(0, len(points), step):
+        part = points[begin : begin + step]
+        who, node = np.tile(np.arange(len(part)), trees), np.repeat(np.arange(trees), len(part))
+        for level in levels:
+            ended = level["leaf"][node]
+            total[begin : begin + step] += np.bincount(who[ended], weights=level["depth"][node[ended]], minlength=len(part))
+            who, node = who[~ended], node[~ended]
+            node = _fall(level, node, part[who])
+    return 2.0 ** (-(total / trees) / _average_depth(np.array([sampled]))[0])
+
+
+def forest_scores(rows: DataFrame, keys: list[str] = SERIES, trees: int = TREES, seed: int = 42, sample: int = SAMPLE) -> DataFrame:
+    """The rows with the isolation ``score`` from their series' own forest (higher is stranger).
+
+    ``sample``: training rows that a tree sees at most; sub-sampling is part of the method.
+    """
 
+    def score(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("row")
+        points, train = part[["value", "change"]].to_numpy(float), part["train"].to_numpy(bool)
+        name = "\0".join(str(part[k].iloc[0]) for k in keys)
+        levels = grow(points[train], trees, sample, np.random.default_rng([seed, zlib.crc32(name.encode())]))
+        return part.assign(score=isolation_scores(points, levels, trees, min(sample, int(train.sum()))))
 
-def forest_scores(rows: DataFrame, keys: list[str] = SERIES, trees: int = TREES, seed: int = 42) -> DataFrame:
-    """Isolation score of each row (higher is stranger) from the series' own forest."""
-    per_tree = [*keys, "_tree"]
-    grown = (
-        rows.select(*keys, "row", "value", "change", "train", "train_rows", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("_tree"))
-        .repartition(*per_tree)
-        .withColumn("_draw", _uniform(seed, *[F.col(k) for k in per_tree], F.col("row")))
-    )
-    lottery = Window.partitionBy(*per_tree, "train").orderBy("_draw", "row")
-    grown = grown.withColumns(
-        {
-            "_in": F.col("train") & (F.row_number().over(lottery) <= SAMPLE),
-            "_psi": F.least("train_rows", F.lit(SAMPLE)),
-            "_node": F.lit(1).cast("long"),
-            "_depth": F.lit(None).cast("double"),
-        }
-    ).withColumn("_limit", F.ceil(F.log2(F.greatest("_psi", F.lit(2)))))
-    node = Window.partitionBy(*per_tree, "_node")
-    for level in range(_LEVELS + 1):
-        sampled = {c: F.when(F.col("_in"), F.col(c)) for c in ("value", "change")}
-        grown = grown.withColumns(
-            {
-                "_k": F.count_if(F.col("_in")).over(node),
-                **{f"_lo_{c}": F.min(x).over(node) for c, x in sampled.items()},
-                **{f"_hi_{c}": F.max(x).over(node) for c, x in sampled.items()},
-            }
-        )
-        spread = {c: F.coalesce(F.col(f"_hi_{c}") > F.col(f"_lo_{c}"), F.lit(False)) for c in ("value", "change")}
-        leaf = (F.col("_k") <= 1) | (F.col("_limit") <= level) | ~(spread["value"] | spread["change"])
-        where = [*[F.col(k) for k in per_tree], F.col("_node")]
-        by_value = spread["value"] & (~spread["change"] | (_uniform(seed + 1, *where) < 0.5))
-        cut = lambda c: F.col(f"_lo_{c}") + _uniform(seed + 2, *where) * (F.col(f"_hi_{c}") - F.col(f"_lo_{c}"))
-        right = F.when(by_value, F.col("value") > cut("value")).otherwise(F.col("change") > cut("change"))
-        ended = F.col("_depth").isNotNull()
-        grown = grown.withColumns(
-            {
-                "_depth": F.when(ended, F.col("_depth")).when(leaf, level + _average_depth(F.col("_k").cast("double"))),
-                "_node": F.when(ended | leaf, F.col("_node")).otherwise(F.col("_node") * 2 + F.when(right, 1).otherwise(0)),
-            }
-        ).drop("_k", *[f"_{e}_{c}" for e in ("lo", "hi") for c in ("value", "change")])
-    return grown.groupBy(*keys, "row").agg(
-        F.pow(F.lit(2.0), -F.avg("_depth") / _average_depth(F.first("_psi").cast("double"))).alias("score")
-    )
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
+    return rows.groupBy(*keys).applyInPandas(score, schema)
 
 
-def anomalies(fact: DataFrame, keys: list[str] = SERIES, trees: int = TREES, seed: int = 42) -> DataFrame:
+def anomalies(
+    fact: DataFrame, keys: list[str] = SERIES, trees: int = TREES, seed: int = 42, sample: int = SAMPLE
+) -> DataFrame:
     """Later observations with ``score`` (negative is anomalous) and ``anomaly``.
 
     The threshold is the 5th percentile of the training scores of the same series.
@@ -112,7 +125,7 @@ def anomalies(fact: DataFrame, keys: list[str] = SERIES, trees: int = TREES, see
     """
     rows = monitored(fact, keys=keys)
     ready = rows.filter("status = 'trained'")
-    scored = ready.join(forest_scores(ready, keys, trees, seed), [*keys, "row"]).withColumn("score", -F.col("score"))
+    scored = forest_scores(ready, keys, trees, seed, sample).withColumn("score", -F.col("score"))
     everything = Window.partitionBy(*keys)
     later = (
         scored.withColumns(

@@ -30,39 +30,51 @@ LIMITATIONS = [
 MODEL_ORDER = ["seasonal_naive", "ridge", "random_forest", "gradient_boosting"]
 
 
-def eligibility(fact: DataFrame, season: int = SEASON, holdout: int = HOLDOUT, keys: list[str] = SERIES) -> DataFrame:
-    """``ready`` or ``blocked`` per series; the first failed requirement is the reason."""
-    v, month = F.col("value"), F.year("period") * 12 + F.month("period")
-    bad_value = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    stats = fact.groupBy(*keys).agg(
-        F.count("*").alias("observations"),
-        F.count_distinct("period").alias("_periods"),
-        F.count_if(bad_value).alias("_bad"),
-        F.count_if(F.dayofmonth("period") != 1).alias("_off"),
-        (F.max(month) - F.min(month) + 1).alias("_span"),
-    )
-    n = F.col("observations")
+def profile(fact: DataFrame, season: int = SEASON, holdout: int = HOLDOUT, keys: list[str] = SERIES) -> DataFrame:
+    """Status and ordered values of every series from a single aggregation.
+
+    ``ready`` or ``blocked``; the first failed requirement is the reason.  The calendar
+    bounds the arrays (see ``schema``).
+    """
+    month = lambda p: F.year(p) * 12 + F.month(p)
+    gathered = fact.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("period", "value"))).alias("h"))
+    n, p = F.size("h"), F.col("h.period")
+    impossible = lambda x: x["value"].isNull() | F.isnan(x["value"]) | (F.abs(x["value"]) == float("inf"))
     reason = (
-        F.when(F.col("_periods") != n, "duplicate_periods")
-        .when(F.col("_bad") > 0, "missing_or_nonfinite")
-        .when((F.col("_off") > 0) | (F.col("_span") != n), "not_contiguous_months")
+        F.when(F.size(F.array_distinct(p)) != n, "duplicate_periods")
+        .when(F.exists("h", impossible), "missing_or_nonfinite")
+        .when(F.exists(p, lambda x: F.dayofmonth(x) != 1) | (month(F.array_max(p)) - month(F.array_min(p)) + 1 != n), "not_contiguous_months")
         .when(n < season * 4 + holdout, "too_short")
     )
-    return stats.select(
-        *keys, "observations", F.when(reason.isNull(), "ready").otherwise("blocked").alias("status"), reason.alias("reason")
+    return gathered.select(
+        *keys, n.cast("long").alias("observations"), F.when(reason.isNull(), "ready").otherwise("blocked").alias("status"), reason.alias("reason"),
+        p.alias("periods"), F.col("h.value").alias("values"),
     )
 
 
+def eligibility(fact: DataFrame, season: int = SEASON, holdout: int = HOLDOUT, keys: list[str] = SERIES) -> DataFrame:
+    """``ready`` or ``blocked`` per series, with the reason."""
+    return profile(fact, season, holdout, keys).drop("periods", "values")
+
+
+def rows_of(series: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+    """Observations back from ordered arrays."""
+    pairs = F.arrays_zip("periods", "values")
+    return series.select(*keys, F.explode(pairs).alias("o")).select(*keys, F.col("o.periods").alias("period"), F.col("o.values").alias("value"))
+
+
 def ready_series(fact: DataFrame, keys: list[str] = SERIES, **options) -> DataFrame:
-    ready = eligibility(fact, keys=keys, **options).filter("status = 'ready'").select(*keys)
-    return fact.join(ready, keys, "left_semi")
+    return rows_of(profile(fact, keys=keys, **options).filter("status = 'ready'"), keys)
 
 
 def history(fact: DataFrame, keys: list[str] = SERIES) -> DataFrame:
-    """One row per series with its ordered values; the calendar bounds their number (see ``schema``)."""
-    return fact.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("period", "value"))).alias("h")
-    ).select(*keys, F.col("h.period").alias("periods"), F.col("h.value").alias("values"))
+    """One row per series with its ordered values, whatever its status."""
+    return profile(fact, keys=keys).select(*keys, "periods", "values")
+
+
+def ready_history(fact: DataFrame, keys: list[str] = SERIES, **options) -> DataFrame:
+    """One row per series that meets all requirements, with its ordered values."""
+    return profile(fact, keys=keys, **options).filter("status = 'ready'").select(*keys, "periods", "values")
 
 
 def seasonal_naive(values: Column, steps: int, season: int = SEASON) -> Column:
@@ -242,17 +254,34 @@ def _vector(rows: DataFrame, season: int) -> DataFrame:
     return rows.withColumn("x", array_to_vector(F.array(*features(season))))
 
 
-def tree_cv(rows: DataFrame, kind: str, depths: tuple[int, ...], rounds: int, folds: int = FOLDS) -> tuple[int, dict]:
-    """Depth with the lowest mean one-step MAE over expanding folds of the pooled, scaled panel."""
-    scores = {}
+def calendar_cuts(rows: DataFrame, folds: int = FOLDS) -> list:
+    """First months of the validation parts: the training months of all series together, cut like the rows of one."""
+    months = [r.period for r in rows.filter(F.col("block") <= folds).select("period").distinct().orderBy("period").collect()]
+    size = len(months) // (folds + 1)
+    return [months[len(months) - (folds - i) * size] for i in range(folds)] if size else []
+
+
+def tree_cv(rows: DataFrame, kind: str, depths: tuple[int, ...], rounds: int, keys: list[str] = SERIES, folds: int = FOLDS) -> tuple[int, DataFrame]:
+    """The depth with the lowest mean one-step error over expanding folds, and every series' own error at that depth.
+
+    Folds are cut by the calendar, so the pooled training rows of a fold lie before its
+    validation months in every series.  Errors are in a series' own units.
+    """
+    usable, cuts = rows.filter(F.col("block") <= folds), calendar_cuts(rows, folds)
+    scores, errors = {}, {}
     for depth in depths:
-        maes = []
-        for fold in range(folds):
-            model = _estimator(kind, depth, rounds).fit(rows.filter(F.col("block") <= fold))
-            tested = model.transform(rows.filter(F.col("block") == fold + 1))
-            maes.append(tested.agg(F.avg(F.abs(F.col("value") - F.col("guess")))).first()[0])
-        scores[depth] = float(np.mean(maes))
-    return min(scores, key=scores.get), scores
+        parts = []
+        for i, cut in enumerate(cuts):
+            model = _estimator(kind, depth, rounds).fit(usable.filter(F.col("period") < F.lit(cut)))
+            held = usable.filter(F.col("period") >= F.lit(cut))
+            held = held.filter(F.col("period") < F.lit(cuts[i + 1])) if i + 1 < len(cuts) else held
+            error = F.abs(F.col("value") - F.col("guess"))
+            parts.append(model.transform(held).groupBy(*keys).agg(F.avg(error).alias("scaled"), F.avg(error * F.col("spread")).alias("mae")))
+        folded = materialized(reduce(DataFrame.unionByName, parts), "fold-errors")
+        errors[depth] = folded.groupBy(*keys).agg(F.avg("mae").alias("cv_one_step_mae"))
+        scores[depth] = folded.agg(F.avg("scaled")).first()[0]
+    best = min(scores, key=scores.get)
+    return best, errors[best]
 
 
 def tree_roll(model, state: DataFrame, steps: int, season: int = SEASON, cut_every: int = 6) -> DataFrame:
@@ -297,13 +326,14 @@ def forecast(
     panel.  The model with the lowest holdout MAE wins (earlier ones on ties) and is
     refitted on the whole history.  Series that fail a requirement appear as blocked.
     """
-    status = eligibility(fact, season, holdout, keys)
-    # Written once, read by column and by fold from then on.
-    ready = materialized(ready_series(fact, keys, season=season, holdout=holdout).select(*keys, "period", "value"), "ready")
-    rows = materialized(feature_rows(ready, season, holdout, keys), "features")
+    # The fact is evaluated once; status, histories and feature rows follow from its series.
+    every_series = materialized(profile(fact, season, holdout, keys), "series")
+    status = every_series.drop("periods", "values")
+    ready = every_series.filter("status = 'ready'").select(*keys, "periods", "values")
+    rows = materialized(feature_rows(rows_of(ready, keys), season, holdout, keys), "features")
 
     base = (
-        history(ready, keys)
+        ready
         .withColumns(
             {
                 "training_rows": F.size("values") - holdout,
@@ -354,7 +384,7 @@ def forecast(
     for kind, depths in (("random_forest", FOREST_DEPTHS), ("gradient_boosting", BOOSTING_DEPTHS)):
         if kind not in models:
             continue
-        depth, scores = tree_cv(pooled, kind, depths, rounds)
+        depth, errors = tree_cv(pooled, kind, depths, rounds, keys)
         model = _estimator(kind, depth, rounds).fit(pooled.filter(F.col("block") <= FOLDS))
         full = _estimator(kind, depth, rounds).fit(pooled)
         held = tree_roll(model, base.select(*keys, F.col("train_scaled").alias("tail"), "month"), holdout, season)
@@ -363,10 +393,10 @@ def forecast(
         )
         joined = base.join(held.select(*keys, F.col("path").alias("_holdout")), keys).join(
             ahead.select(*keys, F.col("path").alias("_future")), keys
-        )
+        ).join(errors, keys, "left")
         results.append(
             result(joined, kind, unscale("_holdout"), unscale("_future"),
-                   F.lit(scores[depth]) * F.col("spread"), F.lit(depth))
+                   F.col("cv_one_step_mae"), F.lit(depth))
         )
 
     every = reduce(DataFrame.unionByName, results)

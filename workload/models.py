@@ -39,7 +39,7 @@ def series_eligibility(spark, d):
     count(*) FILTER (WHERE abs(value) > 1e-10) AS mape_eligible_rows FROM p WHERE rn > n - 12 GROUP BY ALL""",
 )
 def seasonal_naive_holdout(spark, d):
-    h = panel.history(panel.ready_series(obs(spark, d)))
+    h = panel.ready_history(obs(spark, d))
     train = F.slice("values", F.lit(1), F.size("values") - 12)
     out = h.select(*SERIES, panel.error_columns(F.slice("values", -12, 12), panel.seasonal_naive(train, 12)).alias("e")).select(*SERIES, "e.*")
     return out.withColumns({"mae": F.round("mae", 5), "rmse": F.round("rmse", 5), "mape_percent": F.round("mape_percent", 6)})
@@ -52,7 +52,7 @@ def seasonal_naive_holdout(spark, d):
   FROM ready r JOIN last USING ({_S}) CROSS JOIN generate_series(1, 18) g(h) WHERE rn = n - 12 + (h - 1) % 12 + 1""",
 )
 def seasonal_naive_forecast(spark, d):
-    h = panel.history(panel.ready_series(obs(spark, d)))
+    h = panel.ready_history(obs(spark, d))
     return h.select(
         *SERIES, F.element_at("periods", -1).alias("last"), F.posexplode(panel.seasonal_naive(F.col("values"), 18)).alias("i", "value")
     ).select(*SERIES, F.add_months("last", F.col("i") + 1).alias("period"), "value")
