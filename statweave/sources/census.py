@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse_upper, title_case
+from ..functions.text import census_dataset, collapse_upper, title_case
 from ..operators.reconcile import census_long, duplicate_keys, parts_violations
-from ..operators.validate import require_empty
+from ..operators.validate import ContractError, require_empty
 
 # Cell -> (indicator, unit) of the population table; the previous census sits in cell 10.
 FIELDS = {
@@ -57,3 +57,28 @@ def census_rows(cells: DataFrame, national: bool, year: int = 2023, prior_year:
     )
     require_empty(duplicate_keys(out, ["indicator", "geography", "period"]), "Duplicate geography/indicator/year")
     return out
+
+
+# What the first two rows of the population table say, by row and cell.
+HEADER = {(0, "c0"): "CENSUS-2023", (1, "c2"): "POPULATION"}
+
+
+def require_header(cells: DataFrame, header: dict[tuple[int, str], str] = HEADER) -> None:
+    """Fail when a workbook's columns may have moved; ``cells`` has the row number in ``r``."""
+    found = {row.r: row for row in cells.filter(F.col("r").isin(sorted({r for r, _ in header}))).collect()}
+    wrong = [f"row {r} {c}" for (r, c), text in header.items() if r not in found or text not in str(found[r][c] or "")]
+    if wrong:
+        raise ContractError(f"The table's header differs at {wrong}; its columns need a review.")
+
+
+def census_observations(cells: DataFrame, file_name: str, source_url: str, **options) -> DataFrame:
+    """Canonical observations of one workbook; ``cells`` holds the row number ``r`` and ``c0`` .. ``c11``."""
+    require_header(cells)
+    numbers = cells.withColumns({f"c{i}": F.col(f"c{i}").try_cast("double") for i in range(2, 12)})
+    rows = census_rows(numbers, file_name.rsplit("/", 1)[-1] == "table_1_national.xlsx", **options)
+    if rows.isEmpty():
+        raise ContractError(f"{file_name} names no known geography.")
+    return rows.select(
+        census_dataset(F.lit(file_name)).alias("dataset"), "indicator", "geography", "period", "value", "unit",
+        F.lit("annual").alias("frequency"), F.lit(source_url).alias("source_url"),
+    )

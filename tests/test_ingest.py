@@ -290,3 +290,20 @@ def test_dictionary_file(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps({"economy": [["A", "gdp", "GDP", "usd"]], "trade": [["B", "exp", "Exports", "usd"]]}, indent=1))
     assert sorted(tuple(r) for r in files.read_dictionary(spark, str(tmp_path / "d.json")).collect()) == [
         ("economy", "A", "gdp", "GDP", "usd"), ("trade", "B", "exp", "Exports", "usd")]
+
+
+def test_census_workbook(spark):
+    from statweave.schema import COLUMNS
+    from statweave.sources import census
+
+    names = ", ".join(f"c{i} string" for i in range(12))
+    row = lambda label: [label, None, "10", "4", "5", "1", None, "2.5", "40", "6", "9", "1.1"]
+    head = [["CENSUS-2023 table", *[None] * 11], [None, None, "POPULATION", *[None] * 9]]
+    cells = lambda rows: spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"r int, {names}")
+    out = census.census_observations(cells([*head, row("Upper-Dir  District"), row("TOTAL")]), "raw/table_1_kp_districts.xlsx", "https://x/")
+    assert out.columns == COLUMNS and out.count() == 9
+    assert {(r.dataset, r.geography, r.frequency) for r in out.collect()} == {("pbs_census_2023_kp", "Upper-Dir", "annual")}
+    with pytest.raises(ContractError, match="header"):
+        census.census_observations(cells([row("x"), row("y")]), "table_1_kp_districts.xlsx", "https://x/")
+    with pytest.raises(ContractError, match="no known geography"):
+        census.census_observations(cells([*head, row("TOTAL")]), "table_1_kp_districts.xlsx", "https://x/")
