@@ -37,7 +37,34 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op1_ngram_jaccard_join")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+
+@query(
+    "op1_ngram_jaccard_join",
+    f"""
+    with recursive w as (
+      select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORDS}') as w from documents
+    ), s as (
+      select doc_id, unnest(list_distinct(case
+        when len(w) >= 5 then list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i : i + 4], ' '))
+        when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as g from w
+    ), n as (
+      select doc_id, count(*) as n from s group by doc_id
+    ), p as (
+      select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+    ), l as (
+      select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 80 * (nx.n + ny.n - c)
+    ), e as (
+      select x, y from l union all select y, x from l
+    ), r as (
+      select doc_id as x, doc_id as y from documents union select r.x, e.y from r join e on r.y = e.x
+    )
+    select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id from documents d left join n using (doc_id)
+    join (select x as doc_id, min(y) as component_id from r group by x) m using (doc_id)
+    """,
+)
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component and shingle count of every document."""
     found = ngram_join.gram_components(read_table(spark, sf_dir, "documents"), n=5, percent=80)
@@ -124,7 +151,26 @@ def suffix_dedup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
-@query("op5_substring_dedup")
+@query(
+    "op5_substring_dedup",
+    f"""
+    with w as (
+      select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') as w from documents
+    ), v as (
+      select doc_id, unnest(generate_series(1, len(w) - 19)) as i, w from w where len(w) >= 20
+    ), k as (
+      select doc_id, i, row_number() over (partition by array_to_string(w[i : i + 19], ' ') order by doc_id, i) as nth from v
+    ), g as (
+      select distinct doc_id, i + o as i from k, (select unnest(generate_series(0, 19)) as o) where nth > 1
+    ), u as (
+      select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from w
+    ), m as (
+      select doc_id, string_agg(word, ' ' order by i) as kept, count(*) as n from u anti join g using (doc_id, i) group by doc_id
+    )
+    select w.doc_id, len(w) as n_words, len(w) - coalesce(m.n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+    from w left join m using (doc_id)
+    """,
+)
 def substring_dedup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words that repeated 20-word windows cover."""
     left = phrase_dedup.remove_repeated_words(read_table(spark, sf_dir, "documents"), window=20)
