@@ -30,10 +30,10 @@ _NEEDS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){15}",
     "phone": r"\+[0-9]",
 }
-TERM = r"\p{L}{3,}"
+TERM_LETTERS = 3
 NEAR = 48
 """Characters on each side of an entity in which terms are counted."""
-SUPPORT, SHARE, BITS = 2, 0.5, 6.0
+SUPPORT, SHARE, BITS = 3, 0.5, 6.0
 """A term reveals an entity if it stands near it in that many different surroundings, in that share of all documents with the term, and
 sharpens the guess by that many bits."""
 
@@ -56,12 +56,15 @@ def _hits(text: Column) -> Column:
 
 
 def _candidates(text: Column, kind: str, pattern: str) -> Column:
+    # Zipped rather than looked up by index: Spark would split the text anew for every match.
     between = F.split(text, pattern, -1)
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    zipped = F.arrays_zip(found.alias("found"), between.alias("before"), F.slice(between, F.lit(2), F.lit(1 << 30)).alias("after"))
     return F.transform(
-        F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)),
-        lambda m, i: F.struct(
-            F.lit(kind).alias("kind"), i.cast("int").alias("nth"), F.length(F.get(between, i)).alias("gap"), m.alias("found"),
-            F.right(F.get(between, i), F.lit(NEAR)).alias("before"), F.left(F.get(between, i + 1), F.lit(NEAR)).alias("after"),
+        F.filter(zipped, lambda z: z["found"].isNotNull()),
+        lambda z, i: F.struct(
+            F.lit(kind).alias("kind"), i.cast("int").alias("nth"), F.length(z["before"]).alias("gap"), z["found"].alias("found"),
+            F.right(z["before"], F.lit(NEAR)).alias("before"), F.left(z["after"], F.lit(NEAR)).alias("after"),
         ),
     )
 
@@ -85,17 +88,22 @@ def entities(docs: DataFrame) -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1)))
+    """Distinct lower-cased runs of letters; short ones among them are left out by ``long_enough``."""
+    return F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
+
+
+def long_enough() -> Column:
+    return F.length("term") >= TERM_LETTERS
 
 
 def revealing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
     """Terms that give an entity away: term, entity, together (documents), with_term, share, bits. Counts cover all documents."""
     near = found.select("key", "entity", F.concat_ws(" ", "before", "after").alias("near"))
-    near = near.select("key", "entity", F.xxhash64("near").alias("around"), F.explode(_terms(F.col("near"))).alias("term"))
+    near = near.select("key", "entity", F.xxhash64("near").alias("around"), F.explode(_terms(F.col("near"))).alias("term")).where(long_enough())
     together = near.groupBy("term", "entity").agg(F.count_distinct("key").alias("together"), F.count_distinct("around").alias("settings"))
     together = stored(together.where(F.col("settings") >= support), "pii-together")
     holding = found.groupBy("entity").agg(F.count_distinct("key").alias("with_entity"))
-    counts = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    counts = docs.select(F.explode(_terms(F.col("text"))).alias("term")).where(long_enough()).groupBy("term").agg(F.count("*").alias("with_term"))
     total = docs.count()
     rated = (
         together.join(counts, "term").join(holding, "entity")
@@ -113,12 +121,11 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     held = docs.select(row_key().alias("key"), F.explode(_terms(F.col("text"))).alias("term"))
     marked = stored(held.join(terms.select("term").distinct(), "term").groupBy("key").agg(F.collect_set("term").alias("terms")), "pii-marked")
     texts = docs.select(row_key().alias("key"), "text").join(marked, "key").dropDuplicates(["key"])
-    between = F.split("text", r"\p{L}+", -1)
+    gaps = F.transform(F.split("text", r"\p{L}+", -1), lambda x: F.length(x))
     words = F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))
-    taken = texts.select("key", "terms", F.posexplode(F.transform(words, lambda w, i: F.struct(w.alias("word"), F.length(F.get(between, i)).alias("gap"))))).select(
-        "key", "terms", F.col("pos").alias("nth"), "col.word", "col.gap"
-    )
-    placed = taken.withColumn("start", F.expr("sum(gap + length(word)) over (partition by key order by nth) - length(word)"))
+    zipped = F.posexplode(F.arrays_zip(words.alias("word"), gaps.alias("gap")))
+    taken = texts.select("key", "terms", zipped).select("key", "terms", F.col("pos").alias("nth"), "col.word", "col.gap")
+    placed = taken.where("word is not null").withColumn("start", F.expr("sum(gap + length(word)) over (partition by key order by nth) - length(word)"))
     hit = placed.where(F.array_contains("terms", F.lower("word")))
     return hit.select("key", F.lit("term").alias("kind"), "start", (F.col("start") + F.length("word")).alias("end"))
 

@@ -309,7 +309,7 @@ def test_personal_cases(spark, table):
 
 
 def test_personal_terms_are_removed(table):
-    texts = [(i, f"Please ask {n} Zorblax at help{n}@corp.example about item {i}.") for i, n in enumerate(["anna", "bert"] * 2)]
+    texts = [(i, f"Please ask {n} Zorblax at help{n}@corp.example about item {i}.") for i, n in enumerate(["anna", "bert"] * 4)]
     texts = [(i, t.replace("anna Zorblax", "Zorblax").replace("bert Zorblax", "Quimby")) for i, t in texts]
     texts += [(10 + i, BASE) for i in range(400)] + [(500, "Today Zorblax sleeps. zorblaxes too")]
     clean = pii.sanitised(table(texts))
