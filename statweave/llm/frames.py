@@ -32,9 +32,21 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable
     return df.mapInArrow(fn, schema)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The result as a table in the shared folder: later reads neither recompute it nor depend on one executor."""
-    return materialized(df, name)
+    """The result as a table in the shared folder: later reads neither recompute it nor depend on one executor.
+
+    Spark drops the shuffle files of the step when it is done; nothing reads them again.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return materialized(df, name)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -88,8 +100,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     down = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     # Each task first turns its own edges into stars.
     current = stored(map_batches(down, _stars, "u long, v long", 50_000).distinct(), name)
-    print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = print_of(current)
+    fingerprint = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = fingerprint(current)
     while before[0]:
         both = current.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -99,7 +111,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
         current = stored(small.select("e.u", "e.v").where("u <> v").distinct(), name)
-        now = print_of(current)
+        now = fingerprint(current)
         if now == before:  # edges only ever move down, so this is the end
             break
         before = now

@@ -180,14 +180,8 @@ def window_runs(docs: DataFrame, split: Callable[[np.ndarray, np.ndarray], Units
     rows = map_batches(with_bytes(docs.where("doc_id is not null"), "doc_id"), _contexts(split, window, gram), "route long, key long, doc_id long, start int, count int")
     rows = rows.repartition("route").sortWithinPartitions("route", "key", "doc_id", "start")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    settled = rows.mapInArrow(_settle, "doc_id long, start int, count int, kind byte")
-    return _written(settled, "window-runs")
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    out = stored(df, name)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return out
+    settled = stored(rows.mapInArrow(_settle, "doc_id long, start int, count int, kind byte"), "window-runs")
+    return settled
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from statweave.llm import kernel, repeats
 from statweave.llm.frames import stored
 
-THRESHOLD, GRAM = 100, 24
+THRESHOLD, GRAM = 100, 32
 
 
 def byte_units(buf: np.ndarray, offs: np.ndarray) -> repeats.Units:
@@ -48,7 +48,8 @@ def _open_pairs(threshold: int):
 
         def out():
             r1, r2, doc, start = (np.concatenate(x) for x in zip(*held))
-            return repeats.collapsed(r1, kernel.mix(r1 ^ kernel.mix(r2)), doc, start, np.ones(len(doc), np.int64))
+            rank = kernel.mix(r1 ^ kernel.mix(r2))  # the pair's own name, by which it is sorted
+            return repeats.collapsed(rank, rank, doc, start, np.ones(len(doc), np.int64))
 
         for doc_id, texts, start, count in repeats.each_document(batches):
             if not texts or not len(start):
@@ -111,8 +112,7 @@ def repeated_suffixes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     runs = repeats.window_runs(docs, byte_units, threshold, min(GRAM, threshold))
     opened = runs.where(F.col("kind") == repeats.UNDECIDED)
     pairs = repeats.beside_text(docs.where("doc_id is not null"), opened, _open_pairs(threshold), "route long, key long, doc_id long, start int, count int")
-    pairs = stored(pairs, "suffix-pairs").repartition("route").sortWithinPartitions("route", "key", "doc_id", "start")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    pairs = pairs.repartition("route").sortWithinPartitions("route", "key", "doc_id", "start")
     later = stored(pairs.mapInArrow(_repeated_suffixes, "doc_id long, start int, count int"), "suffix-later")
     return runs.where(F.col("kind").isin(repeats.REPEATED, repeats.SETTLED)).select("doc_id", "start", "count").unionByName(later)
 
