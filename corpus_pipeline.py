@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from statweave.llm import mixing, ngram_join, packing, pii, quality
 from statweave.llm.frames import read_table, stored
-from statweave.llm.queries import tokenizer_path
+from statweave.llm.queries import RANKS, tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of 2048 tokens."""
-    return packing.pack_documents(docs, tokenizer_path(), capacity=2048)
+    return packing.pack_documents(docs, tokenizer_path(), capacity=2048, ranks=tokenizer_path(RANKS))
 
 
 STAGES = [

@@ -8,6 +8,7 @@ documents; pieces find their sequence through their rank among those of the same
 
 from __future__ import annotations
 
+import base64
 import functools
 import math
 import zlib
@@ -15,49 +16,87 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenizers import Tokenizer
+
 from statweave.llm.frames import map_batches, stored
 
 CAPACITY = 2048
+COMPARED = 50
+"""Texts of each worker on which both readers of the vocabulary are compared."""
 TRIPLE_STEP = 8
 """Patterns of three lengths are made for every so-many-th first length; patterns of two are complete."""
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class _Encoder:
+    """A byte-level BPE tokenizer, with a faster reader of the same vocabulary where one is given.
+
+    Both cut a text into words by one pattern and merge inside each word, so their ids are the same. The faster one takes texts of Latin
+    letters and plain signs only, as classes of other characters may differ between libraries, and is held against the tokenizer on the
+    first texts of every worker.
+    """
+
+    # Fixed value: the pattern by which the public byte-level vocabularies cut text into words.
+    CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+    def __init__(self, path: str, ranks: str | None):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # such strings are ordinary text here
+        self.plain = regex.compile(r"[\t\n\r -~\u00a1-\u017f]*")
+        self.fast, self.compared = None, 0
+        if ranks:
+            with open(ranks, "rb") as lines:
+                known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding("pieces", pat_str=self.CUT, mergeable_ranks=known, special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.fast is None or self.plain.fullmatch(text) is None:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        out = self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        if self.compared < COMPARED:
+            self.compared += 1
+            if out.tolist() != self.tokenizer.encode(text, add_special_tokens=False).ids:
+                raise ValueError("The ranks are not those of the tokenizer's vocabulary")
+        return out
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # such strings are ordinary text here
-    return tokenizer
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str, ranks: str | None) -> _Encoder:
+    return _Encoder(path, ranks)
 
 
-def _pieces(path: str, capacity: int, end: int):
+def _pieces(path: str, ranks: str | None, capacity: int, end: int):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        encoder = _encoder(path, ranks)
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
-                at, to = 0, (len(ids) - 1) % capacity + 1  # the first piece is the short one
-                k = 0
-                while at < len(ids):
-                    out.append((doc_id, k, at, to - at, zlib.crc32(ids[at:to].tobytes())))
-                    at, to, k = to, to + capacity, k + 1
+            texts = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
+            out = [row for i, text in texts for row in cut_pieces(i, encoder.ids(text or ""))]
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
+    def cut_pieces(doc_id, tokens: np.ndarray) -> Iterator[tuple]:
+        tokens = np.append(tokens, np.uint32(end))
+        at, to, k = 0, (len(tokens) - 1) % capacity + 1, 0  # the first piece is the short one
+        while at < len(tokens):
+            yield doc_id, k, at, to - at, zlib.crc32(tokens[at:to].tobytes())
+            at, to, k = to, to + capacity, k + 1
+
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
-    """Pieces of at most capacity tokens of every document: doc_id, piece, start, length, ids_crc32."""
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0, ranks: str | None = None) -> DataFrame:
+    """Pieces of at most capacity tokens of every document: doc_id, piece, start, length, ids_crc32.
+
+    tokenizer: path of a tokenizer file; ranks: path of the same byte-level vocabulary as ranks, if there is one.
+    """
     rows = docs.select("doc_id", "text")
-    return map_batches(rows, _pieces(tokenizer, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_batches(rows, _pieces(tokenizer, ranks, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def fit_counts(need: np.ndarray, patterns: np.ndarray, rounds: int = 300) -> np.ndarray:
@@ -208,9 +247,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0, ranks: str | None = None) -> DataFrame:
     """Packs documents (doc_id, text): one row per piece with its sequence and offset.
 
     Null and empty texts are one piece that holds only the end id. Rows without doc_id are packed too.
     """
-    return pack(token_pieces(docs, tokenizer, capacity, end), capacity)
+    return pack(token_pieces(docs, tokenizer, capacity, end, ranks), capacity)

@@ -21,7 +21,7 @@ from statweave.llm import (
 )
 from statweave.llm.frames import read_table
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,7 +97,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 @query("op9_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence and offset of every piece of every document."""
-    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, ranks=tokenizer_path(RANKS))
 
 
 @query("op7_toxicity")
