@@ -478,7 +478,9 @@ def gram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         found = _relabelled(wide.drop("blocks", "block").withColumn("label", F.col("node")), links)
         across = stored(_linked(docs, _representatives(found), n, percent), "gram-links-representatives")
         found = stored(_split(_relabelled(found, across)), "gram-split")
-        links = links.unionByName(across).unionByName(stored(_linked(docs, _block_pairs(found), n, percent), "gram-links-blocks"))
+        links = links.unionByName(across)
+        if not found.isEmpty():
+            links = links.unionByName(stored(_linked(docs, _block_pairs(found), n, percent), "gram-links-blocks"))
 
     joined = components(links, "gram-components")
     named = nodes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
