@@ -67,10 +67,10 @@ def _phrase_places(words: Column, phrase: list[str], label: str) -> Column:
     return F.transform(hits, lambda i: F.struct(F.lit(label).alias("label"), i.cast("long").alias("at")))
 
 
-def _places(words: Column, text: Column) -> Column:
-    """Where the words of the fixed phrases stand consecutively: label and word index."""
-    pattern = "|".join(_GAP.join(p.split()) for p in PHRASES)
-    found = F.concat(*[_phrase_places(words, phrase.split(), label) for phrase, label in PHRASES.items()])
+def _places(words: Column, text: Column, phrases: dict[str, str]) -> Column:
+    """Where the words of the phrases stand consecutively: label and word index."""
+    pattern = "|".join(_GAP.join(p.split()) for p in phrases)
+    found = F.concat(*[_phrase_places(words, phrase.split(), label) for phrase, label in phrases.items()])
     none = F.array().cast("array<struct<label:string,at:bigint>>")
     return F.when(F.lower(text).rlike(pattern), found).otherwise(none)
 
@@ -87,42 +87,41 @@ def scan(docs: DataFrame) -> DataFrame:
     vocabulary = F.array(*[F.lit(w) for w in sorted({p[3] for p in _postings()})])
 
     worded = docs.select("doc_id", "text", file_words(F.col("text")).alias("words"))
-    some = F.arrays_overlap("words", vocabulary)
+    keys = {key: key for _, _, key in TEMPLATES}
     at = F.transform("words", lambda w, i: F.struct(w.alias("word"), i.cast("int").alias("at")))
     files = worded.select(
         F.monotonically_increasing_id().alias("file"), "doc_id", F.size("words").cast("long").alias("n_words"),
-        _places(F.col("words"), F.col("text")).alias("places"),
-        F.when(some, F.filter(at, lambda x: F.array_contains(vocabulary, x["word"]))).alias("hits"),
-        F.when(some, F.col("words")).alias("words"),
+        _places(F.col("words"), F.col("text"), PHRASES).alias("places"), _places(F.col("words"), F.col("text"), keys).alias("keys"),
+        F.array_intersect("words", vocabulary).alias("present"), "words",
     )
-    files = stored(files, "license-files")  # so that the row numbers stay
+    # Only a file that holds a key phrase somewhere can be accepted; of others no positions are kept.
+    positions = F.when(F.size("keys") > 0, F.filter(at, lambda x: F.array_contains(vocabulary, x["word"])))
+    files = stored(files.withColumn("hits", positions).drop("words"), "license-files")  # so that the row numbers stay
 
     hits = files.where("hits is not null").select("file", F.explode("hits").alias("h")).select("file", "h.word", "h.at")
     total = files.count()
     rare = hits.select("file", "word").distinct()
-    df = rare.groupBy("word").agg(F.log(F.lit(float(total + 1)) / (F.count("*") + 0.5)).alias("idf"))
+    df = files.select(F.explode("present").alias("word")).groupBy("word").agg(F.log(F.lit(float(total + 1)) / (F.count("*") + 0.5)).alias("idf"))
     weighted = postings.join(df, "word", "left").withColumn("idf", F.greatest(F.coalesce("idf", F.log(F.lit(2.0 * total + 2))), F.lit(0.01)))
     whole = weighted.groupBy("template").agg(F.sum("idf").alias("whole"))
 
-    looked = rare.join(F.broadcast(df), "word").selectExpr("file", "word", "dense_rank() over (partition by file order by idf desc) as nth").where(f"nth <= {RAREST}")
-    # Both sides of these joins are fixed: the templates above, a few hundred postings.
+    looked = rare.join(df, "word").selectExpr("file", "word", "dense_rank() over (partition by file order by idf desc) as nth").where(f"nth <= {RAREST}")
     votes = (
         hits.join(looked.select("file", "word"), ["file", "word"])
-        .join(F.broadcast(weighted), "word")
+        .join(weighted, "word")
         .withColumn("begin", F.col("at") - F.col("place"))
         .groupBy("file", "template", "label", "key", "key_at", "begin").agg(F.sum("idf").alias("votes"))
-        .join(F.broadcast(whole), "template").withColumn("share", F.col("votes") / F.col("whole")).where(f"share >= {ENOUGH}")
+        .join(whole, "template").withColumn("share", F.col("votes") / F.col("whole")).where(f"share >= {ENOUGH}")
     )
-    phrase = F.split("key", " ")
-    stands = F.slice("words", F.col("begin") + F.col("key_at") + 1, F.size(phrase)) == phrase
-    verified = votes.where("begin + key_at >= 0").join(files.select("file", "words"), "file").where(stands)
+    stands = files.select("file", F.explode("keys").alias("k")).select("file", F.col("k.label").alias("key"), F.col("k.at").alias("stands"))
+    verified = votes.withColumn("stands", (F.col("begin") + F.col("key_at")).cast("long")).join(stands, ["file", "key", "stands"])
     accepted = verified.groupBy("file").agg(F.collect_set("label").alias("added"), F.max("share").alias("share"))
 
     places = F.col("places")
     base = F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"])))
     both = F.array_sort(F.array_distinct(F.concat(base, F.coalesce("added", F.array().cast("array<string>")))))
     score = F.greatest(F.coalesce("share", F.lit(0.0)), F.when(F.size(places) > 0, F.lit(0.5)).otherwise(0.0))
-    return files.drop("hits", "words").join(accepted, "file", "left").select(
+    return files.drop("hits", "keys", "present").join(accepted, "file", "left").select(
         "doc_id", "n_words", F.size(places).cast("long").alias("n_base"),
         F.array_min(F.transform(places, lambda p: p["at"])).alias("first_word"),
         F.array_max(F.transform(places, lambda p: p["at"])).alias("last_word"),
