@@ -3,7 +3,9 @@
 Patterns find protected entities: e-mail and IP addresses, card and telephone numbers. Words near them may give an entity away although
 no pattern knows them, such as a name. How strongly a term reveals an entity is estimated from the whole corpus: the share of the
 documents with the term in which it stands near the entity, and the bits by which knowing the term sharpens the guess. Terms beyond
-both thresholds are spans too, wherever they occur. Spans are generalised to a tag of their kind. Everything is DataFrame code.
+both thresholds are spans too, wherever they occur, however few places they stand in: a term and an entity that had nothing to do with
+each other would meet by chance in ``together * 2**-bits`` documents, so that the bits bound how often k meetings are chance, by
+``(e / 2**bits) ** k``. Spans are generalised to a tag of their kind. Everything is DataFrame code.
 """
 
 from __future__ import annotations
@@ -33,9 +35,8 @@ _NEEDS = {
 TERM_LETTERS = 3
 NEAR = 48
 """Characters on each side of an entity in which terms are counted."""
-SUPPORT, SHARE, BITS = 3, 0.5, 6.0
-"""A term reveals an entity if it stands near it in that many different surroundings, in that share of all documents with the term, and
-sharpens the guess by that many bits."""
+SHARE, BITS = 0.5, 6.0
+"""A term reveals an entity if it stands near it in that share of all documents with the term and sharpens the guess by that many bits."""
 
 
 def _valid(kind: Column, found: Column) -> Column:
@@ -96,12 +97,11 @@ def long_enough() -> Column:
     return F.length("term") >= TERM_LETTERS
 
 
-def revealing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
+def revealing_terms(docs: DataFrame, found: DataFrame, share: float = SHARE, bits: float = BITS) -> DataFrame:
     """Terms that give an entity away: term, entity, together (documents), with_term, share, bits. Counts cover all documents."""
     near = found.select("key", "entity", F.concat_ws(" ", "before", "after").alias("near"))
-    near = near.select("key", "entity", F.xxhash64("near").alias("around"), F.explode(_terms(F.col("near"))).alias("term")).where(long_enough())
-    together = near.groupBy("term", "entity").agg(F.count_distinct("key").alias("together"), F.count_distinct("around").alias("settings"))
-    together = stored(together.where(F.col("settings") >= support), "pii-together")
+    near = near.select("key", "entity", F.explode(_terms(F.col("near"))).alias("term")).where(long_enough()).distinct()
+    together = stored(near.groupBy("term", "entity").agg(F.count("*").alias("together")), "pii-together")
     holding = found.groupBy("entity").agg(F.count_distinct("key").alias("with_entity"))
     counts = docs.select(F.explode(_terms(F.col("text"))).alias("term")).where(long_enough()).groupBy("term").agg(F.count("*").alias("with_term"))
     total = docs.count()

@@ -320,6 +320,17 @@ def test_personal_terms_are_removed(table):
     assert by[10] == BASE
 
 
+def test_personal_terms_of_few_places(table):
+    names = {"anna": "Zorblax", "bert": "Quimby", "carl": "Wexford", "dora": "Ullmann"}
+    texts = [(10 * k + i, f"Please ask {t} at help{n}@corp.example about item {i}.") for i, (n, t) in enumerate(names.items()) for k in range(2)]
+    texts += [(100, "Please ask Yttrian at once@corp.example about item 9."), (101, "Today Yttrian sleeps, Zorblax too")]
+    by = {r.doc_id: r.text for r in pii.sanitised(table(texts + [(200 + i, BASE) for i in range(400)])).collect()}
+    assert by[0] == by[10] == "Please ask [TERM] at [EMAIL] about item 0."  # two copies
+    assert by[100] == "Please ask [TERM] at [EMAIL] about item 9."  # one place
+    assert by[101] == "Today [TERM] sleeps, [TERM] too"
+    assert by[200] == BASE
+
+
 def test_kernel_hashes_are_content_hashes():
     buf = np.frombuffer("one two one two".encode(), np.uint8)
     words, first = kernel.word_hashes(buf, np.array([0, 7, 15]))
