@@ -1,10 +1,15 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects documents whose measure lies above a cutoff. Cutoffs are chosen on labelled documents, for each stratum and
-rule apart: going from the loosest to the strictest, a cutoff is certified while the exact binomial upper bound of its false
-rejection rate stays within the rule's share of the limit, and the walk ends at the first that is not. The order is fixed
-beforehand, so the walk needs no correction; the numbers of strata and rules are corrected for (Bonferroni). Of the certified
-cutoffs the one that rejects most labelled junk is used. Where labels do not suffice for a certificate, nothing is rejected.
+Each rule rejects documents whose measure lies above a cutoff. The cutoffs of all rules are tightened along one path of nested rule
+sets, for each stratum apart. Documents that are not labelled good order the path: steps that reach much labelled junk for few
+documents come first. Documents labelled good, which had no say in the order, certify it: from the loosest rule set on, one is certified
+while the exact binomial upper bound of the share of good documents that its rules reject together stays within the limit, and the walk
+ends at the first that is not. The order is fixed beforehand, so the walk needs no correction; the number of strata is corrected for
+(Bonferroni). Of the certified rule sets the one that rejects most labelled junk is used.
+
+Strata with too few good labels for any certificate are certified together, and if they still have too few, on the labels of all
+strata. Such a certificate bounds the share that the labelled mix loses, not that of each stratum in it. Where even this does not
+suffice, and in strata without good labels, nothing is rejected.
 """
 
 from __future__ import annotations
@@ -136,14 +141,53 @@ def choose_cutoff(good: np.ndarray, junk: np.ndarray, limit: float, risk: float,
     return pick
 
 
+def nested_path(junk: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The order in which cutoffs are tightened: for each rule and grid step the level at which it is reached, 0 for never.
+
+    junk, others: documents by rule and grid step; others are all that are not labelled good. A rule set rejects what lies above a
+    level; higher levels are rejected first. Each rule moves along the steepest gains of junk by documents, and the rules are merged by
+    this gain. Cutoffs that reach no more junk are not on the path.
+    """
+    moves = []
+    for rule in range(len(junk)):
+        # Documents above each cutoff, from the loosest one, which has none.
+        caught, hit = (np.append(np.cumsum(x[rule][:0:-1])[::-1], 0).astype(float) for x in (junk, others))
+        at, steepest = STEPS + 1, math.inf
+        while at and caught[0] > caught[at]:
+            gain = (caught[:at] - caught[at]) / (hit[:at] - hit[at] + 1)
+            to = int(np.flatnonzero(gain == gain.max())[-1])
+            steepest = min(steepest, float(gain[to]))
+            moves.append((-steepest, rule, -at, to))
+            at = to
+    steps = [(rule, cutoff) for _, rule, at, to in sorted(moves) for cutoff in range(-at - 1, to - 1, -1)]
+    level = np.zeros(junk.shape, np.int64)
+    for nth, (rule, cutoff) in enumerate(steps):
+        level[rule, cutoff + 1] = len(steps) - nth
+    return level
+
+
+def _tests(totals: list, limit: float, allowed: float) -> tuple[list[tuple], list[tuple]]:
+    """Which strata are certified together: rows of stratum and test, of those whose labels are used and of those that get the cutoffs.
+
+    totals: rows of stratum and good (labelled documents).
+    """
+    enough = lambda n: within_limit(0, n, limit, allowed)
+    small = [r.stratum for r in totals if not enough(r.good)]
+    served = [(r.stratum, nth + 1) for nth, r in enumerate(totals) if enough(r.good)]
+    few = not enough(sum(r.good for r in totals if not enough(r.good)))
+    pooled = [r.stratum for r in totals] if few else small
+    pool = [(x, 0) for x in pooled] if small else []
+    return served + pool, served + [(x, 0) for x in small]
+
+
 def learn_cutoffs(
     measures: DataFrame, labels: DataFrame, limit: float = 0.03, risk: float = 0.05, good_cost: float = 10.0
 ) -> DataFrame:
-    """Certified cutoffs: one row for each stratum, a column for each rule (null: the rule rejects nothing there).
+    """Certified cutoffs: one row for each stratum with good labels, a column for each rule (null: the rule rejects nothing there).
 
     measures: doc_id, stratum and the measures. labels: doc_id, quality (1 good, 0 junk); ids labelled both ways are left out.
-    limit: allowed share of good documents that a stratum loses, divided evenly between the rules. risk: allowed probability
-    that any bound fails. good_cost: junk documents that must be caught for each good one that is lost.
+    limit: allowed share of good documents that all rules together reject in a stratum, or in the pool of strata with few labels.
+    risk: allowed probability that any bound fails. good_cost: junk documents that must be caught for each good one that is lost.
     """
     names = list(rules())
     known = (
@@ -154,32 +198,49 @@ def learn_cutoffs(
         .select("doc_id", "quality")
     )
     # Documents that the fixed rules reject anyway say nothing about the cutoffs.
-    rows = measures.where(~base_failed()).join(known, "doc_id")
     step = lambda c: F.least(F.ceil(c * STEPS), F.lit(STEPS + 1)).cast("int")
+    passed = measures.where(~base_failed()).select("doc_id", "stratum", F.array(*[step(c) for c in rules().values()]).alias("steps"))
+    rows = stored(passed.join(known, "doc_id").select("stratum", "quality", "steps"), "quality-labelled")
+    tally = [F.sum((F.col("quality") == k).cast("long")).alias(n) for n, k in (("good", 1), ("junk", 0))]
     counts = (
-        rows.select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), step(c).alias("step")) for n, c in rules().items()])).alias("r"))
-        .groupBy("stratum", "r.rule", "r.step")
-        .agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") == 0).cast("long")).alias("junk"))
-    )
+        rows.unionByName(passed.select("stratum", F.lit(None).cast(rows.schema["quality"].dataType).alias("quality"), "steps"))
+        .select("stratum", "quality", F.posexplode("steps").alias("rule", "step"))
+        .groupBy("stratum", "rule", "step").agg(*[F.coalesce(t, F.lit(0)).alias(n) for t, n in zip(tally, ("good", "junk"))], F.count_if(F.col("quality").isNull()).alias("every"))
+    )
     counts = stored(counts, "quality-counts")
-    strata = counts.select("stratum").distinct().count()
-    share, allowed = limit / len(names), risk / max(1, strata * len(names))
+    totals = rows.groupBy("stratum").agg(tally[0]).where("good > 0").orderBy("stratum").collect()
+    allowed = risk / max(1, len(totals))
+    spark, kind = measures.sparkSession, T.StructType([T.StructField("_stratum", counts.schema["stratum"].dataType), T.StructField("test", T.IntegerType())])
+    used, served = (F.broadcast(spark.createDataFrame(x, kind)) for x in _tests(totals, limit, allowed))
+    same = F.col("stratum").eqNullSafe(F.col("_stratum"))
+
+    def order(pdf):
+        import pandas as pd
+
+        junk, others = np.zeros((2, len(names), STEPS + 2), np.int64)
+        np.add.at(junk, (pdf["rule"], pdf["step"]), pdf["junk"])
+        np.add.at(others, (pdf["rule"], pdf["step"]), pdf["every"] - pdf["good"])
+        return pd.DataFrame({"test": [pdf["test"].iloc[0]], "level": [nested_path(junk, others).tolist()]})
+
+    paths = stored(counts.join(used, same).groupBy("test").applyInPandas(order, "test int, level array<array<int>>"), "quality-paths")
+    paths = F.broadcast(paths)
+    reached = F.array_max(F.transform("steps", lambda s, i: F.get(F.get("level", i), s)))
+    found = rows.join(used, same).join(paths, "test").withColumn("reached", reached).groupBy("test", "reached").agg(*tally).join(paths, "test")
 
     def certify(pdf):
         import pandas as pd
 
-        out = {"stratum": pdf["stratum"].iloc[0]}
-        for name in names:
-            part = pdf[pdf["rule"] == name]
-            good, junk = np.zeros(STEPS + 2, np.int64), np.zeros(STEPS + 2, np.int64)
-            good[part["step"]] = part["good"]
-            junk[part["step"]] = part["junk"]
-            pick = choose_cutoff(good, junk, share, allowed, good_cost)
-            out[name] = None if pick is None else pick / STEPS
-        return pd.DataFrame([out])
-
-    schema = T.StructType([counts.schema["stratum"], *(T.StructField(n, T.DoubleType()) for n in names)])
-    return stored(counts.groupBy("stratum").applyInPandas(certify, schema), "quality-cutoffs")
+        level = np.array(pdf["level"].iloc[0].tolist())
+        good, junk = np.zeros((2, level.max() + 1), np.int64)
+        good[pdf["reached"]] = pdf["good"]
+        junk[pdf["reached"]] = pdf["junk"]
+        pick = choose_cutoff(good, junk, limit, allowed, good_cost)
+        loose = np.full(len(names), STEPS + 1) if pick is None else (level <= pick).cumprod(axis=1).sum(axis=1) - 1
+        return pd.DataFrame([{"test": pdf["test"].iloc[0]} | {n: None if c > STEPS else c / STEPS for n, c in zip(names, loose)}])
+
+    schema = T.StructType([kind["test"], *(T.StructField(n, T.DoubleType()) for n in names)])
+    cutoffs = found.groupBy("test").applyInPandas(certify, schema)
+    return stored(served.join(cutoffs, "test").select(F.col("_stratum").alias("stratum"), *names), "quality-cutoffs")
 
 
 def judged(measures: DataFrame, cutoffs: DataFrame) -> DataFrame:

@@ -129,6 +129,33 @@ def test_quality_certificate():
     assert quality.choose_cutoff(good + junk, junk, 0.5, 0.0025, 10.0) is None
 
 
+def test_quality_certificate_of_all_rules_together(table, spark):
+    """150 good labels suffice for a language; languages with fewer share a certificate; good documents with high marks stay."""
+    junk = lambda i: BASE + f" {i} " + "# $ % " * 20
+    good = lambda i: BASE + f" {i} " + "now, then; " * (30 if i % 10 == 0 else 1)
+    sizes = {"en": (160, 30), "de": (100, 20), "fr": (60, 10), None: (0, 5)}
+    rows, labels = [], []
+    for lang, (n_good, n_junk) in sizes.items():
+        for i in range(n_good + n_junk):
+            rows.append((len(rows), good(i) if i < n_good else junk(i), lang))
+            labels.append((len(labels), int(i < n_good)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    lost = [r.doc_id for r in quality.quality_rules(docs, known).where("not kept").collect()]
+    assert sorted(lost) == [i for i, q in labels if q == 0 and rows[i][2] is not None]  # no certificate without good labels
+    few = docs.where("doc_id % 2 = 0")  # 80, 50 and 30 good: too few each, enough together
+    assert few.where("lang is not null").join(quality.keep_good(few, known), "doc_id", "left_anti").count() == 30
+
+
+def test_quality_path_is_nested():
+    junk, others = np.zeros((2, 5, quality.STEPS + 2), np.int64)
+    junk[0, 100], junk[1, 50] = 40, 10
+    others[:] = 1
+    others[0, 100], others[1, 50] = 41, 400
+    level = quality.nested_path(junk, others)
+    assert (np.diff(level, axis=1) >= 0)[:, : quality.STEPS].all() and not level[2:].any()
+    assert level[0, 100] > level[1, 201] and level[0, 99] == level[1, 49] == 0
+
+
 def test_mixing_cases(spark, table):
     docs = table(CASES).withColumn("sources", F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("b"))).otherwise(F.array("source")))
     got = mixing.mix(docs).collect()
