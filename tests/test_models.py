@@ -212,3 +212,26 @@ def test_reports_of_blocked_series_have_all_fields(spark, series, tmp_path):
     reports.save(panel.forecast(fact, models=("ridge",)), fact, str(tmp_path / "r"), "forecast")
     row = reports.listing(spark, str(tmp_path / "r"), "forecast").select("status", "reason", "selected_model", "forecast").first()
     assert tuple(row) == ("blocked", "too_short", None, None)
+
+
+def test_panel_queries_read_every_series_with_the_default_rounds(spark, sf, monkeypatch):
+    import __spark_entry__ as entry
+    from workload.observations import obs
+
+    class Called(Exception):
+        pass
+
+    def called(fact, **how):
+        raise Called(fact, how)
+
+    monkeypatch.setattr(panel, "forecast", called)
+    every = {r.dataset for r in obs(spark, sf).select("dataset").distinct().collect()}
+    models = {
+        "panel_model_metrics": {}, "forest_panel_metrics": {"models": ("ridge", "random_forest")},
+        "boosting_panel_metrics": {"models": ("gradient_boosting",)}, "ridge_panel_forecast": {"models": ("ridge",)},
+    }
+    for name, want in models.items():
+        with pytest.raises(Called) as e:
+            entry.queries()[name](spark, sf)
+        fact, how = e.value.args
+        assert how == want and {r.dataset for r in fact.select("dataset").distinct().collect()} == every

@@ -68,11 +68,6 @@ def expanding_folds(spark, d):
     return panel.with_blocks(ready.filter("row > 12")).select(*KEY, "block")
 
 
-def _long_history(spark, d):
-    """Monthly series of nations and the world, all of them."""
-    return obs(spark, d, "shipments_nation", "shipments_world", "orders_nation", "orders_world")
-
-
 @query(
     "ridge_fold_moments",
     f"""WITH {OBS}, {_ELIGIBLE}, f AS (SELECT *, lag(value, 1) OVER ({_W}) AS lag_1, lag(value, 12) OVER ({_W}) AS lag_12 FROM ready),
@@ -95,29 +90,35 @@ def ridge_fold_moments(spark, d):
 
 @query("ridge_panel_forecast")
 def ridge_panel_forecast(spark, d):
-    out = panel.forecast(_long_history(spark, d), models=("ridge",))
+    out = panel.forecast(obs(spark, d), models=("ridge",))
     return out.select(*SERIES, "status", "reason", "selected_model", "holdout_start", F.explode_outer("forecast").alias("f")).select(
         *SERIES, "status", "reason", "selected_model", "holdout_start", "f.period", "f.value"
     )
 
 
-def _panel_metrics(spark, d, *models):
-    out = panel.forecast(obs(spark, d, "shipments_nation", "orders_nation"), models=models, rounds=20)
+def _panel_metrics(spark, d, **how):
+    out = panel.forecast(obs(spark, d), **how)
     return out.select(*SERIES, "status", "selected_model", F.explode_outer("metrics").alias("m")).select(
         *SERIES, "status", "selected_model", "m.model", "m.metrics.mae", "m.metrics.rmse", "m.metrics.mape_percent", "m.cv_one_step_mae", "m.parameter"
     )
 
 
+@query("panel_model_metrics")
+def panel_model_metrics(spark, d):
+    """All models of every series against the naive forecast."""
+    return _panel_metrics(spark, d)
+
+
 @query("forest_panel_metrics")
 def forest_panel_metrics(spark, d):
     """Ridge and random forest against the naive forecast."""
-    return _panel_metrics(spark, d, "ridge", "random_forest")
+    return _panel_metrics(spark, d, models=("ridge", "random_forest"))
 
 
 @query("boosting_panel_metrics")
 def boosting_panel_metrics(spark, d):
     """Gradient boosting against the naive forecast."""
-    return _panel_metrics(spark, d, "gradient_boosting")
+    return _panel_metrics(spark, d, models=("gradient_boosting",))
 
 
 _REGIME = ["ship_value", "ship_qty", "ship_lines", "returned_share", "accepted_share", "order_value", "order_count"]
