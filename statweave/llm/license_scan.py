@@ -1,9 +1,8 @@
-"""Licence scans with a positional index of rare words.
+"""Licence scans with a positional index of telling words.
 
-Templates are licence notices. Their telling words are posted with their positions. For every file, its licence words of highest inverse
-document frequency are looked up, and the postings of a template are intersected by relative position: words that agree on where the
-template would begin vote together, weighted by rarity. A template that gathers enough of its weight is accepted once its mandatory key
-phrase stands in the file at the expected place. Everything is DataFrame code.
+Templates are licence notices. Their telling words are posted with their positions. A template is a candidate wherever its mandatory key
+phrase stands in a file, which says where the template would begin. There all its posted words vote by relative position, weighted by
+their inverse document frequency, and a template that gathers enough of its weight is accepted. Everything is DataFrame code.
 """
 
 from __future__ import annotations
@@ -41,8 +40,6 @@ TEMPLATES = [
 ]
 COMMON = set("the of and to in is by for a as any this with or without are under all person terms 0 2 3 4 at on use free copy person subject".split())
 """Words too plain to be posted."""
-RAREST = 8
-"""Distinct licence words of a file that are looked up, by inverse document frequency; equal ones count together."""
 ENOUGH = 0.6
 """Share of a template's weight that must agree on one place."""
 
@@ -75,6 +72,15 @@ def _places(words: Column, text: Column, phrases: dict[str, str]) -> Column:
     return F.when(F.lower(text).rlike(pattern), found).otherwise(none)
 
 
+def _votes(keys: Column, words: Column) -> Column:
+    """The posted words that stand where a key phrase says: its place, and the templates and places that agree."""
+    fields = ["template", "key", "word", "place", "key_at"]
+    posted = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(fields, (t, key, w, i, at))]) for t, _, key, w, i, at in _postings()])
+    agrees = lambda k: lambda p: (p["key"] == k["label"]) & (F.get(words, (k["at"] + p["place"] - p["key_at"]).cast("int")) == p["word"])
+    named = lambda p: F.struct(p["template"].alias("template"), p["place"].alias("place"))
+    return F.transform(keys, lambda k: F.struct(k["at"].alias("stands"), F.transform(F.filter(posted, agrees(k)), named).alias("agreed")))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Licences of every file: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; one row per input row.
 
@@ -88,40 +94,31 @@ def scan(docs: DataFrame) -> DataFrame:
 
     worded = docs.select("doc_id", "text", file_words(F.col("text")).alias("words"))
     keys = {key: key for _, _, key in TEMPLATES}
-    at = F.transform("words", lambda w, i: F.struct(w.alias("word"), i.cast("int").alias("at")))
     files = worded.select(
         F.monotonically_increasing_id().alias("file"), "doc_id", F.size("words").cast("long").alias("n_words"),
         _places(F.col("words"), F.col("text"), PHRASES).alias("places"), _places(F.col("words"), F.col("text"), keys).alias("keys"),
         F.array_intersect("words", vocabulary).alias("present"), "words",
     )
-    # Only a file that holds a key phrase somewhere can be accepted; of others no positions are kept.
-    positions = F.when(F.size("keys") > 0, F.filter(at, lambda x: F.array_contains(vocabulary, x["word"])))
-    files = stored(files.withColumn("hits", positions).drop("words"), "license-files")  # so that the row numbers stay
+    files = stored(files.withColumn("votes", _votes(F.col("keys"), F.col("words"))).drop("words", "keys"), "license-files")  # so that the row numbers stay
 
-    hits = files.where("hits is not null").select("file", F.explode("hits").alias("h")).select("file", "h.word", "h.at")
+    votes = files.select("file", F.explode("votes").alias("v")).select("file", "v.stands", F.explode("v.agreed").alias("a")).select("file", "stands", "a.*")
     total = files.count()
-    rare = hits.select("file", "word").distinct()
     df = files.select(F.explode("present").alias("word")).groupBy("word").agg(F.log(F.lit(float(total + 1)) / (F.count("*") + 0.5)).alias("idf"))
     weighted = postings.join(df, "word", "left").withColumn("idf", F.greatest(F.coalesce("idf", F.log(F.lit(2.0 * total + 2))), F.lit(0.01)))
     whole = weighted.groupBy("template").agg(F.sum("idf").alias("whole"))
 
-    looked = rare.join(df, "word").selectExpr("file", "word", "dense_rank() over (partition by file order by idf desc) as nth").where(f"nth <= {RAREST}")
-    votes = (
-        hits.join(looked.select("file", "word"), ["file", "word"])
-        .join(weighted, "word")
-        .withColumn("begin", F.col("at") - F.col("place"))
-        .groupBy("file", "template", "label", "key", "key_at", "begin").agg(F.sum("idf").alias("votes"))
+    verified = (
+        votes.join(weighted.select("template", "label", "place", "idf"), ["template", "place"])
+        .groupBy("file", "template", "label", "stands").agg(F.sum("idf").alias("votes"))
         .join(whole, "template").withColumn("share", F.col("votes") / F.col("whole")).where(f"share >= {ENOUGH}")
     )
-    stands = files.select("file", F.explode("keys").alias("k")).select("file", F.col("k.label").alias("key"), F.col("k.at").alias("stands"))
-    verified = votes.withColumn("stands", (F.col("begin") + F.col("key_at")).cast("long")).join(stands, ["file", "key", "stands"])
     accepted = verified.groupBy("file").agg(F.collect_set("label").alias("added"), F.max("share").alias("share"))
 
     places = F.col("places")
     base = F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"])))
     both = F.array_sort(F.array_distinct(F.concat(base, F.coalesce("added", F.array().cast("array<string>")))))
     score = F.greatest(F.coalesce("share", F.lit(0.0)), F.when(F.size(places) > 0, F.lit(0.5)).otherwise(0.0))
-    return files.drop("hits", "keys", "present").join(accepted, "file", "left").select(
+    return files.drop("votes", "present").join(accepted, "file", "left").select(
         "doc_id", "n_words", F.size(places).cast("long").alias("n_base"),
         F.array_min(F.transform(places, lambda p: p["at"])).alias("first_word"),
         F.array_max(F.transform(places, lambda p: p["at"])).alias("last_word"),

@@ -240,6 +240,17 @@ def test_license_cases(table):
     assert license_scan.scan(table([])).count() == 0
 
 
+def test_license_of_several_notices(table):
+    """Every notice that stands word for word is found, whatever other licence words the file or the corpus holds."""
+    notices = [(label, n) for label, n, _ in license_scan.TEMPLATES if label in ("lgpl", "mit", "bsd", "mpl") and not n.startswith("released")]
+    vocabulary = sorted({p[3] for p in license_scan._postings()})
+    texts = [(i, " ".join(vocabulary[: i + 1])) for i in range(len(vocabulary))]  # no two words are equally frequent
+    texts += [(500, f" {BASE} ".join([*(n for _, n in notices), *vocabulary[:5]])), (501, " ".join(reversed(notices[0][1].split())))]
+    got = {r.doc_id: r for r in license_scan.scan(table(texts)).collect()}
+    assert len(notices) == 4 and got[500].labels == "bsd,lgpl,mit,mpl" and got[500].score == pytest.approx(1.0)
+    assert got[501].labels == ""
+
+
 def test_toxicity_cases(table, spark):
     texts = [(i, BASE + (" vile rotten" if i % 3 == 0 else " kind")) for i in range(60)] + CASES[3:] + [(200, "vile rotten " * 500)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(None, 1), (5, 0)], "doc_id long, toxic int")
