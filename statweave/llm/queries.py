@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statweave.llm import (
+    collocations,
     license_scan,
     metric_search,
     mixing,
@@ -175,3 +176,44 @@ def substring_dedup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words that repeated 20-word windows cover."""
     left = phrase_dedup.remove_repeated_words(read_table(spark, sf_dir, "documents"), window=20)
     return left.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query(
+    "op11_phrase_collocations",
+    f"""
+    with p as (
+      select coalesce(lang, 'und') as lang,
+        unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) as p from documents
+    ), w as (
+      select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from p
+    ), t as (
+      select lang, sum(len(w)) as n from w group by lang
+    ), o as (
+      select lang, k, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda i: w[i : i + k - 1])) as g
+      from w, (select unnest([1, 2, 3]) as k) where len(w) >= k
+    ), f as (
+      select lang, k, g, count(*) as f from o group by lang, k, g having count(*) >= 10
+    ), x as (
+      select lang, b, max(f) as f from (
+        select lang, g[1:2] as b, f from f where k = 3 union all select lang, g[2:3] as b, f from f where k = 3) group by lang, b
+    ), c as (
+      select f.lang, f.k, f.g, f.f as a, unnest(generate_series(1, f.k - 1)) as cut from f left join x on x.lang = f.lang and x.b = f.g
+      where f.k > 1 and (x.f is null or 100 * x.f < 50 * f.f)
+    ), s as (
+      select c.*, l.f as l, r.f as r, (1000000::hugeint * a * a) // (l.f::hugeint * r.f) as score from c
+      join f l on l.lang = c.lang and l.g = c.g[1 : cut] join f r on r.lang = c.lang and r.g = c.g[cut + 1 : c.k]
+    ), b as (
+      select *, row_number() over (partition by lang, g order by score, cut) as nth from s
+    ), ranked as (
+      select lang, array_to_string(g, ' ') as phrase, a, l, r, score,
+        row_number() over (partition by lang order by score desc, a desc, encode(array_to_string(g, ' '))) as "rank" from b where nth = 1
+    )
+    select lang, "rank", phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score
+    from ranked join t using (lang) where "rank" <= 2000
+    """,
+)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest collocations of every language."""
+    found = collocations.collocations(read_table(spark, sf_dir, "documents"), longest=3, least=10)
+    best = collocations.best_of_language(found, 2000)
+    return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
