@@ -17,6 +17,7 @@ from statweave.llm import (
     phrase_dedup,
     pii,
     quality,
+    simhash,
     suffix_dedup,
     toxicity,
 )
@@ -217,3 +218,11 @@ def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = collocations.collocations(read_table(spark, sf_dir, "documents"), longest=3, least=10)
     best = collocations.best_of_language(found, 2000)
     return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+@query("op13_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), n=3, distance=2)
+    fingerprint = F.lower(F.lpad(F.hex("print"), 16, "0"))
+    return found.select("doc_id", fingerprint.alias("fingerprint"), F.col("component").alias("component_id"))
