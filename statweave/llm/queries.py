@@ -17,6 +17,7 @@ from statweave.llm import (
     phrase_dedup,
     pii,
     quality,
+    resampling,
     simhash,
     suffix_dedup,
     toxicity,
@@ -226,3 +227,54 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), n=3, distance=2)
     fingerprint = F.lower(F.lpad(F.hex("print"), 16, "0"))
     return found.select("doc_id", fingerprint.alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+_TABLE = """
+    crc_table as (
+      select list(list_reduce(list_concat([b], [0, 0, 0, 0, 0, 0, 0, 0]),
+        lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) order by b) as tab from (select unnest(generate_series(0::bigint, 255)) as b)
+    )"""
+
+
+@query(
+    "op12_importance_resampling",
+    f"""
+    with {_TABLE.strip()}, w as (
+      select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+    ), b as (
+      select unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from benchmark
+    ), u as (
+      select doc_id, unnest(w) as word from w
+    ), v as (
+      select word, hex(encode(word)) as h from (select word from u union select word from b)
+    ), k as (
+      select word, xor(4294967295, list_reduce(
+        list_concat([4294967295::bigint], list_transform(generate_series(1, len(h), 2), lambda i: ('0x' || h[i : i + 1])::bigint)),
+        lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8))) % 10000 as bucket from v, crc_table
+    ), f as (
+      select doc_id, bucket from u join k using (word)
+    ), s as (
+      select bucket, count(*) as s from f group by bucket
+    ), t as (
+      select bucket, count(*) as t from b join k using (word) group by bucket
+    ), n as (
+      select (select coalesce(sum(s), 0) from s) as s, (select coalesce(sum(t), 0) from t) as t
+    ), g as (
+      select s.bucket, cast(floor(1000 * ln((cast(coalesce(t.t, 0) + 1 as double) * cast(n.s + 10000 as double))
+        / (cast(s.s + 1 as double) * cast(n.t + 10000 as double)))) as bigint) as gain from s left join t using (bucket), n
+    ), d as (
+      select doc_id, count(*) as n_features, cast(sum(gain) as bigint) as weight from f join g using (bucket) group by doc_id
+    ), z as (
+      select w.doc_id, coalesce(d.n_features, 0) as n_features, coalesce(d.weight, 0) as weight,
+        coalesce(d.weight, 0) + cast(floor(-1000 * ln(-ln((('0x' || sha256('2024:' || w.doc_id)[1:8])::bigint + 0.5::double) / 4294967296))) as bigint) as score
+      from w left join d using (doc_id)
+    ), r as (
+      select doc_id, row_number() over (order by score desc, doc_id) as r, count(*) over () as n from z where n_features >= 20
+    )
+    select z.doc_id, n_features, weight, score, case when r <= 10 * n // 100 then r end as "rank" from z left join r using (doc_id)
+    """,
+)
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document; a tenth is drawn towards the benchmark texts."""
+    found = resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
