@@ -88,12 +88,79 @@ def ridge_fold_moments(spark, d):
     )
 
 
-@query("ridge_panel_forecast")
+# Ridge from first principles: features of scaled values, normal equations per series, fold and alpha, solved by elimination, errors
+# over the folds, and recursive paths. Block k holds the rows that fold k validates; set k has the blocks up to k.
+_RIDGE = f"""
+  scale AS (SELECT {_S}, avg(value) FILTER (WHERE rn <= n - 12) AS center, stddev_pop(value) FILTER (WHERE rn <= n - 12) AS dev FROM ready GROUP BY ALL),
+  one AS (SELECT {_S}, row_number() OVER (ORDER BY {_S}) AS s, n, center, spread, list((value - center) / spread ORDER BY rn) AS v,
+      list(value ORDER BY rn) AS raw, month(min(period)) AS m0, max(period) AS last_period
+    FROM (SELECT ready.*, center, CASE WHEN dev > 0 THEN dev ELSE 1 END AS spread FROM ready JOIN scale USING ({_S})) GROUP BY {_S}, n, center, spread),
+  x AS (SELECT s, t, y, CASE WHEN t - 13 >= m THEN 4 WHEN t - 13 < m - 3 * size THEN 0 ELSE 1 + (t - 13 - (m - 3 * size)) // size END AS block, lags || [
+      list_avg(lags), sin(2 * pi() * ((m0 + t - 2) % 12 + 1) / 12), cos(2 * pi() * ((m0 + t - 2) % 12 + 1) / 12)] AS x
+    FROM (SELECT s, t, m0, n - 24 AS m, (n - 24) // 4 AS size, v[t] AS y, list_reverse(v[t - 12 : t - 1]) AS lags FROM one, unnest(generate_series(13, n)) u(t))),
+  l AS (SELECT s, k, t, y, x[i] AS x, i FROM x, generate_series(0, 4) g(k), generate_series(1, 15) h(i) WHERE block <= k),
+  mean AS (SELECT s, k, i, avg(x) AS mu, CASE WHEN stddev_pop(x) < 1e-12 THEN 1 ELSE stddev_pop(x) END AS sd, avg(y) AS my FROM l GROUP BY ALL),
+  z AS (SELECT s, k, t, i, (x - mu) / sd AS z, y - my AS y FROM l JOIN mean USING (s, k, i)),
+  normal AS (SELECT a.s, a.k, a.i, b.i AS j, sum(a.z * b.z) AS c FROM z a JOIN z b ON a.s = b.s AND a.k = b.k AND a.t = b.t GROUP BY ALL
+    UNION ALL SELECT s, k, i, 16, sum(z * y) FROM z GROUP BY ALL),
+  equations AS (SELECT s, k, a, alpha, list(row_ ORDER BY i) AS m FROM (
+      SELECT s, k, i, a, alpha, list(c + CASE WHEN i = j THEN alpha ELSE 0 END ORDER BY j) AS row_
+      FROM normal, (VALUES (0, 1.0::DOUBLE), (1, 10.0), (2, 100.0)) al(a, alpha) GROUP BY s, k, i, a, alpha) GROUP BY ALL),
+  solved AS (SELECT s, k, a, 1 AS step, m FROM equations UNION ALL
+    SELECT s, k, a, step + 1, list_transform(m, lambda r, i: CASE WHEN i = step THEN list_transform(r, lambda q: q / r[step])
+      ELSE list_transform(r, lambda q, j: q - r[step] * m[step][j] / m[step][step]) END) FROM solved WHERE step <= 15),
+  coef AS (SELECT s, k, a, list(b ORDER BY i) AS b, any_value(my) - sum(b * mu) AS b0
+    FROM (SELECT s, k, a, i, m[i][16] / sd AS b, mu, my FROM solved JOIN mean USING (s, k) WHERE step = 16) GROUP BY s, k, a),
+  cv AS (SELECT s, a, avg(e) AS cv FROM (SELECT s, a, k, avg(abs(y - b0 - list_inner_product(b, x)) * spread) AS e
+    FROM x JOIN coef USING (s) JOIN one USING (s) WHERE block = k + 1 AND k < 3 GROUP BY ALL) GROUP BY ALL),
+  best AS (SELECT s, arg_min(a, (cv, a)) AS a, min(cv) AS cv FROM cv GROUP BY s),
+  paths AS (SELECT s, k, b, b0, m0, 0 AS step, v[1 : CASE WHEN k = 3 THEN n - 12 ELSE n END] AS h FROM one JOIN best USING (s) JOIN coef USING (s, a) WHERE k >= 3
+    UNION ALL SELECT s, k, b, b0, m0, step + 1, h || [b0 + list_inner_product(b, list_reverse(h[-12:]) || [list_avg(h[-12:]),
+      sin(2 * pi() * ((m0 + len(h) - 1) % 12 + 1) / 12), cos(2 * pi() * ((m0 + len(h) - 1) % 12 + 1) / 12)])]
+    FROM paths WHERE step < CASE WHEN k = 3 THEN 12 ELSE 6 END),
+  held AS (SELECT s, raw[n - 12 + i] AS y, h[n - 12 + i] * spread + center AS p, raw[n - 24 + i] AS naive
+    FROM paths JOIN one USING (s), generate_series(1, 12) g(i) WHERE k = 3 AND step = 12),
+  scored AS (SELECT s, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse, avg(CASE WHEN abs(y) > 1e-10 THEN abs((y - p) / y) END) * 100 AS mape_percent,
+    avg(abs(y - naive)) AS naive FROM held GROUP BY s)"""
+
+
+def _sql_digits(x: str) -> str:
+    """Six significant digits; powers of ten are whole numbers, so that every engine has them exactly."""
+    e = f"(floor(log10(abs({x}))) - 5)"
+    return f"CASE WHEN {x} = 0 THEN 0.0 WHEN {e} < 0 THEN round({x} * pow(10.0, -{e})) / pow(10.0, -{e}) ELSE round({x} / pow(10.0, {e})) * pow(10.0, {e}) END"
+
+
+def _digits(c: str):
+    return F.expr(_sql_digits(c).replace("10.0", "10D").replace("0.0", "0D"))
+
+
+@query(
+    "ridge_panel_forecast",
+    f"""WITH RECURSIVE {OBS}, {_ELIGIBLE}, {_RIDGE},
+  f AS (SELECT s, i, CASE WHEN mae < naive THEN 'ridge' ELSE 'seasonal_naive' END AS model, CASE WHEN mae < naive THEN h[n + i] * spread + center ELSE raw[n - 12 + i] END AS value
+    FROM paths JOIN one USING (s) JOIN scored USING (s), generate_series(1, 6) g(i) WHERE k = 4 AND step = 6)
+  SELECT e.dataset, e.indicator, e.geography, e.unit, e.frequency, CASE WHEN reason IS NULL THEN 'trained' ELSE 'blocked' END AS status, reason, model AS selected_model,
+    CAST(CAST(last_period - to_months(11) AS DATE) AS VARCHAR) AS holdout_start, CAST(CAST(last_period + to_months(CAST(i AS INT)) AS DATE) AS VARCHAR) AS period,
+    {_sql_digits("value")} AS value FROM elig e LEFT JOIN one USING ({_S}) LEFT JOIN f USING (s)""",
+)
 def ridge_panel_forecast(spark, d):
     out = panel.forecast(obs(spark, d), models=("ridge",))
     return out.select(*SERIES, "status", "reason", "selected_model", "holdout_start", F.explode_outer("forecast").alias("f")).select(
         *SERIES, "status", "reason", "selected_model", "holdout_start", "f.period", "f.value"
-    )
+    ).withColumn("value", _digits("value"))
+
+
+@query(
+    "ridge_panel_metrics",
+    f"""WITH RECURSIVE {OBS}, {_ELIGIBLE}, {_RIDGE}
+  SELECT {_S}, {", ".join(f"{_sql_digits(c)} AS {c}" for c in ("mae", "rmse", "mape_percent"))}, {_sql_digits("cv")} AS cv_one_step_mae, [1.0, 10.0, 100.0][a + 1]::DOUBLE AS alpha
+  FROM one JOIN scored USING (s) JOIN best USING (s)""",
+)
+def ridge_panel_metrics(spark, d):
+    """Errors of every series' ridge over the folds and the held-out year, and the alpha its folds chose."""
+    out = panel.forecast(obs(spark, d), models=("ridge",)).select(*SERIES, F.explode("metrics").alias("m")).filter("m.model = 'ridge'")
+    found = out.select(*SERIES, "m.metrics.mae", "m.metrics.rmse", "m.metrics.mape_percent", "m.cv_one_step_mae", F.col("m.parameter").alias("alpha"))
+    return found.withColumns({c: _digits(c) for c in ("mae", "rmse", "mape_percent", "cv_one_step_mae")})
 
 
 def _panel_metrics(spark, d, **how):
