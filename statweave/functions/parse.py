@@ -14,7 +14,13 @@ _SPACES = (
 )
 _CLEAN_EDGES = r"(?s)\A[!-~](?:.*[!-~])?\z"
 _NUMBER = r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
-_PLAIN_DATE = r"\A\d{4}-\d{2}-\d{2}\z"
+_PLAIN_DATE = r"\A\d{4}(?:-\d{2}(?:-\d{2})?)?\z"
+# Year, month and day with one separator or none; hour, minute and second with colons or none; then a sign, hours and minutes.
+_DAY = r"(\d{4})(?:([-/. ])(\d{1,2})\2(\d{1,2})|(\d{2})(\d{2}))"
+_TIME = r"[T ](?:(\d{2})(\d{2})(?:(\d{2})(?:\.\d+)?)?|(\d{1,2})(?::(\d{1,2})(?::(\d{1,2})(?:\.\d+)?)?)?)"
+_LOCAL = rf"\A{_DAY}(?:{_TIME} ?Z?)?\z"
+_SHIFTED = rf"\A{_DAY}{_TIME} ?([+-])(?:(\d{{2}})(?::?(\d{{2}}))?|(\d)(?::(\d{{2}}))?)\z"
+_CLOCK = "$1-$3$5-$4$6 0$7$10:0$8$11:0$9$12"  # a part that is missing reads 0, others have a 0 too many
 _OTHER_SHAPE = r"(?s)\A(?!\d{4}(-\d{1,2}(-\d{1,2}([T ]\d.*)?)?)?\z).*\z"
 
 
@@ -40,14 +46,26 @@ def iso_date(c: Column) -> Column:
     """Text to the UTC calendar date of an ISO-8601 instant; unreadable text becomes null.
 
     A timestamp with an offset moves to UTC first, so a late evening west of
-    Greenwich lands on the next day.  Needs a UTC session.  Plain dates, the bulk of
-    published periods, take a cast; only the rest goes through the rewrites.
+    Greenwich lands on the next day.  Needs a UTC session.  Dates, months and years take
+    a cast, the common shapes of dates and times one anchored pattern; only what has
+    another shape goes through the rewrites.
     """
-    day = F.when(c.rlike(_PLAIN_DATE), c.try_cast("date")).otherwise(_instant_date(c))
+    day = (
+        F.when(c.rlike(_PLAIN_DATE), c.try_cast("date"))
+        .when(c.rlike(_LOCAL), _clock_date(c, _LOCAL, _CLOCK))
+        .when(c.rlike(_SHIFTED), _clock_date(c, _SHIFTED, _CLOCK + "$13$14$16:0$15$17"))
+        .otherwise(_instant_date(c))
+    )
     earliest, latest = (F.lit(bound).cast("date") for bound in (FIRST_PERIOD, LAST_PERIOD))
     return F.when(day.between(earliest, latest), day)
 
 
+def _clock_date(c: Column, pattern: str, replacement: str) -> Column:
+    """The UTC date of a text of this pattern, spelled the way a cast reads it."""
+    spelled = F.regexp_replace(F.regexp_replace(c, pattern, replacement), r"([ :])0(?=\d\d)", "$1")
+    return F.to_date(spelled.try_cast("timestamp"))
+
+
 def _instant_date(c: Column) -> Column:
     clock = r"[T ][\d:.]{1,20}"
     rewrites = [
