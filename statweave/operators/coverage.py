@@ -15,15 +15,44 @@ def indicator_coverage(fact: DataFrame) -> DataFrame:
     )
 
 
+COVERED = ["dataset", "indicator", "geography", "frequency"]
+
+
 def coverage_table(fact: DataFrame) -> DataFrame:
     """Coverage without the unit, as the mirror keeps it."""
-    return fact.groupBy("dataset", "indicator", "geography", "frequency").agg(
+    return fact.groupBy(*COVERED).agg(
         F.min("period").alias("first_period"),
         F.max("period").alias("last_period"),
         F.count("*").alias("observations"),
     )
 
 
+def changed_coverage(coverage: DataFrame, inserted: DataFrame, removed: DataFrame | None = None, remaining: DataFrame | None = None) -> DataFrame:
+    """The coverage table after some keys came and others went, without reading the rest of the fact.
+
+    Counts add up and insertions can only widen a span.  A removal may have taken the first
+    or last period of a series: such a series is counted anew from ``remaining``, the facts
+    after the change, of which only these series are read; all others follow from the
+    changed rows alone.  Series without observations are left out.
+    """
+    signed = lambda df, sign: df.select(*COVERED, "first_period", "last_period", (F.col("observations") * sign).alias("n"), F.lit(sign < 0).alias("gone"))
+    parts = signed(coverage, 1).unionByName(signed(coverage_table(inserted), 1))
+    if removed is not None:
+        parts = parts.unionByName(signed(coverage_table(removed), -1))
+    stays = lambda c: F.when(~F.col("gone"), F.col(c))
+    gone = lambda c: F.when(F.col("gone"), F.col(c))
+    merged = parts.groupBy(*COVERED).agg(
+        F.min(stays("first_period")).alias("first_period"), F.max(stays("last_period")).alias("last_period"), F.sum("n").alias("observations"),
+        F.min(gone("first_period")).alias("_low"), F.max(gone("last_period")).alias("_high"),
+    ).filter("observations > 0")
+    columns = [*COVERED, "first_period", "last_period", "observations"]
+    if removed is None:
+        return merged.select(*columns)
+    doubtful = F.coalesce((F.col("_low") <= F.col("first_period")) | (F.col("_high") >= F.col("last_period")), F.lit(False))
+    recounted = coverage_table(remaining.join(merged.filter(doubtful).select(*COVERED), COVERED, "left_semi"))
+    return merged.filter(~doubtful).select(*columns).unionByName(recounted.select(*columns))
+
+
 def geography_counts(fact: DataFrame) -> DataFrame:
     return fact.groupBy("geography").agg(F.count("*").alias("observations"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -103,6 +104,30 @@ def rejected_rows(typed_rows: DataFrame) -> DataFrame:
     return typed_rows.select(F.explode(failed).alias("r")).select("r.text.*", "r.reasons")
 
 
+def outcomes(typed_rows: DataFrame, sequence: list[str]) -> DataFrame:
+    """Every row once: typed where it is accepted, as the text it was with its reasons where not.
+
+    Written once, this is all that later steps need, so a source is parsed a single time.
+    """
+    valid, order = F.col("valid"), F.struct(*sequence)
+    return typed_rows.select(
+        F.when(valid, "accepted").otherwise("rejected").alias("outcome"),
+        *[F.when(valid, F.col(c)).alias(c) for c in [*KEY, "value", "source_url"]],
+        order.alias("seq"), "blanks",
+        F.when(~valid, F.col("text")).alias("text"), F.when(~valid, F.col("reasons")).alias("reasons"),
+    )
+
+
+def staged_outcomes(rows: DataFrame) -> DataFrame:
+    """``staged`` from written outcomes."""
+    return staged(rows.withColumn("valid", F.col("outcome") == "accepted"), ["seq"])
+
+
+def rejected_outcomes(rows: DataFrame) -> DataFrame:
+    """``rejected_rows`` from written outcomes; reads only the rejected ones."""
+    return rows.filter("outcome = 'rejected'").select("text.*", "reasons")
+
+
 def keep_first(rows: DataFrame, sequence: list[str], keys: list[str] = KEY) -> DataFrame:
     """One row per key: the earliest by ``sequence``.
 
@@ -148,24 +173,26 @@ def staged(typed_rows: DataFrame, sequence: list[str]) -> DataFrame:
     )
 
 
-def ingestion_counts(staged_rows: DataFrame) -> DataFrame:
-    """Counters and value quality of a staged batch; raw = processed + rejected + duplicates."""
+def counters() -> list[Column]:
+    """Counters and value quality of a staged batch as aggregates; raw = processed + rejected + duplicates."""
     accepted = F.col("outcome") == "accepted"
-    raw = F.coalesce(F.sum("copies"), F.lit(0))
-    processed = F.count_if(accepted)
-    missing = F.coalesce(F.sum("blanks"), F.lit(0))
     value = F.when(accepted, F.col("value"))
+    return [
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("raw_rows"),
+        F.count_if(accepted).alias("processed_rows"),
+        F.coalesce(F.sum(F.when(~accepted, F.col("copies"))), F.lit(0)).alias("rejected_rows"),
+        F.coalesce(F.sum(F.when(accepted, F.col("copies") - 1)), F.lit(0)).alias("duplicates"),
+        F.coalesce(F.sum("blanks"), F.lit(0)).alias("missing_values"),
+        F.min(value).alias("min_value"),
+        F.max(value).alias("max_value"),
+        F.count_if(F.abs(value) > EXTREME_VALUE).alias("extreme_values"),
+    ]
+
+
+def ingestion_counts(staged_rows: DataFrame) -> DataFrame:
+    """``counters`` and the percentages that follow from them."""
     return (
-        staged_rows.agg(
-            raw.alias("raw_rows"),
-            processed.alias("processed_rows"),
-            F.coalesce(F.sum(F.when(~accepted, F.col("copies"))), F.lit(0)).alias("rejected_rows"),
-            F.coalesce(F.sum(F.when(accepted, F.col("copies") - 1)), F.lit(0)).alias("duplicates"),
-            missing.alias("missing_values"),
-            F.min(value).alias("min_value"),
-            F.max(value).alias("max_value"),
-            F.count_if(F.abs(value) > EXTREME_VALUE).alias("extreme_values"),
-        )
+        staged_rows.agg(*counters())
         .withColumn("quality_score", _percent(F.col("processed_rows"), F.col("raw_rows"), 2))
         .withColumn(
             "missing_data_percentage", _percent(F.col("missing_values"), F.col("raw_rows") * len(COLUMNS), 4)
@@ -173,5 +200,19 @@ def ingestion_counts(staged_rows: DataFrame) -> DataFrame:
     )
 
 
+def with_percentages(counts: dict) -> dict:
+    """The same from counters that were observed while a batch was written."""
+
+    def percent(part: int, whole: int, digits: int) -> float:
+        exact = Decimal(str(100.0 * part / whole)) if whole else Decimal(0)
+        return float(exact.quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+    return {
+        **counts,
+        "quality_score": percent(counts["processed_rows"], counts["raw_rows"], 2),
+        "missing_data_percentage": percent(counts["missing_values"], counts["raw_rows"] * len(COLUMNS), 4),
+    }
+
+
 def _percent(part: Column, whole: Column, digits: int) -> Column:
     return F.when(whole > 0, F.round(F.lit(100.0) * part / whole, digits)).otherwise(F.lit(0.0))

@@ -81,11 +81,11 @@ class PartTable:
     and so is the number of buckets.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, buckets: int):
-        self.spark, self.root, self.schema, self.buckets = spark, root.rstrip("/"), schema, buckets
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, buckets: int, keys: list[str] = SERIES):
+        self.spark, self.root, self.schema, self.buckets, self.keys = spark, root.rstrip("/"), schema, buckets, keys
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*SERIES), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
     def parts_of(self, batch: DataFrame) -> list[str]:
         """Parts that a batch touches: at most one for each calendar year and bucket."""
@@ -93,12 +93,19 @@ class PartTable:
         return sorted(f"{r.y}/{r.b}" for r in found)
 
     def read(self, parts: dict[str, str], wanted: list[str] | None = None) -> DataFrame:
-        chosen = [p for p in (parts if wanted is None else wanted) if p in parts]
+        chosen = [p for p in (parts if wanted is None else wanted) if parts.get(p)]
         if not chosen:
             return self.spark.createDataFrame([], self.schema)
         paths = [f"{self.root}/version={parts[p]}/partition_year={p.split('/')[0]}/bucket={p.split('/')[1]}" for p in chosen]
         return self.spark.read.schema(self.schema).parquet(*paths)
 
+    def written(self, version: str, touched: list[str]) -> dict[str, str | None]:
+        """The map of the touched parts after a write that may have left some of them empty."""
+        schema = T.StructType(self.schema.fields + [T.StructField(c, T.IntegerType()) for c in ("partition_year", "bucket")])
+        found = self.spark.read.schema(schema).parquet(f"{self.root}/version={version}").select("partition_year", "bucket").distinct()
+        full = {f"{r.partition_year}/{r.bucket}" for r in found.collect()}
+        return {p: version if p in full else None for p in touched}
+
     def write(self, rows: DataFrame, version: str) -> None:
         """A rebalance keeps a crowded part in several files of even size."""
         (
@@ -111,6 +118,58 @@ class PartTable:
         )
 
 
+class KeyedTable:
+    """Rows in buckets of a key, for small lookups: a write adds a version of the buckets it touches.
+
+    Which version of a bucket counts is the caller's map (bucket -> version), kept in a commit record like that of parts.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keys: list[str], buckets: int):
+        self.spark, self.root, self.schema, self.keys, self.buckets = spark, root.rstrip("/"), schema, keys, buckets
+
+    def bucket(self, *values: Column) -> Column:
+        return F.pmod(F.xxhash64(*(values or self.keys)), F.lit(self.buckets)).cast("int")
+
+    def buckets_of(self, rows: DataFrame) -> list[str]:
+        return sorted(str(r.b) for r in rows.select(self.bucket().alias("b")).distinct().collect())
+
+    def bucket_of(self, *values) -> str:
+        """The bucket of one key."""
+        return str(self.spark.range(1).select(self.bucket(*map(F.lit, values)).alias("b")).first().b)
+
+    def read(self, versions: dict[str, str], wanted: list[str] | None = None) -> DataFrame:
+        chosen = [b for b in (versions if wanted is None else wanted) if versions.get(b)]
+        if not chosen:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/version={versions[b]}/bucket={b}" for b in chosen])
+
+    def write(self, rows: DataFrame, version: str) -> None:
+        names = self.schema.names
+        (
+            rows.select(*names).withColumn("bucket", self.bucket()).hint("rebalance", "bucket")
+            .sortWithinPartitions("bucket", *self.keys)
+            .write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.root}/version={version}")
+        )
+
+    def look_up(self, versions: dict[str, str], **key) -> DataFrame:
+        """The rows of one key; opens one bucket."""
+        rows = self.read(versions, [self.bucket_of(*(key[k] for k in self.keys))])
+        for name, value in key.items():
+            rows = rows.filter(F.col(name) == F.lit(value))
+        return rows
+
+    def merge(self, versions: dict[str, str], rows: DataFrame, version: str, fold) -> dict[str, str]:
+        """Fold rows into the buckets they belong to (``fold(old, rows)`` gives their new content); the new map."""
+        touched = self.buckets_of(rows)
+        if not touched:
+            return versions
+        self.write(fold(self.read(versions, touched), rows), version)
+        schema = T.StructType(self.schema.fields + [T.StructField("bucket", T.IntegerType())])
+        found = self.spark.read.schema(schema).parquet(f"{self.root}/version={version}").select("bucket").distinct()
+        full = {str(r.bucket) for r in found.collect()}
+        return {**versions, **{b: version if b in full else None for b in touched}}
+
+
 def write_by_year(rows: DataFrame, path: str) -> None:
     """Partition by year; a rebalance keeps a crowded year in several files of even size."""
     (

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +34,10 @@ def stage_stream(paths: DataFrame, source_url: str, folder: str):
     def stage(batch: DataFrame, batch_id: int) -> None:
         files = sorted(r.path for r in batch.collect())  # at most maxFilesPerTrigger
         if files:
-            typed = V.typed(read_csv(spark, files), source_url)
-            V.staged(typed, ["seq"]).write.mode("overwrite").parquet(f"{folder}/staged/batch={batch_id}")
-            V.rejected_rows(typed).write.mode("overwrite").parquet(f"{folder}/rejected/batch={batch_id}")
+            parsed, path = V.outcomes(V.typed(read_csv(spark, files), source_url), ["seq"]), f"{folder}/parsed/batch={batch_id}"
+            parsed.write.mode("overwrite").partitionBy("outcome").parquet(path)
+            stored = spark.read.schema(parsed.schema).parquet(path)
+            V.staged_outcomes(stored).write.mode("overwrite").parquet(f"{folder}/staged/batch={batch_id}")
 
     return (
         paths.writeStream.foreachBatch(stage)
@@ -85,7 +87,7 @@ def ingest_stream(
     staged = fresh("staged")
     last = staged.agg(F.max("batch")).first()[0]
     return warehouse.commit(
-        settle(staged), metadata, source_hash, 0, run, fresh("rejected").drop("batch"),
+        settle(staged), metadata, source_hash, 0, run, V.rejected_outcomes(fresh("parsed")),
         {place: merged if last is None else int(last)},
     )
 
@@ -105,7 +107,8 @@ def first_seen(rows: DataFrame, delay: str | None = None, time: str = "period")
 def mirror_stream(spark: SparkSession, gold: str, mirror: Mirror, folder: str, files_per_trigger: int = 10) -> None:
     """Stage accepted rows of a run micro-batch by micro-batch, then feed them into the mirror by one merge.
 
-    Replays are harmless: a micro-batch overwrites itself, and merging the same rows changes nothing.
+    Replays are harmless: a micro-batch overwrites itself, and merging the same rows changes nothing.  The mirror's commit
+    records the last micro-batch merged, so a later call reads only what has been staged since.
     """
     rows = (
         spark.readStream.schema(FACT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{gold}/*")
@@ -119,4 +122,18 @@ def mirror_stream(spark: SparkSession, gold: str, mirror: Mirror, folder: str, f
         .start()
         .awaitTermination()
     )
-    mirror.upsert_facts(spark.read.parquet(f"{folder}/staged").drop("batch"))
+    merged = mirror.stream_state(folder)
+    try:
+        staged = spark.read.parquet(f"{folder}/staged").filter(F.col("batch") > F.lit(merged))
+    except AnalysisException:  # nothing has ever been staged
+        return
+    last = staged.agg(F.max("batch")).first()[0]
+    if last is not None:
+        mirror.upsert_facts(settled_facts(staged), {folder: int(last)})
+
+
+def settled_facts(staged: DataFrame) -> DataFrame:
+    """One row per key from several micro-batches: that of the latest batch."""
+    payload = [c for c in MIRROR_COLUMNS if c not in KEY]
+    latest = staged.groupBy(*KEY).agg(F.max_by(F.struct(*payload), "batch").alias("p"))
+    return latest.select(*KEY, "p.*").select(*MIRROR_COLUMNS)

@@ -9,6 +9,7 @@ from statweave.plans.warehouse import Metadata, Warehouse
 from statweave.schema import COLUMNS, KEY
 from statweave.session import scratch_path
 from statweave.sources import files
+from statweave.streaming import firsts
 from statweave.streaming import ingest as streaming
 
 from .observations import (
@@ -169,6 +170,15 @@ def fact_scan(spark, d):
     return rows.filter("indicator = 'price_rf' AND geography = 'NATION_5' AND unit = 'usd'").select("period", "value")
 
 
+@query(
+    "indexed_series",
+    f"""WITH {RAW2} SELECT {_ID}, value FROM accepted_v2 WHERE indicator = 'price_af' AND geography = 'NATION_7' AND period >= DATE '1996-01-01'""",
+)
+def indexed_series(spark, d):
+    """One indicator of one geography, through the index of parts."""
+    return _ingested(spark, d, 1, 2).series("price_af", "NATION_7", start="1996").select(*KEY, "value")
+
+
 @query(
     "json_records",
     """SELECT event_type AS indicator, CAST(event_id AS VARCHAR) AS record, json_extract_string(props, '$.k') AS value FROM events""",
@@ -307,6 +317,19 @@ def streamed_first_seen(spark, d):
     return spark.read.schema(typed.schema).parquet(out).select(*KEY)
 
 
+@query("streamed_keep_first", f"WITH {RAW2} SELECT {_ID}, value FROM accepted_v2")
+def streamed_keep_first(spark, d):
+    """First occurrences from a state store that meets the rows of the source from the last to the first."""
+    folder, out, checkpoint = (scratch_path(spark, n) for n in ("typed", "firsts", "checkpoint"))
+    typed = V.valid_rows(V.typed(raw(spark, d), RAW_URL)).select(*KEY, "value", "s_order", "s_line", "s_part", "s_supp", F.col("s_date").cast("string"), "s_price")
+    typed.repartitionByRange(4, F.desc("s_order")).write.parquet(folder)
+    rows = spark.readStream.schema(typed.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    firsts.improving_firsts(rows, SEQUENCE).writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", checkpoint
+    ).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return V.keep_first(spark.read.schema(typed.schema).parquet(out), SEQUENCE).select(*KEY, "value")
+
+
 def _mirrored(spark, d):
     warehouse = _ingested(spark, d, 1, 2)
     mirror = Mirror(spark, scratch_path(spark, "mirror"))
