@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,9 +25,12 @@ from pyspark.sql import functions as F
 from statweave.llm import kernel
 from statweave.llm.frames import map_batches, stored, with_bytes
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 """Texts of about this size are counted together before their counts are shuffled."""
-OUT_ROWS = 200_000
+CELL_BYTES = 8 << 20
+"""Text bytes per cell: a cell's phrases are added up at once, in one task's memory."""
+MOST_PARTS = 100_000
+FOLD_ROWS = 1_000_000
 SALTS = 64
 UNKNOWN = "und"
 
@@ -65,22 +69,29 @@ def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray, np.
     return coded.dictionary, coded.indices.to_numpy().astype(np.int64), doc, follows
 
 
-def _phrases(longest: int):
-    """Counts of the phrases of a task's texts, chunk by chunk; a row without phrase counts the words of a language."""
+def _phrases(longest: int, cells: int):
+    """Counts of the phrases of a task's texts, in one block per chunk, cell and language.
+
+    A block holds its phrases, each ended by a line break (no phrase has one inside), and their counts, both compressed. The empty phrase
+    counts the words. A phrase's cell follows from its words alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
         for langs, buf, offs in _chunks(batches):
             vocabulary, word, doc, follows = _words(kernel.lower_ascii(buf), offs)
             if not len(word):
                 continue
             names, lang_of = np.unique(np.array(langs, object).astype(str), return_inverse=True)
-            name = pa.array(names.tolist(), pa.large_string())
-            # Words of different languages are different units; a phrase is named by the name of all but its last unit, and that.
+            _, ends, data = vocabulary.buffers()
+            ends = np.frombuffer(ends, np.int64, len(vocabulary) + 1)
+            hashed = kernel.range_hash(kernel.rolling(np.frombuffer(data, np.uint8)), ends[:-1], ends[1:])
+            # Words of different languages are different units; a longer phrase is a pair of the phrase before its last unit, and that.
             unit, key = np.unique(lang_of[doc] * len(vocabulary) + word, return_inverse=True)
-            lang, text = unit // len(vocabulary), vocabulary.take(pa.array(unit % len(vocabulary)))
+            text, cell_of = vocabulary.take(pa.array(unit % len(vocabulary))), hashed[unit % len(vocabulary)]
+            at, current, spelled, lang, named = np.arange(len(key)), key, text, unit // len(vocabulary), cell_of
             totals = np.bincount(lang_of[doc], minlength=len(names))
-            yield _batch(name, pa.nulls(len(names), pa.large_string()), totals)
-            at, current, spelled, phrase_lang = np.arange(len(key)), key, text, lang
+            found = [(pa.array([""] * len(names), pa.large_string()), np.arange(len(names)), np.zeros(len(names), np.uint64), totals)]
             for n in range(1, longest + 1):
                 if n > 1:
                     fits = at + n - 1 < len(key)
@@ -89,29 +100,92 @@ def _phrases(longest: int):
                     at, current = at[goes_on], current[goes_on]
                     pairs, current = np.unique(current * len(unit) + key[at + n - 1], return_inverse=True)
                     head, tail = pairs // len(unit), pairs % len(unit)
-                    phrase_lang = phrase_lang[head]
+                    lang, named = lang[head], kernel.mix(named[head] * np.uint64(3) + cell_of[tail])
                     spelled = pc.binary_join_element_wise(spelled.take(pa.array(head)), text.take(pa.array(tail)), pa.scalar(" ", pa.large_string()))
-                times = np.bincount(current, minlength=len(spelled))
-                for a in range(0, len(spelled), OUT_ROWS):
-                    part = slice(a, a + OUT_ROWS)
-                    yield _batch(name.take(pa.array(phrase_lang[part])), spelled[part], times[part])
+                found.append((spelled, lang, named, np.bincount(current, minlength=len(spelled))))
+            phrases, group = pa.concat_arrays([p for p, *_ in found]), np.concatenate([g for _, g, _, _ in found])
+            group = (np.concatenate([h for _, _, h, _ in found]) % np.uint64(cells)).astype(np.int64) * len(names) + group
+            times = np.concatenate([t for *_, t in found])
+            del found, spelled, text, current, at, key  # the phrases are copied in order below
+            order = np.argsort(group, kind="stable")
+            group, times, phrases = group[order], times[order].astype("<i4"), phrases.take(pa.array(order))
+            lines = pc.binary_join_element_wise(phrases, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+            _, ends, data = lines.buffers()
+            ends, data = np.frombuffer(ends, np.int64, len(lines) + 1, lines.offset * 8), memoryview(data)
+            begin = np.flatnonzero(np.diff(group, prepend=-1))
+            stop = np.append(begin[1:], len(group))
+            yield pa.record_batch(
+                [
+                    pa.array(group[begin] // len(names), pa.int64()), pa.array(names[group[begin] % len(names)].tolist(), pa.string()),
+                    pa.array([packer.compress(data[ends[a] : ends[b]]) for a, b in zip(begin, stop)], pa.binary()),
+                    pa.array([packer.compress(times[a:b].tobytes()) for a, b in zip(begin, stop)], pa.binary()),
+                ],
+                names=["cell", "lang", "phrases", "times"],
+            )
+            del phrases, lines, data, ends, group, times, order
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _batch(lang: pa.Array, phrase: pa.Array, times: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([lang.cast(pa.string()), phrase.cast(pa.string()), pa.array(times, pa.int64())], names=["lang", "phrase", "f"])
+def _opened(phrases: bytes, times: bytes) -> pa.Table:
+    """The phrases of a block, with their line breaks, and their counts."""
+    unpacker = zstandard.ZstdDecompressor()
+    data = unpacker.decompress(phrases)
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1
+    lines = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(data))
+    return pa.table({"phrase": lines, "f": np.frombuffer(unpacker.decompress(times), "<i4").astype(np.int64)})
+
+
+def _added(tables: list[pa.Table]) -> pa.Table:
+    whole = pa.concat_tables(tables)
+    coded = whole["phrase"].combine_chunks().dictionary_encode()
+    # Exact: sums of counts in doubles, far below 2**53.
+    total = np.bincount(coded.indices.to_numpy(), weights=whole["f"].to_numpy(), minlength=len(coded.dictionary))
+    return pa.table({"phrase": coded.dictionary, "f": total.astype(np.int64)})
+
+
+def _frequent(least: int):
+    """Adds up the blocks of one cell and language after another (rows come sorted by these); keeps frequent phrases and word totals."""
+
+    def closed(lang: str, held: list[pa.Table]) -> pa.RecordBatch:
+        whole = _added(held)
+        whole = whole.filter(pc.or_(pc.greater_equal(whole["f"], least), pc.equal(whole["phrase"], "\n")))
+        phrase = pc.utf8_rtrim(whole["phrase"], "\n").combine_chunks().cast(pa.string())
+        return pa.record_batch([pa.array([lang] * len(whole), pa.string()), phrase, whole["f"].combine_chunks()], names=["lang", "phrase", "f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, size = None, [], 0
+        for batch in batches:
+            for cell, lang, phrases, times in zip(*(batch.column(c) for c in ("cell", "lang", "phrases", "times"))):
+                key = (cell.as_py(), lang.as_py())
+                if key != current:
+                    if held:
+                        yield closed(current[1], held)
+                    current, held, size = key, [], 0
+                held.append(_opened(phrases.as_py(), times.as_py()))
+                size += len(held[-1])
+                if size >= FOLD_ROWS:
+                    held = [_added(held)]
+                    size = 0
+        if held:
+            yield closed(current[1], held)
+
+    return run
 
 
 def phrase_counts(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to `longest` words that occur `least` times or more (lang, words, f), and all words by language (lang, n)."""
     texts = with_bytes(docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text"), "lang")
-    local = map_batches(texts, _phrases(longest), "lang string, phrase string, f long")
-    # Each task has added up its own phrases, so they are dealt out as they are and added up once.
-    counted = local.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    counted = stored(counted.where(f"f >= {least} or phrase is null"), "phrase-counts")
-    stream = counted.where("phrase is not null").select("lang", F.split("phrase", " ").alias("words"), "f")
-    return stream, stored(counted.where("phrase is null").select("lang", F.col("f").alias("n")), "phrase-totals")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = max(16, -(-size // CELL_BYTES))
+    parts = min(cells, MOST_PARTS)
+    blocks = map_batches(texts, _phrases(longest, cells), "cell long, lang string, phrases binary, times binary")
+    dealt = blocks.repartitionById(parts, F.pmod("cell", F.lit(parts)).cast("int")).sortWithinPartitions("cell", "lang")
+    counted = stored(map_batches(dealt, _frequent(least), "lang string, phrase string, f long", 64), "phrase-counts")
+    # A language's total stands in one cell, as the count of the empty phrase.
+    stream = counted.where("phrase <> ''").select("lang", F.split("phrase", " ").alias("words"), "f")
+    return stream, stored(counted.where("phrase = ''").select("lang", F.col("f").alias("n")), "phrase-totals")
 
 
 # --- one pass over a sorted stream --------------------------------------------------------------------------------------------
