@@ -50,7 +50,7 @@ def quantised(vectors: DataFrame) -> DataFrame:
 
 
 def _matrix(column, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, dim)
+    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(len(column), dim)
 
 
 def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
@@ -147,7 +147,7 @@ def _build(longest: float):
 def _read_page(row: dict, plain: bool) -> dict:
     dim = row["dim"]
     page = {n: np.frombuffer(row[n], t) for n, t in _PAGE.items()} | {"cover": row["cover"]}
-    page["vectors"] = page["vectors"].reshape(-1, dim)
+    page["vectors"] = page["vectors"].reshape(len(page["ids"]), dim)
     page["routing"] = page["routing"].reshape(-1, dim + 1)
     if plain:
         page["plain"] = page["vectors"].astype(float)
