@@ -1,8 +1,8 @@
 """Best-fit packing of documents into sequences by patterns.
 
 The lengths of all pieces form a histogram of at most `capacity` entries. Patterns of a few lengths that fill a sequence exactly are
-enumerated, and a non-negative least squares fit says how often to use each so that the histogram is met. The counts are rounded
-down, and what remains is packed by best fit on the histogram. The plan is as large as the set of patterns, whatever the number of
+enumerated, and non-negative least squares fits say how often to use each so that the histogram is met. The counts are rounded,
+and what remains is packed by best fit on the histogram. The plan is as large as the set of patterns, whatever the number of
 documents; pieces find their sequence through their rank among those of the same length.
 """
 
@@ -28,16 +28,16 @@ from statweave.llm.frames import map_batches, stored
 CAPACITY = 2048
 COMPARED = 50
 """Texts of each worker on which both readers of the vocabulary are compared."""
-TRIPLE_STEP = 8
-"""Patterns of three lengths are made for every so-many-th first length; patterns of two are complete."""
+FIT_PATTERNS = 16_384
+"""Patterns that one fit chooses from: few more than lengths, so that counts are large enough to be rounded."""
 
 
 class _Encoder:
     """A byte-level BPE tokenizer, with a faster reader of the same vocabulary where one is given.
 
     Both cut a text into words by one pattern and merge inside each word, so their ids are the same. The faster one takes texts of Latin
-    letters and plain signs only, as classes of other characters may differ between libraries, and is held against the tokenizer on the
-    first texts of every worker.
+    letters and plain signs only, as classes of other characters may differ between libraries, and none that spell an added token, which
+    is one id of its own; it is held against the tokenizer on the first texts of every worker.
     """
 
     # Fixed value: the pattern by which the public byte-level vocabularies cut text into words.
@@ -45,7 +45,7 @@ class _Encoder:
 
     def __init__(self, path: str, ranks: str | None):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings are ordinary text here
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = regex.compile(r"[\t\n\r -~\u00a1-\u017f]*")
         self.fast, self.compared = None, 0
         if ranks:
@@ -54,7 +54,7 @@ class _Encoder:
             self.fast = tiktoken.Encoding("pieces", pat_str=self.CUT, mergeable_ranks=known, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is None or self.plain.fullmatch(text) is None:
+        if self.fast is None or self.plain.fullmatch(text) is None or any(token in text for token in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         out = self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
         if self.compared < COMPARED:
@@ -130,7 +130,7 @@ def exact_patterns(need: np.ndarray, capacity: int) -> np.ndarray:
     a = np.arange(1, capacity)
     two = a[(a >= capacity - a) & have[a] & have[capacity - a]]
     out.append(np.stack([two, capacity - two, 0 * two], 1))
-    for first in range(-(-capacity // 3), capacity - 1, TRIPLE_STEP):
+    for first in range(-(-capacity // 3), capacity - 1):
         if not have[first]:
             continue
         rest = capacity - first
@@ -150,15 +150,23 @@ def plan_sequences(need: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tup
             left[length] -= times
         plan.append((tuple(pattern), times))
 
+    # Every pattern takes part in one fit. A fit over all at once spreads the pieces so thin that rounding leaves nothing; fits over
+    # some, in a seeded order, each to what the ones before have left, have counts worth rounding.
     patterns = exact_patterns(need, capacity)
-    counts = np.floor(fit_counts(need.astype(float), patterns)).astype(np.int64)
-    for k in np.argsort(-counts, kind="stable"):
-        if counts[k] <= 0:
-            break
-        pattern = [int(x) for x in patterns[k] if x]
-        times = min([int(counts[k]), *(int(left[x]) // pattern.count(x) for x in pattern)])
-        if times:
-            use(pattern, times)
+    order = np.random.default_rng(0).permutation(len(patterns))
+    for block in range(0, len(order), FIT_PATTERNS):
+        some = patterns[order[block : block + FIT_PATTERNS]]
+        some = some[(left[some] > 0).all(1, where=some > 0)]
+        if not len(some):
+            continue
+        counts = np.rint(fit_counts(left.astype(float), some)).astype(np.int64)
+        for k in np.argsort(-counts, kind="stable"):
+            if counts[k] <= 0:
+                break
+            pattern = [int(x) for x in some[k] if x]
+            times = min([int(counts[k]), *(int(left[x]) // pattern.count(x) for x in pattern)])
+            if times:
+                use(pattern, times)
 
     # The rest, longest first: each goes where it fits best; many equal pieces and equal rooms are handled at once.
     rooms: dict[int, dict[tuple[int, ...], int]] = {}
@@ -250,6 +258,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0, ranks: str | None = None) -> DataFrame:
     """Packs documents (doc_id, text): one row per piece with its sequence and offset.
 
-    Null and empty texts are one piece that holds only the end id. Rows without doc_id are packed too.
+    Null and empty texts are one piece that holds only the end id; a very long text becomes many pieces, encoded as a whole. Rows without
+    doc_id and repeated rows are packed like any other. An empty table gives an empty result.
     """
     return pack(token_pieces(docs, tokenizer, capacity, end, ranks), capacity)
