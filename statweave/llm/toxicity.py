@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from statweave.llm import kernel
 from statweave.llm.frames import map_batches, stored, with_bytes
 
-MAX_TERMS = 50_000
-"""Words whose log-odds the model holds: those that differ most surely between the classes."""
+LABELLED = 2_000_000
+"""About so many labelled documents are learned from, a sample by a hash of their ids if there are more. It bounds the model's size."""
 SURE = 16.0
 """Least log-likelihood ratio of a word's document counts for it to have log-odds of its own."""
 TELLING = 1.0
@@ -95,7 +95,7 @@ def learn_terms(labelled: DataFrame, prior: float = 1000.0) -> Model:
     part = lambda seen, whole: F.when(seen > 0, seen * F.log(seen * float(toxic + clean) / (both * float(whole)))).otherwise(0.0)
     ratio = 2 * (part(F.col("toxic"), toxic) + part(F.col("clean"), clean))
     ranked = counts.withColumn("score", odds).withColumn("ratio", ratio).where((F.col("ratio") >= SURE) & ((F.col("score") >= TELLING) | (F.col("score") < 0)))
-    top = ranked.orderBy(F.desc("ratio"), "word").limit(MAX_TERMS).toPandas()
+    top = ranked.toPandas()
     order = np.argsort(top["word"].to_numpy(np.int64).view(np.uint64))
     terms, scores = top["word"].to_numpy(np.int64).view(np.uint64)[order], top["score"].to_numpy(float)[order]
     other = [(n + prior - float(top[c].sum())) / (n + prior) for c, n in (("toxic", toxic), ("clean", clean))]
@@ -214,15 +214,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3)
     """Probability of the toxic label for every document.
 
     docs: doc_id, text. labels: doc_id, toxic (0 or 1); learned from only where the id is not held out; ids labelled both ways are
-    left out. Returns doc_id, held_out, score, predicted, n (words) and segments; one row per input row. Null and empty texts have
+    left out, as are labels of another value. Returns doc_id, held_out, score, predicted, n (words) and segments; one row per input row. Null and empty texts have
     no segment and get the lowest evidence; rows without doc_id are scored, not held out and not learned from. Without labels of
     both kinds all scores are low and equal evidence. An empty table gives an empty result.
     """
     known = (
-        labels.where("doc_id is not null and toxic is not null")
+        labels.where("doc_id is not null and toxic in (0, 1)")
         .groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other"))
         .where("toxic = other").select("doc_id", "toxic").where(~held_out())
     )
+    share = LABELLED / max(LABELLED, known.count())
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     # Labels grow with the documents, so this join shuffles at every size.
     training = docs.select("doc_id", "text").where(~held_out()).join(known.hint("merge"), "doc_id")
     model = learn_terms(training)
