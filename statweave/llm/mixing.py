@@ -119,28 +119,31 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, buf, offs in kernel.slices(batch):
             _, _, first = kernel.find_words(buf, offs)
-            size = pa.array(np.diff(first), pa.int64())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("sources"), size], names=["doc_id", "sources", "size"])
+            names = [n for n in rows.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), pa.array(np.diff(first), pa.int64())], names=[*names, "size"])
 
 
-def word_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, sources and the number of words; docs: doc_id, sources array<string>, text."""
-    rows = docs.select("doc_id", "sources", F.col("text").cast("binary").alias("text"))
-    return map_batches(rows, _counted, "doc_id long, sources array<string>, size long")
+def word_sizes(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, sources, the kept columns and the number of words; docs: doc_id, sources array<string>, text."""
+    rows = docs.select("doc_id", "sources", *keep, F.col("text").cast("binary").alias("text"))
+    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
+    return map_batches(rows, _counted, f"doc_id long, sources array<string>{kept}, size long")
 
 
-def mix(docs: DataFrame, targets=None, max_copies: int = MAX_COPIES, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, targets=None, max_copies: int = MAX_COPIES, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
     """How many words of each document the mix takes.
 
     docs: doc_id long, sources array<string> (the sources it belongs to; null stands for one of its own), text string.
-    targets: words wanted by source, a function of the sources' sizes (default `source_targets`).
+    targets: words wanted by source, a function of the sources' sizes (default `source_targets`). keep: further columns to pass on.
     Returns doc_id, sources, size, source_size and target (of its first source), taken (size times the copies taken); one row per
-    input row. Null and empty texts have size 0 and take nothing. Rows without doc_id, repeated rows and ties in the seeded order
-    are told apart by their size or are alike; alike rows are taken or left in an order that reruns repeat. An empty table gives an
+    input row. Null and empty texts have size 0 and take nothing. Rows without doc_id have a place by their text. Repeated rows and ties
+    in the seeded order are told apart by their size or are alike; alike rows are taken or left in an order that reruns repeat. An empty table gives an
     empty result. Only one row per pattern and source reaches the driver.
     """
     spark = docs.sparkSession
-    sized = stored(word_sizes(docs).withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(PLACES))), "mix-sizes")
+    named = docs.withColumn("name", F.coalesce("doc_id", F.xxhash64("text")))
+    sized = word_sizes(named, "name", *keep).withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "name"), F.lit(PLACES))).drop("name")
+    sized = stored(sized, "mix-sizes")
     patterns = sized.groupBy("sources").agg(F.sum("size").alias("tokens"), F.count("*").alias("rows")).collect()
     names = [tuple(p["sources"]) if p["sources"] is not None else (None,) for p in patterns]
     sizes: dict = {}
@@ -171,7 +174,9 @@ def mix(docs: DataFrame, targets=None, max_copies: int = MAX_COPIES, seed: int =
         "sum(bin_size) over (partition by pattern order by bin) - bin_size as before",
     )
     # Only the bin in which the rest ends needs an order inside; the bins before are taken whole, those behind not at all.
-    edge = sums.where("before < rest and before + bin_size > rest").select(F.col("pattern").alias("_p"), F.col("bin").alias("_b"), "before")
+    # That is one bin of a pattern at most, so the edges are as small as the plan and travel like it.
+    edge = sums.where("before < rest and before + bin_size > rest").select("pattern", "bin", "before").collect()
+    edge = spark.createDataFrame([tuple(r) for r in edge], "_p long, _b long, before long")
     joined = rows.join(edge, F.col("pattern") == F.col("_p"), "left")
     whole = F.when(F.col("_b").isNull(), F.col("rest") > 0).otherwise(F.col("bin") < F.col("_b"))
     joined = joined.withColumn("extra", whole.cast("long"))
@@ -182,14 +187,17 @@ def mix(docs: DataFrame, targets=None, max_copies: int = MAX_COPIES, seed: int =
     inside = inside.withColumn("extra", (F.col("before") + F.col("upto") - F.col("size") / 2 <= F.col("rest")).cast("long")).drop("upto")
     both = joined.where("_b is null or bin <> _b").unionByName(inside)
     taken = F.col("size") * F.least(F.col("copies") + F.col("extra"), F.lit(max_copies))
-    return both.select("doc_id", "sources", "size", "source_size", "target", taken.alias("taken"))
+    return both.select("doc_id", "sources", "size", "source_size", "target", taken.alias("taken"), *keep)
 
 
 def mixed(docs: DataFrame, source: str = "source", **how) -> DataFrame:
-    """The documents of the mix with all columns, as often as the mix takes them; null sources are one source."""
-    taken = mix(docs.select("doc_id", F.array(source).alias("sources"), "text"), **how).where("taken > 0")
-    copies = taken.groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    copies = copies.select(F.col("doc_id").alias("_id"), "copies")
-    rows = docs.select(F.struct("*").alias("row")).join(copies, F.col("row.doc_id").eqNullSafe(F.col("_id")))
-    rows = rows.where((F.length(F.coalesce("row.text", F.lit(""))) > 0))
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    """The documents of the mix with all columns, as often as the mix takes them; null sources are one source.
+
+    Every row is judged on its own, whether its id is null, repeated or neither. Null and empty texts are in no mix. An empty table gives
+    an empty result.
+    """
+    rows = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("_row")), "mix-rows")
+    sized = rows.select("row.doc_id", F.array(F.col(f"row.`{source}`")).alias("sources"), "row.text", "_row")
+    taken = mix(sized, keep=("_row",), **how).where("taken > 0")
+    copies = taken.select("_row", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    return rows.join(copies, "_row").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
