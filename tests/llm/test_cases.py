@@ -166,6 +166,32 @@ def test_mixing_cases(spark, table):
     assert {r.doc_id for r in out.collect()} <= {1, 2, None}
 
 
+def test_mixed_rows_keep_their_own_copies(table):
+    """The words of the mix are those that mix() takes, whatever ids are null or repeated."""
+    rows = [(None, "a b c"), (None, "d e"), (None, "f g h i"), (2, "k l"), (2, "m n o p q"), (2, "k l"), (3, None), (4, "r s t u v w")]
+    docs = table(rows)
+    taken = mixing.mix(docs.select("doc_id", F.array("source").alias("sources"), "text")).collect()
+    out = mixing.mixed(docs).collect()
+    assert sum(len(r.text.split()) for r in out) == sum(r.taken for r in taken)
+    assert max(collections.Counter((r.doc_id, r.text) for r in out).values()) <= 4  # the row that stands twice may come four times
+    assert mixing.mixed(table([])).count() == 0
+
+
+def test_mixing_of_overlapping_sources(spark):
+    sources = [["a"], ["b"], ["a", "b"], ["b", "c"], None]
+    docs = spark.createDataFrame([(i, sources[i % 5], "w " * (i % 9)) for i in range(400)], "doc_id long, sources array<string>, text string")
+    got = mixing.mix(docs, lambda sizes: {s: 0.5 * n for s, n in sizes.items()}).collect()
+    sizes, room = collections.Counter(), collections.Counter()
+    for r in got:
+        assert r.taken in (0, r.size, 2 * r.size)
+        for s in r.sources or [None]:
+            sizes[s] += r.size
+            room[s] += r.taken
+    # Every word serves one quota; together they are met, and no source gives more than lies in it.
+    assert abs(sum(r.taken for r in got) - 0.5 * sum(sizes.values())) <= 9 * 5
+    assert all(room[s] >= 0.5 * sizes[s] - 9 * 5 for s in sizes)
+
+
 def test_mixing_targets():
     sizes = {"a": 100, "b": 100, "c": 1000, None: 10}
     got = mixing.source_targets(sizes)
@@ -253,7 +279,7 @@ def test_license_of_several_notices(table):
 
 def test_toxicity_cases(table, spark):
     texts = [(i, BASE + (" vile rotten" if i % 3 == 0 else " kind")) for i in range(60)] + CASES[3:] + [(200, "vile rotten " * 500)]
-    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(None, 1), (5, 0)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(None, 1), (5, 0), (7, 2), (8, -1)], "doc_id long, toxic int")
     got = {r.doc_id: r for r in toxicity.score_documents(table(texts), labels).collect()}
     assert got[200].predicted == 1 and got[4].score < 0.3 and got[5].score < 0.3
     assert all(got[i].predicted == int(i % 3 == 0) for i in range(20, 60))
@@ -313,6 +339,31 @@ def test_metric_pages(spark, monkeypatch):
         assert sorted(got[i]) == [(k + 1, j, s[j]) for k, j in enumerate(order)]
 
 
+def test_packing_of_added_tokens(table):
+    """A text that spells an added token has its one id, with and without the rank file."""
+    from tokenizers import Tokenizer
+
+    from statweave.llm.queries import RANKS
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "plain <|endof text", "é<|endoftext|>"]
+    want = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    for ranks in (None, tokenizer_path(RANKS)):
+        got = packing.token_pieces(table(list(enumerate(texts))), tokenizer_path(), ranks=ranks).collect()
+        assert {r.doc_id: r.length for r in got} == want
+
+
+def test_packing_fits_place_most_pieces():
+    rng = np.random.default_rng(5)
+    need = np.bincount(np.clip(rng.normal(870, 300, 40_000).astype(int), 1, 2048), minlength=2049)
+    plan = packing.plan_sequences(need)
+    assert (sum(np.bincount(list(p), minlength=2049) * n for p, n in plan) == need).all() and all(sum(p) <= 2048 for p, _ in plan)
+    tokens = int((need * np.arange(2049)).sum())
+    assert sum(n for _, n in plan) <= 1.07 * (tokens // 2048 + 1)
+    exact = sum(n * len(p) for p, n in plan if sum(p) == 2048 and len(p) <= 3)
+    assert exact >= 0.85 * need.sum()
+
+
 def test_packing_cases(spark, table):
     got = packing.pack_documents(table(CASES), tokenizer_path()).collect()
     assert {r.doc_id for r in got} == {d for d, _ in CASES}
