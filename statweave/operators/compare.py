@@ -12,6 +12,7 @@ from ..functions.distributions import correlation_p, t_half_width, t_two_sided_p
 from .ranking import average_rank
 from .series import finite, fractional_change, along
 from ..session import materialized
+from .moments import pair_correlations
 from .validate import ContractError
 
 MATRIX_BLOCK = 200  # pairs aggregated per pass over the stored frame
@@ -117,41 +118,8 @@ def _both(a: Column, b: Column, value: Column) -> Column:
 
 
 def pearson_matrix(frame: DataFrame, groups: list[str], columns: list[str], minimum: int = 12) -> DataFrame:
-    """Pairwise-complete Pearson of the columns of a wide frame.
-
-    Every pair is one aggregate of the same scan, so rows are neither joined nor
-    repeated; with many columns the pairs go through in blocks.
-    """
-    parts, blocks = [], _pair_blocks(columns)
-    if len(blocks) > 1:  # evaluated once, read once per block
-        frame = materialized(frame.select(*groups, *columns), "matrix")
-    for block in blocks:
-        stats = []
-        for i, (a, b) in enumerate(block):
-            x, y = F.col(a), F.col(b)
-            n = F.count(_both(x, y, x))
-            stats.append(
-                F.struct(
-                    F.lit(a).alias("indicator_a"),
-                    F.lit(b).alias("indicator_b"),
-                    n.alias("n"),
-                    F.when(
-                        (n >= minimum)
-                        & (F.min(_both(x, y, x)) < F.max(_both(x, y, x)))
-                        & (F.min(_both(x, y, y)) < F.max(_both(x, y, y))),
-                        pearson(x, y),
-                    ).alias("coefficient"),
-                ).alias(f"_{i}")
-            )
-        grouped = frame.groupBy(*groups).agg(*stats)
-        parts.append(
-            grouped.select(*groups, F.explode(F.array(*[F.col(f"_{i}") for i in range(len(block))])).alias("p"))
-            .select(*groups, "p.*")
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Pairwise-complete Pearson of the columns of a wide frame: all pairs from one pass, as sums of products merge."""
+    return pair_correlations(frame.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns]), groups, columns, minimum)
 
 
 def spearman_matrix(frame: DataFrame, groups: list[str], columns: list[str], minimum: int = 12) -> DataFrame:
