@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from ..session import materialized
 from .moments import pair_correlations
 from .validate import ContractError
 
-MATRIX_BLOCK = 200  # pairs aggregated per pass over the stored frame
+MAX_PATTERNS = 4096  # patterns of present columns that are told apart
 
 
 def matched_pairs(fact: DataFrame, indicator_a: str, indicator_b: str, geography: str | None = None) -> DataFrame:
@@ -108,11 +109,6 @@ def wide(fact: DataFrame, index: list[str], columns: list[str], name: str = "ind
     return fact.groupBy(*index).pivot(name, columns).agg(F.first("value", ignorenulls=True))
 
 
-def _pair_blocks(columns: list[str]) -> list[list[tuple[str, str]]]:
-    pairs = list(combinations(columns, 2))
-    return [pairs[i : i + MATRIX_BLOCK] for i in range(0, len(pairs), MATRIX_BLOCK)]
-
-
 def _both(a: Column, b: Column, value: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), value)
 
@@ -122,34 +118,59 @@ def pearson_matrix(frame: DataFrame, groups: list[str], columns: list[str], mini
     return pair_correlations(frame.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns]), groups, columns, minimum)
 
 
+def _shared_rows(patterns: list[str], pairs: list[tuple[int, int]]) -> tuple[dict, dict]:
+    """Which rows the pairs of columns share, told by the patterns of present columns: pairs by set, and per pattern (column, set).
+
+    Ranks of a column depend only on the rows they are taken over, so pairs with the same rows share them.
+    """
+    sets: dict[tuple, int] = {}
+    pairs_of, entries = defaultdict(list), {p: set() for p in patterns}
+    for i, j in pairs:
+        rows = tuple(n for n, p in enumerate(patterns) if p[i] == p[j] == "1")
+        if not rows:
+            continue
+        s = sets.setdefault(rows, len(sets))
+        pairs_of[s].append((i, j))
+        for n in rows:
+            entries[patterns[n]] |= {(i, s), (j, s)}
+    return pairs_of, {p: sorted(e) for p, e in entries.items() if e}
+
+
 def spearman_matrix(frame: DataFrame, groups: list[str], columns: list[str], minimum: int = 12) -> DataFrame:
     """Pairwise-complete Spearman of the columns of a wide frame.
 
-    Ranks depend on which rows are complete for a pair, so each row carries its
-    values once per pair of named columns; a group's matched rows are bounded by the
-    calendar.
+    A row is copied once for each of its columns and each distinct set of rows that a pair of that column is complete on:
+    once per column where nothing is missing, not once per pair.  A frame with more patterns of present columns than
+    MAX_PATTERNS takes every pair for a set of its own.
     """
-    parts, blocks = [], _pair_blocks(columns)
-    if len(blocks) > 1:
-        frame = materialized(frame.select(*groups, *columns), "matrix")
-    for block in blocks:
-        entries = [
-            F.when(
-                F.col(a).isNotNull() & F.col(b).isNotNull(),
-                F.struct(
-                    F.lit(a).alias("indicator_a"), F.lit(b).alias("indicator_b"),
-                    F.col(a).alias("value_a"), F.col(b).alias("value_b"),
-                ),
-            )
-            for a, b in block
-        ]
-        long = frame.select(*groups, F.explode(F.array_compact(F.array(*entries))).alias("p")).select(*groups, "p.*")
-        keys = [*groups, "indicator_a", "indicator_b"]
-        parts.append(correlations(long, keys, minimum).select(*keys, "n", F.col("spearman").alias("coefficient")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    pairs = list(combinations(range(len(columns)), 2))
+    mask = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns])
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    rows = materialized(frame.select(*groups, values.alias("_v"), mask.alias("_mask"), F.monotonically_increasing_id().alias("_row")), "matrix")
+    patterns = [r[0] for r in rows.select("_mask").distinct().limit(MAX_PATTERNS + 1).collect()]
+    spark = frame.sparkSession
+    entry, shared = "array<struct<a:int,s:int>>", "array<struct<i:int,j:int>>"
+    if len(patterns) <= MAX_PATTERNS:
+        pairs_of, entries = _shared_rows(sorted(patterns), pairs)
+        plan = spark.createDataFrame(list(entries.items()), f"_mask string, e {entry}")
+        copied = rows.join(plan, "_mask")
+    else:
+        pairs_of = {s: [pair] for s, pair in enumerate(pairs)}
+        own = [F.array(*[F.struct(F.lit(c).alias("a"), F.lit(s).alias("s")) for c in pair]) for s, (pair,) in pairs_of.items()]
+        both = [F.when((F.substring("_mask", i + 1, 1) == "1") & (F.substring("_mask", j + 1, 1) == "1"), e) for e, (i, j) in zip(own, pairs)]
+        copied = rows.withColumn("e", F.flatten(F.array_compact(F.array(*both))))
+    long = copied.select(*groups, "_row", F.explode("e").alias("e"), "_v").select(*groups, "_row", "e.*", F.get("_v", F.col("e.a")).alias("_x"))
+    ranked = long.withColumn("_rank", average_rank(F.col("_x"), [*groups, "a", "s"]))
+    together = ranked.groupBy(*groups, "s", "_row").agg(F.map_from_entries(F.collect_list(F.struct("a", "_rank"))).alias("_ranks"))
+    members = spark.createDataFrame(list(pairs_of.items()), f"s int, p {shared}")
+    paired = together.join(members, "s").select(*groups, "_ranks", F.explode("p").alias("p")).select(
+        *groups, "p.*", F.element_at("_ranks", F.col("p.i")).alias("x"), F.element_at("_ranks", F.col("p.j")).alias("y")
+    )
+    x, y = F.col("x"), F.col("y")
+    defined = (F.count("*") >= minimum) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    found = paired.groupBy(*groups, "i", "j").agg(F.count("*").alias("n"), F.when(defined, pearson(x, y)).alias("coefficient"))
+    name = lambda i: F.get(F.array(*[F.lit(c) for c in columns]), F.col(i))
+    return found.select(*groups, name("i").alias("indicator_a"), name("j").alias("indicator_b"), "n", "coefficient")
 
 
 def changes(frame: DataFrame, groups: list[str], columns: list[str]) -> DataFrame:

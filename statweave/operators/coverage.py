@@ -174,10 +174,21 @@ def calendar_gaps(fact: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     )
 
 
+def calendar_words(fact: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+    """The months of every series as bits: ``word`` (64 months each) and ``bits``, at most 110 rows per series.
+
+    Bits combine on the map side, so however often a month is published it costs no shuffle.
+    """
+    months = fact.select(*keys, (F.year("period") * 12 + F.month("period") - 1).alias("_m"))
+    bit = F.expr("shiftleft(1L, _m % 64)")
+    return months.groupBy(*keys, F.floor(F.col("_m") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"), F.min("_m").alias("low"), F.max("_m").alias("high"))
+
+
 def missing_months(fact: DataFrame, keys: list[str] = SERIES) -> DataFrame:
-    """Months between a series' first and last period without an observation."""
-    span = fact.groupBy(*keys).agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
-    expected = span.select(
-        *keys, F.explode(F.expr("sequence(trunc(lo, 'month'), hi, interval 1 month)")).alias("period")
+    """Months between a series' first and last period without an observation; read off its calendar words, without a join."""
+    series = calendar_words(fact, keys).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    return expected.join(fact.select(*keys, F.trunc("period", "month").alias("period")), [*keys, "period"], "left_anti")
+    absent = F.expr("filter(sequence(low, high), m -> coalesce(getbit(words[cast(floor(m / 64) as bigint)], m % 64), 0) = 0)")
+    month = F.make_date(F.floor(F.col("m") / 12).cast("int"), (F.col("m") % 12 + 1).cast("int"), F.lit(1))
+    return series.select(*keys, F.explode(absent).alias("m")).select(*keys, month.alias("period"))

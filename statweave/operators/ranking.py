@@ -13,15 +13,19 @@ from pyspark.sql import functions as F
 
 from ..session import materialized
 
+RANGE_ROWS = 500_000
+
 
 def positions_by(df: DataFrame, groups: list[str], order: list[Column], ranges: int | None = None) -> DataFrame:
     """1-based ``position`` of each row inside its group.
 
     Range borders come from a sample that a second evaluation could draw differently,
-    so the partitioned rows are written once and numbered from there.
+    so the partitioned rows are written once and numbered from there.  The rows are
+    stored before: they are sampled and counted without being computed again, and their
+    number says how many ranges of RANGE_ROWS there are.
     """
-    spark = df.sparkSession
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = materialized(df, "ranked")
+    n = ranges or max(1, -(-df.count() // RANGE_ROWS))
     keys = [*[F.col(g) for g in groups], *order]
     # Ordered inside its range, a row's number there needs no further shuffle: the id counts rows of a partition.
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())

@@ -190,12 +190,18 @@ def test_matrices_with_missing_cells(spark):
             assert (r.coefficient is None) if want is None else r.coefficient == pytest.approx(want)
             if expected is not None and want is not None:
                 assert want == pytest.approx(expected.loc[r.indicator_a, r.indicator_b])
-    blocks = compare.MATRIX_BLOCK
+    # Pairs that are complete on the same rows share their ranks: a row without gaps is copied once per column.
+    pairs_of, entries = compare._shared_rows(["1111", "1101", "0110"], [(0, 1), (0, 3), (1, 3), (1, 2)])
+    assert pairs_of == {0: [(0, 1), (0, 3), (1, 3)], 1: [(1, 2)]}
+    assert entries == {"1111": [(0, 0), (1, 0), (1, 1), (2, 1), (3, 0)], "1101": [(0, 0), (1, 0), (3, 0)], "0110": [(1, 1), (2, 1)]}
+    key = lambda rows: sorted((r.indicator_a, r.indicator_b, r.n, r.coefficient and round(r.coefficient, 12)) for r in rows)
+    shared = key(compare.spearman_matrix(df, [], columns).collect())
+    patterns = compare.MAX_PATTERNS
     try:
-        compare.MATRIX_BLOCK = 2
-        assert compare.pearson_matrix(df, [], columns).count() == 6
+        compare.MAX_PATTERNS = 1
+        assert key(compare.spearman_matrix(df, [], columns).collect()) == shared
     finally:
-        compare.MATRIX_BLOCK = blocks
+        compare.MAX_PATTERNS = patterns
 
 
 def test_student_t_reference_points():

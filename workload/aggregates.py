@@ -376,6 +376,19 @@ def correlation_matrix_spearman(spark, d):
     return out.withColumn("coefficient", F.round("coefficient", 8))
 
 
+@query(
+    "comparison_in_range",
+    f"""WITH {OBS}, p AS (SELECT a.value AS x, b.value AS y FROM obs a JOIN obs b USING (geography, frequency, period)
+    WHERE a.indicator = 'ship_value' AND b.indicator = 'order_value' AND a.geography = 'NATION_6' AND a.dataset = 'shipments_nation' AND a.period >= DATE '1996-05-01' AND a.period <= DATE '2000-12-31'),
+  r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM p)
+  SELECT count(*) AS n, round(corr(x, y), 8) AS pearson, round(corr(rx, ry), 8) AS spearman FROM r""",
+)
+def comparison_in_range(spark, d):
+    """Both correlations of two series over the matched months of a range."""
+    found = compare.comparison(obs(spark, d, "shipments_nation", "orders_nation"), "ship_value", "order_value", "NATION_6", "1996-05", "2000")
+    return found["correlation"].select("n", F.round("pearson", 8).alias("pearson"), F.round("spearman", 8).alias("spearman"))
+
+
 @query(
     "pairwise_observations",
     f"WITH {OBS}, {_WIDE} "

@@ -1,5 +1,7 @@
 """Filters, paging, searching, ordering."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from statweave.operators import select as S
@@ -25,6 +27,29 @@ def series_pct_change_page(spark, d):
     return rows.select(*KEY, F.round("value", 6).alias("value"), "source_url")
 
 
+@query(
+    "series_page_with_total",
+    f"""WITH {OBS} SELECT {_ID}, round(value, 6) AS value, count(*) OVER () AS total FROM (
+  SELECT * EXCLUDE (value), {_PCT} AS value FROM obs WHERE indicator = 'ship_value' AND geography = 'NATION_2' AND frequency = 'monthly'
+    AND period BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' WINDOW w AS ({_SERIES})) ORDER BY dataset, frequency, period, unit LIMIT 12 OFFSET 24""",
+)
+def series_page_with_total(spark, d):
+    """A page of a transformed series in a range, with the number of all its rows."""
+    found = S.timeseries_page(obs(spark, d), "ship_value", "NATION_2", how="pct_change", frequency="monthly", start="1996", end="1999", limit=12, offset=24)
+    return found["rows"].select(*KEY, F.round("value", 6).alias("value"), F.lit(found["total"]).cast("long").alias("total"))
+
+
+@query(
+    "page_after_key",
+    f"""WITH {OBS} SELECT {_ID}, value FROM obs WHERE (dataset, indicator, geography, period, unit, frequency)
+  > ('shipments_nation', 'ship_qty', 'NATION_4', DATE '1998-03-01', 'tonnes', 'monthly') ORDER BY ALL LIMIT 100""",
+)
+def page_after_key(spark, d):
+    """The hundred observations behind a key."""
+    after = dict(dataset="shipments_nation", indicator="ship_qty", geography="NATION_4", period=dt.date(1998, 3, 1), unit="tonnes", frequency="monthly")
+    return S.page_after(obs(spark, d).select(*KEY, "value"), KEY, after, 100)
+
+
 @query(
     "series_selection",
     f"""WITH {OBS} SELECT {_ID}, value, source_url FROM obs WHERE indicator = 'ship_value' AND geography = 'NATION_7'
