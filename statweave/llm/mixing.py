@@ -193,11 +193,20 @@ def mix(docs: DataFrame, targets=None, max_copies: int = MAX_COPIES, seed: int =
 def mixed(docs: DataFrame, source: str = "source", **how) -> DataFrame:
     """The documents of the mix with all columns, as often as the mix takes them; null sources are one source.
 
-    Every row is judged on its own, whether its id is null, repeated or neither. Null and empty texts are in no mix. An empty table gives
+    Rows are told apart by id, source and text, so null and repeated ids do not mix. Rows that agree in all three are alike: what the mix
+    takes of them is dealt evenly, and the first of them gives what is left over. Null and empty texts are in no mix. An empty table gives
     an empty result.
     """
-    rows = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("_row")), "mix-rows")
-    sized = rows.select("row.doc_id", F.array(F.col(f"row.`{source}`")).alias("sources"), "row.text", "_row")
-    taken = mix(sized, keep=("_row",), **how).where("taken > 0")
-    copies = taken.select("_row", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    return rows.join(copies, "_row").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    key = F.xxhash64("doc_id", source, "text")
+    taken = mix(docs.select("doc_id", F.array(source).alias("sources"), "text", key.alias("_key")), keep=("_key",), **how)
+    share = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("long")
+    copies = taken.groupBy("_key").agg(F.sum(share).alias("_copies"), F.count("*").alias("_alike")).where("_copies > 0")
+    copies = stored(copies.selectExpr("_key", "_copies div _alike as _each", "_copies % _alike as _over"), "mix-copies")
+    rows = docs.select(F.struct("*").alias("row"), key.alias("_key"))
+    times = lambda n: F.explode(F.sequence(F.lit(1), n))
+    out = rows.join(copies.where("_each > 0"), "_key").select("row", times(F.col("_each"))).select("row.*")
+    over = copies.where("_over > 0")
+    if over.isEmpty():
+        return out
+    first = rows.join(over, "_key").groupBy("_key").agg(F.first("row").alias("row"), F.first("_over").alias("_over"))
+    return out.unionByName(first.select("row", times(F.col("_over"))).select("row.*"))
