@@ -204,7 +204,8 @@ def mixed(docs: DataFrame, source: str = "source", **how) -> DataFrame:
     copies = stored(copies.selectExpr("_key", "_copies div _alike as _each", "_copies % _alike as _over"), "mix-copies")
     rows = docs.select(F.struct("*").alias("row"), key.alias("_key"))
     times = lambda n: F.explode(F.sequence(F.lit(1), n))
-    out = rows.join(copies.where("_each > 0"), "_key").select("row", times(F.col("_each"))).select("row.*")
+    # The copies grow with the documents, so this join shuffles at every size.
+    out = rows.join(copies.where("_each > 0").hint("merge"), "_key").select("row", times(F.col("_each"))).select("row.*")
     over = copies.where("_over > 0")
     if over.isEmpty():
         return out
