@@ -21,7 +21,7 @@ SEASON, HOLDOUT, HORIZON, FOLDS = 12, 12, 6, 3
 RIDGE_ALPHAS = (1.0, 10.0, 100.0)
 FOREST_DEPTHS = (3, 6)
 BOOSTING_LEAVES = (7, 15)
-SERIES_PER_TASK, SERIES_GROUP = 8, 32  # series that a task fits, and that boosting fits side by side
+SERIES_PER_TASK, MANY_TASKS, SERIES_GROUP = (8, 64), 256, 64  # series that a task fits (few, and once there are many tasks); that boosting fits side by side
 LIMITATIONS = [
     "Every model knows one series and its calendar, nothing else; a break in the series is not foreseen.",
     "The winner is the model with the smallest error over the last held-out months, so that error is a low estimate of later ones.",
@@ -348,7 +348,8 @@ def forecast(
     kinds = [k for k in ("random_forest", "gradient_boosting") if k in models]
     if kinds:
         # Little data but long work: the rows are dealt to tasks by their number, not by their bytes.
-        tasks = max(1, -(-ready.count() // SERIES_PER_TASK))
+        n, (few, many) = ready.count(), SERIES_PER_TASK
+        tasks = max(1, min(-(-n // few), max(MANY_TASKS, -(-n // many))))
         fitted = base.withColumn("first_month", F.month(F.element_at("periods", 1))).select(*ids, "actual", "values", "first_month").repartition(tasks)
         fitted = materialized(tree_forecasts(fitted, kinds, season, holdout, horizon, rounds), "trees")
         for kind in kinds:

@@ -170,3 +170,36 @@ def test_series_do_not_share_a_model(series):
     together = {r.geography: r for r in panel.forecast(both, models=kinds, rounds=5).collect()}
     assert together["Pakistan"].metrics == alone.metrics and together["Pakistan"].forecast == alone.forecast
     assert set(SERIES) <= set(alone.asDict()) and together["Elsewhere"].metrics != alone.metrics
+
+
+def test_smaller_depths_are_cut_from_the_deepest_trees(monkeypatch):
+    x, y = trees.lag_table(history(72, 8, True), 4, 12)
+    weights = trees.bootstrap(len(y), 20, 3)
+    deep = trees.grow_forest(x, y, weights, 6)
+    assert deep.cut(3).predict(x) == pytest.approx(trees.grow_forest(x, y, weights, 3).predict(x), rel=1e-12)
+    grown, grow = [], trees.grow_forest
+    monkeypatch.setattr(trees, "grow_forest", lambda *a: grown.append(a[3]) or grow(*a))
+    trees.forest_forecasts([(history(84, 2), 1)], 12, 12, 6, 3, (3, 6), 5, 42)
+    assert grown[:3] == [6, 6, 6] and len(grown) == 5  # one forest per fold, one per path
+
+
+def test_boosting_fits_once_what_the_rows_cannot_tell_apart(monkeypatch):
+    fitted, boost = [], trees.boost
+    monkeypatch.setattr(trees, "boost", lambda *a: fitted.append(len(a[0])) or boost(*a))
+    short, long = history(84, 2), history(300, 4)
+    one, other = trees.boosting_forecasts([(short, 1), (long, 1)], 12, 12, 6, 3, (7, 15), 5)
+    # Only the last fold of the long series (69, 138 and 207 rows) can have more than seven leaves of twenty rows.
+    assert fitted[0] == 3 + 4
+    assert one[3] == 7  # the first of equal sizes
+    alone = trees.boosting_forecasts([(long, 1)], 12, 12, 6, 3, (7, 15), 5)[0]
+    assert other[0] == pytest.approx(alone[0], rel=1e-12) and other[3] == alone[3]
+
+
+def test_boosting_without_a_possible_split_is_the_mean():
+    x, y = trees.lag_table(history(60, 9), 1, 12)
+    few, many = (x[:30], y[:30]), (x, y)
+    model = trees.boost([few[0], many[0]], [few[1], many[1]], [15, 15], rounds=5)
+    assert model.leaf.shape[2] <= 2 and (model.leaf[0] == -1).all() and (model.leaf[1] >= 0).any()
+    padded = np.zeros((2, len(x), x.shape[1]))
+    padded[0] = padded[1] = x
+    assert model.predict(padded)[0] == pytest.approx(np.full(len(x), few[1].mean()))
