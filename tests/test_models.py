@@ -145,6 +145,28 @@ def test_forest_scores_are_calibrated(series):
     assert 0.03 <= (-train.score < offset).mean() <= 0.06
 
 
+@pytest.mark.parametrize("sample", [256, 16])
+def test_only_rows_outside_the_samples_fall_again(monkeypatch, sample):
+    rng = np.random.default_rng(9)
+    points, train = np.round(rng.normal(size=(60, 2)), 1), np.arange(60) < 40
+    fell, depths = [], anomalies.depths
+    monkeypatch.setattr(anomalies, "depths", lambda p, *a: fell.append(len(p)) or depths(p, *a))
+    got = anomalies.isolation_scores(points, train, 20, sample, np.random.default_rng(3))
+    assert fell == [20 if sample > 40 else 60]
+    levels, _ = anomalies.grow(points[train], 20, sample, np.random.default_rng(3))
+
+    def depth(point, tree):
+        node = tree
+        for level in levels:
+            if level["leaf"][node]:
+                return level["depth"][node]
+            node = level["child"][node] + (point[level["feature"][node]] > level["cut"][node])
+
+    expected = 2 * (np.log(min(sample, 40) - 1) + 0.5772156649015329) - 2 * (min(sample, 40) - 1) / min(sample, 40)
+    plain = [2 ** (-np.mean([depth(p, t) for t in range(20)]) / expected) for p in points]
+    assert got == pytest.approx(plain, rel=1e-12)
+
+
 def _matrix(spark, n=60, seed=0):
     rng = np.random.default_rng(seed)
     level = np.where(np.arange(n) < n // 2, 0, 8)
