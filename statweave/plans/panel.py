@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.series import along, lag_features, positions
 from ..schema import SERIES
@@ -22,6 +22,7 @@ RIDGE_ALPHAS = (1.0, 10.0, 100.0)
 FOREST_DEPTHS = (3, 6)
 BOOSTING_LEAVES = (7, 15)
 SERIES_PER_TASK, MANY_TASKS, SERIES_GROUP = (8, 64), 256, 64  # series that a task fits (few, and once there are many tasks); that boosting fits side by side
+SOLVED_SERIES = 256  # series whose ridge is solved at a time
 LIMITATIONS = [
     "Every model knows one series and its calendar, nothing else; a break in the series is not foreseen.",
     "The winner is the model with the smallest error over the last held-out months, so that error is a low estimate of later ones.",
@@ -184,23 +185,31 @@ def _solve(blocks: np.ndarray, alphas: tuple[float, ...], size: int) -> np.ndarr
     return out
 
 
+def _solved(batches, keys: list[str], alphas: tuple[float, ...], size: int):
+    """The coefficients of every row of sums per block, for SOLVED_SERIES rows at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), SOLVED_SERIES):
+            rows = batch.slice(at, SOLVED_SERIES)
+            stacked = rows.column("sums").flatten().flatten().to_numpy().reshape(len(rows), -1, size * (size + 1) // 2)
+            flat = _solve(np.cumsum(stacked, axis=1).reshape(-1, stacked.shape[2]), alphas, size)
+            made = pa.array(flat.ravel())
+            for width in (size - 1, len(alphas), stacked.shape[1]):
+                made = pa.ListArray.from_arrays(pa.array(np.arange(0, len(made) + 1, width), pa.int32()), made)
+            yield pa.record_batch([*[rows.column(k) for k in keys], made], names=[*keys, "fits"])
+
+
 def ridge_coefficients(sums: DataFrame, keys: list[str], season: int = SEASON, alphas: tuple[float, ...] = RIDGE_ALPHAS,
                        folds: int = FOLDS) -> DataFrame:
     """Coefficients per series: ``fits[s][a]`` for training sets s = blocks 0..s and alpha a.
 
-    Set ``folds`` is the whole training part, set ``folds+1`` the whole history.
+    Set ``folds`` is the whole training part, set ``folds+1`` the whole history.  The sums stay in Arrow and are solved for
+    SOLVED_SERIES series at a time, which bounds a task's memory whatever its share of the series.
     """
     size = len(_terms(season))
 
-    @F.pandas_udf("array<array<array<double>>>")
-    def fit(blocks: pd.Series) -> pd.Series:
-        stacked = np.array([[np.asarray(b, dtype=float) for b in row] for row in blocks])
-        running = np.cumsum(stacked, axis=1)
-        flat = _solve(running.reshape(-1, running.shape[-1]), alphas, size)
-        return pd.Series(list(flat.reshape(len(running), -1, len(alphas), size - 1).tolist()))
-
-    ordered = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "sums"))).alias("b"))
-    return ordered.select(*keys, fit(F.col("b.sums")).alias("fits"))
+    ordered = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "sums"))).alias("b")).select(*keys, F.col("b.sums").alias("sums"))
+    schema = T.StructType([*ordered.select(*keys).schema.fields, T.StructField("fits", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))])
+    return ordered.mapInArrow(lambda batches: _solved(batches, keys, alphas, size), schema)
 
 
 def _dot(coefficients: str, season: int) -> str:

@@ -145,6 +145,23 @@ def test_forest_scores_are_calibrated(series):
     assert 0.03 <= (-train.score < offset).mean() <= 0.06
 
 
+def test_ridge_solves_a_bounded_number_of_series_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    rng, solved, solve = np.random.default_rng(2), [], panel._solve
+    monkeypatch.setattr(panel, "_solve", lambda sets, *a: solved.append(len(sets)) or solve(sets, *a))
+    rows, upper = 600, np.triu_indices(5)
+    sums = []
+    for _ in range(rows):
+        parts = [np.column_stack([np.ones(9), rng.normal(size=(9, 4))]) for _ in range(3)]
+        sums.append([(p.T @ p)[upper].tolist() for p in parts])
+    batch = pa.record_batch([pa.array([str(i) for i in range(rows)]), pa.array(sums)], names=["k", "sums"])
+    out = pa.Table.from_batches(panel._solved([batch.slice(1)], ["k"], (1.0, 10.0), 5)).to_pydict()
+    assert max(solved) <= 3 * 256 and out["k"] == [str(i) for i in range(1, rows)]
+    whole = solve(np.cumsum(np.array(sums[1:]), axis=1).reshape(-1, 15), (1.0, 10.0), 5).reshape(rows - 1, 3, 2, 4)
+    assert np.array(out["fits"]) == pytest.approx(whole, rel=1e-9)
+
+
 @pytest.mark.parametrize("sample", [256, 16])
 def test_only_rows_outside_the_samples_fall_again(monkeypatch, sample):
     rng = np.random.default_rng(9)
