@@ -307,3 +307,31 @@ def test_census_workbook(spark):
         census.census_observations(cells([row("x"), row("y")]), "table_1_kp_districts.xlsx", "https://x/")
     with pytest.raises(ContractError, match="no known geography"):
         census.census_observations(cells([*head, row("TOTAL")]), "table_1_kp_districts.xlsx", "https://x/")
+
+
+def test_source_files_grow_in_number(spark, sf, tmp_path, monkeypatch):
+    from workload import files as queries
+    from workload.observations import SEQUENCE, raw
+
+    monkeypatch.setattr(queries, "FILE_ROWS", 500)
+    rows = raw(spark, sf)
+    path = queries._as_csv(rows, str(tmp_path / "csv"))
+    read = files.read_csv(spark, path)
+    assert len(list((tmp_path / "csv").glob("part-*.csv"))) == -(-rows.count() // 500) > 8
+    given = [r[0] for r in rows.orderBy(*SEQUENCE).select("value").collect()]
+    assert [r.value for r in read.orderBy("seq").select("value").collect()] == [v or None for v in given]
+
+
+def test_stream_rows_are_reduced_per_task(monkeypatch):
+    import pyarrow as pa
+
+    from statweave.streaming import firsts
+
+    n = 30_000
+    rows = pa.table({"k": [None if i % 7 == 0 else f"k{i % 7}" for i in range(n)], "place": [None if i == 15 else (n - i) for i in range(n)], "text": ["x"] * n})
+    out = list(firsts._earliest(["k"], ["place", "text"])(iter(rows.to_batches(max_chunksize=1_000))))
+    got = {r["k"]: r["place"] for b in out for r in b.to_pylist()}
+    assert sum(map(len, out)) == 7 and got["k1"] is None and got[None] == min(n - i for i in range(0, n, 7))
+    monkeypatch.setattr(firsts, "HELD_ROWS", 2_000)
+    alone = list(firsts._earliest(["place"], ["place"])(iter(rows.to_batches(max_chunksize=1_000))))
+    assert sum(map(len, alone)) == n and max(map(len, alone)) <= 10_000  # keys of their own are passed on
