@@ -5,7 +5,8 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -13,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from ..schema import KEY
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+HELD_ROWS = 1_000_000  # rows that a task holds at most while it looks for the first of each key
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -37,9 +39,9 @@ class FirstOccurrence(StatefulProcessor):
         self.until = handle.getValueState("until", "at long")
 
     def _read(self):
-        if not self.place.exists():
+        held = self.place.get()  # one call to the store; a key without a place has none
+        if held is None:
             return None
-        held = self.place.get()
         return _order(next((x for x in held[3 * i : 3 * i + 3] if x is not None), None) for i in range(len(self.order)))
 
     def _write(self, row: Row) -> None:
@@ -63,7 +65,7 @@ class FirstOccurrence(StatefulProcessor):
             yield best
         if latest is not None and self.delay is not None:
             at = int(latest.replace(tzinfo=latest.tzinfo or dt.timezone.utc).timestamp() * 1000) + self.delay
-            old = self.until.get()[0] if self.until.exists() else None
+            (old,) = self.until.get() or (None,)
             if old is None or at > old:
                 if old is not None:
                     self.handle.deleteTimer(old)
@@ -79,12 +81,34 @@ class FirstOccurrence(StatefulProcessor):
         pass
 
 
+def _firsts(rows: pa.Table, keys: list[str], order: list[str]) -> pa.Table:
+    """One row per key: the earliest by `order`, nulls first."""
+    places = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in order], null_placement="at_start")
+    ordered = rows.select(keys).take(places).append_column("_at", pa.array(range(len(rows)), pa.int64()))
+    first = ordered.group_by(keys, use_threads=False).aggregate([("_at", "min")]).column("_at_min")
+    return rows.take(places.take(first.combine_chunks()))
+
+
 def _earliest(keys: list[str], order: list[str]):
-    """One row per key of each batch of a task, so that a crowded key reaches the state store as few rows."""
+    """One row per key of a task, so that a crowded key reaches the state store as few rows.
+
+    While most of HELD_ROWS rows have keys of their own they are passed on as they are found, which bounds the memory.
+    """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.sort_values(order, na_position="first", kind="stable").drop_duplicates(keys)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= HELD_ROWS:
+                few = _firsts(pa.Table.from_batches(held), keys, order)
+                if len(few) > HELD_ROWS * 3 // 4:
+                    yield from few.to_batches(10_000)
+                    held, n = [], 0
+                else:
+                    held, n = few.to_batches(), len(few)
+        if n:
+            yield from _firsts(pa.Table.from_batches(held), keys, order).to_batches(10_000)
 
     return run
 
@@ -101,7 +125,7 @@ def improving_firsts(rows: DataFrame, order: list[str], keys: list[str] = KEY, t
     spark.conf.set(_PROVIDER, ROCKSDB)  # the store that keeps several states and timers per key
     if time is not None:
         rows = rows.withWatermark(time, "0 seconds")
-    few = rows.mapInPandas(_earliest(keys, order), rows.schema)
+    few = rows.mapInArrow(_earliest(keys, order), rows.schema)
     processor = FirstOccurrence(order, time if delay_ms is not None else None, delay_ms)
     mode = "EventTime" if delay_ms is not None else "None"
     return few.groupBy(*keys).transformWithState(processor, rows.schema, "Append", mode)
