@@ -119,3 +119,13 @@ def test_no_broadcast_is_forced(spark, sf):
             continue
         text = path.read_text()
         assert "broadcast(" not in text and "localCheckpoint" not in text and "crossJoin" not in text, path
+
+
+def test_reasons_are_counted_without_a_second_parse(spark, sf):
+    from statweave.operators import validate as V
+    from workload.observations import RAW_URL, raw
+
+    typed = V.typed(raw(spark, sf), RAW_URL)
+    plan = V.reject_reasons(typed)._jdf.queryExecution().optimizedPlan().toString()
+    parsed = typed.select("reasons")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == parsed.count("RLIKE")
