@@ -129,3 +129,19 @@ def test_reasons_are_counted_without_a_second_parse(spark, sf):
     plan = V.reject_reasons(typed)._jdf.queryExecution().optimizedPlan().toString()
     parsed = typed.select("reasons")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") == parsed.count("RLIKE")
+
+
+def test_homogeneity_carries_every_row_once(series):
+    from statweave.operators.coverage import homogeneity
+
+    one = series([1, 2, 3])
+    fact = one.unionByName(one.limit(1).withColumn("frequency", F.lit(None).cast("string")))  # a repeated month, one attribute unknown
+    fact = fact.unionByName(series([1, 2], indicator="mixed")).unionByName(series([3], indicator="mixed", unit="count"))
+    fact = fact.unionByName(series([1, 2], indicator="good")).unionByName(series([1], indicator="old", frequency="annual"))
+    fact = fact.unionByName(series([1], indicator="none").withColumn("unit", F.lit(None).cast("string")))
+    out = homogeneity(fact, ["indicator"])
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.indicator, r.observations, r.status, r.reason) for r in out.collect()} == {
+        ("cpi", 4, "blocked", "duplicate_periods"), ("mixed", 3, "blocked", "mixed_source_or_unit"), ("good", 2, "ready", None),
+        ("old", 1, "blocked", "not_monthly"), ("none", 1, "blocked", "mixed_source_or_unit"),
+    }
