@@ -12,7 +12,6 @@ _SPACES = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-_CLEAN_EDGES = r"(?s)\A[!-~](?:.*[!-~])?\z"
 _NUMBER = r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
 _PLAIN_DATE = r"\A\d{4}(?:-\d{2}(?:-\d{2})?)?\z"
 # Year, month and day with one separator or none; hour, minute and second with colons or none; then a sign, hours and minutes.
@@ -28,9 +27,12 @@ def strip(c: Column) -> Column:
     """Drop leading and trailing whitespace of any kind (tabs and no-break spaces too).
 
     Cells that begin and end with a printable ASCII character pass as they are, which
-    spares most of them the slower search through the whitespace set.
+    spares most of them the slower search through the whitespace set.  The two characters
+    are looked at without a pattern, which would make a Java text of every cell first.
     """
-    return F.when(c.rlike(_CLEAN_EDGES), c).otherwise(F.btrim(c, F.lit(_SPACES)))
+    printable = lambda edge: F.ascii(edge).between(ord("!"), ord("~"))
+    clean = printable(c) & printable(F.substring(c, -1, 1))
+    return F.when(clean, c).otherwise(F.btrim(c, F.lit(_SPACES)))
 
 
 def finite_number(c: Column) -> Column:

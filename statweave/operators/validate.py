@@ -68,11 +68,11 @@ def typed(raw: DataFrame, source_url: str) -> DataFrame:
         {"period": iso_date(F.col("period")), "value": finite_number(F.col("value"))}
     )
     tests = _tests(source_url)
+    failed = reduce(lambda a, b: a | b, tests.values())
+    # Names without spaces, so joining and splitting keeps them; only rows that fail pay for it.
+    reasons = F.split(F.concat_ws(" ", *[F.when(test, F.lit(name)) for name, test in tests.items()]), " ")
     return parsed.withColumns(
-        {
-            "valid": ~reduce(lambda a, b: a | b, tests.values()),
-            "reasons": F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()])),
-        }
+        {"valid": ~failed, "reasons": F.when(failed, reasons).otherwise(F.array().cast("array<string>"))}
     )
 
 
@@ -155,14 +155,18 @@ def staged(typed_rows: DataFrame, sequence: list[str]) -> DataFrame:
     every ingestion count is a sum over this small result and the raw text is read
     once.  Rejected rows share the null key; the outcome is an aggregate, not a
     grouping column, so a later filter on it cannot repeat the parsing below.
+
+    Texts are aggregated by sorting. The hash of the key is sorted first: a number tells
+    almost all keys apart, where key columns alike in most rows were compared one by one.
     """
     keyed = [F.when(F.col("valid"), F.col(k)).alias(k) for k in KEY]
     order = F.struct(*sequence)
     return (
         typed_rows.select(*keyed, "valid", "value", "source_url", order.alias("seq"), "blanks")
-        .groupBy(*KEY)
+        .withColumn("_hash", F.xxhash64(*KEY))
+        .groupBy("_hash", *KEY)
         .agg(
-            F.min_by(F.struct("value", "source_url", "seq"), "seq").alias("first"),
+            F.min(F.struct("seq", "value", "source_url")).alias("first"),
             F.bool_or("valid").alias("_valid"),
             F.count("*").alias("copies"),
             F.sum("blanks").alias("blanks"),

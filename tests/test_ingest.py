@@ -335,3 +335,19 @@ def test_stream_rows_are_reduced_per_task(monkeypatch):
     monkeypatch.setattr(firsts, "HELD_ROWS", 2_000)
     alone = list(firsts._earliest(["place"], ["place"])(iter(rows.to_batches(max_chunksize=1_000))))
     assert sum(map(len, alone)) == n and max(map(len, alone)) <= 10_000  # keys of their own are passed on
+
+
+def test_staging_compares_hashes_not_texts(spark, meta):
+    """Sorted by the key's hash first, and no reason is collected by a function that Spark cannot compile."""
+    from statweave.operators import validate as V
+    from statweave.schema import COLUMNS
+
+    good = ("d", "i", "g", "2020-01-01", "2", "u", "monthly", meta["source_url"])
+    rows = [(*good, 1), (*good[:4], "3", *good[5:], 0), (*good[:3], "never", "bad", *good[5:], 2)]
+    typed = V.typed(spark.createDataFrame(rows, [*COLUMNS, "n"]), meta["source_url"])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    staged = V.staged(typed, ["n"])
+    assert "Sort [_hash" in plan(staged)
+    assert "lambda" not in plan(typed) and plan(typed).count("RLIKE") < plan(typed).count("ascii(")
+    assert sorted((r.outcome, r.value, r.copies, r.blanks) for r in staged.collect()) == [("accepted", 3.0, 2, 0), ("rejected", None, 1, 0)]
+    assert sorted(r.reasons for r in typed.collect()) == [[], [], ["bad_period", "bad_value"]]
