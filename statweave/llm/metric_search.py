@@ -96,9 +96,9 @@ def search(query: np.ndarray, own: int, pages: list[dict], k: int, longest: floa
     best: list[tuple[int, int]] = []  # a heap with the worst at the top: score, minus id
     reach = float("inf")
     queue: list[tuple[float, int, int, int, float]] = []
-    for p, page in enumerate(pages):
-        d = float(distances(page["centre"], q))
-        heapq.heappush(queue, (max(0.0, d - page["cover"]), 0, p, 0, d))
+    for p, d in enumerate(distances(np.stack([page["centre"] for page in pages]), q).tolist() if pages else []):
+        queue.append((max(0.0, d - pages[p]["cover"]), 0, p, 0, d))
+    heapq.heapify(queue)
     while queue:
         bound, level, p, node, d = heapq.heappop(queue)
         if bound > reach + slack:
@@ -115,7 +115,11 @@ def search(query: np.ndarray, own: int, pages: list[dict], k: int, longest: floa
             continue
         a, b = int(page["begin"][node]), int(page["begin"][node + 1])
         some = a + np.flatnonzero(np.abs(d - page["to_parent"][a:b]) <= reach + slack)
-        scores = page["plain" if exact else "vectors"][some] @ probe
+        # A leaf that is wanted whole is not copied.
+        scores = page["plain" if exact else "vectors"][slice(a, b) if len(some) == b - a else some] @ probe
+        if len(best) == k:  # what scores below the k-th best is left out for all at once
+            able = np.flatnonzero(scores >= best[0][0])
+            some, scores = some[able], scores[able]
         for s, i in zip(scores.tolist(), page["ids"][some].tolist()):
             entry = (int(s), -i)
             if i == own or (len(best) == k and entry <= best[0]):

@@ -425,3 +425,30 @@ def test_kernel_hashes_are_content_hashes():
     words, first = kernel.word_hashes(buf, np.array([0, 7, 15]))
     assert words[0] == words[2] and words[1] == words[3] and words[0] != words[1] and first.tolist() == [0, 2, 4]
     assert kernel.sliding_min(np.array([5, 3, 4, 1, 9]), 3).tolist() == [3, 1, 1]
+
+
+def test_metric_search_handles_only_what_can_enter():
+    """Scores below the k-th best never reach Python numbers; ties with it do, as the smaller id wins."""
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-3, 4, (600, 6))
+    ids, longest = rng.permutation(600).astype(np.int64), float((vectors**2).sum(1).max())
+    near = rng.integers(0, 4, 600)
+    seen = []
+
+    class Watched(np.ndarray):
+        def __getitem__(self, at):
+            got = super().__getitem__(at)
+            seen.append(np.size(got))
+            return got
+
+    pages = []
+    for n in range(4):
+        own = near == n
+        page = metric_search.build_page(ids[own], vectors[own], metric_search.lifted(vectors[own][:1], longest)[0], longest)
+        pages.append({**page, "plain": page["vectors"].astype(float), "ids": page["ids"].view(Watched)})
+    for q in range(10):
+        scores = vectors @ vectors[q]
+        best = sorted((-int(s), int(i)) for s, i in zip(scores, ids) if i != ids[q])[:5]
+        assert metric_search.search(vectors[q], int(ids[q]), pages, 5, longest) == [(-s, i) for s, i in best]
+    assert sum(seen) < 10 * 600 / 4
+    assert metric_search.search(vectors[0], 1, [], 5, longest) == []
