@@ -75,10 +75,18 @@ def _passages(window: int):
     return run
 
 
+class _Ids(dict):
+    """Numbers of words, given as they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = len(self)
+        return self[word]
+
+
 def locate(passages: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int]]:
     """Occurrences that are not the first of their passage. passages: document, start, count, words; any order."""
-    ids: dict[bytes, int] = {}
-    texts = [tuple(ids.setdefault(w, len(ids)) for w in words.split()) for *_, words in passages]
+    number = _Ids().__getitem__
+    texts = [tuple(map(number, words.split())) for *_, words in passages]
     times: dict[tuple, int] = {}
     for t in texts:
         times[t] = times.get(t, 0) + 1
@@ -112,9 +120,9 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int32()), "count": pa.array(count, pa.int32())})
 
     for batch in batches:
-        c = {k: batch.column(k).to_pylist() for k in ("route", "doc_id", "start", "count", "words")}
+        numbers = [batch.column(k).to_numpy().tolist() for k in ("route", "doc_id", "start", "count")]
         settled = []
-        for route, doc, start, count, words in zip(*c.values()):
+        for route, doc, start, count, words in zip(*numbers, batch.column("words").to_pylist()):
             if words is None:
                 settled.append((doc, start, count))
                 continue

@@ -452,3 +452,10 @@ def test_metric_search_handles_only_what_can_enter():
         assert metric_search.search(vectors[q], int(ids[q]), pages, 5, longest) == [(-s, i) for s, i in best]
     assert sum(seen) < 10 * 600 / 4
     assert metric_search.search(vectors[0], 1, [], 5, longest) == []
+
+
+def test_words_are_numbered_as_they_are_met():
+    number = phrase_dedup._Ids().__getitem__
+    assert list(map(number, b"a b a c b".split())) == [0, 1, 0, 2, 1]
+    words = b" ".join(b"w%d" % i for i in range(21))
+    assert phrase_dedup.locate([(3, 0, 2, words), (1, 4, 2, words), (2, 0, 1, words[:-4]), (4, 9, 2, words)]) == [(3, 0, 2), (4, 9, 2)]
