@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from itertools import combinations
 
@@ -17,6 +18,8 @@ from .moments import pair_correlations
 from .validate import ContractError
 
 MAX_PATTERNS = 4096  # patterns of present columns that are told apart
+MAX_ENTRIES = 50_000  # columns and sets of all patterns together, which stand in the plan
+RANKED_ROWS = 100_000  # copies of rows that a task ranks, if no group has more
 
 
 def matched_pairs(fact: DataFrame, indicator_a: str, indicator_b: str, geography: str | None = None) -> DataFrame:
@@ -105,8 +108,12 @@ def with_p_values(result: DataFrame) -> DataFrame:
 
 
 def wide(fact: DataFrame, index: list[str], columns: list[str], name: str = "indicator") -> DataFrame:
-    """One column per named indicator; the list is explicit, so no pass is spent finding it."""
-    return fact.groupBy(*index).pivot(name, columns).agg(F.first("value", ignorenulls=True))
+    """One column per named indicator; the list is explicit, so no pass is spent finding it.
+
+    One aggregate over the index: a task holds and sends a row per index, not one per index and indicator.
+    """
+    cells = [F.first(F.when(F.col(name) == F.lit(c), F.col("value")), ignorenulls=True).alias(c) for c in columns]
+    return fact.groupBy(*index).agg(*cells)
 
 
 def _both(a: Column, b: Column, value: Column) -> Column:
@@ -141,19 +148,25 @@ def spearman_matrix(frame: DataFrame, groups: list[str], columns: list[str], min
 
     A row is copied once for each of its columns and each distinct set of rows that a pair of that column is complete on:
     once per column where nothing is missing, not once per pair.  A frame with more patterns of present columns than
-    MAX_PATTERNS takes every pair for a set of its own.
+    MAX_PATTERNS, or more copies to tell apart than MAX_ENTRIES, takes every pair for a set of its own.
+
+    Patterns and sets are few and most rows share one, so they are looked up in constants of the plan: a join by pattern would
+    bring nearly all rows to one task.  Whole groups are dealt to as many tasks as the copies need and stay there to the end.
     """
     pairs = list(combinations(range(len(columns)), 2))
     mask = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns])
     values = F.array(*[F.col(c).cast("double") for c in columns])
     rows = materialized(frame.select(*groups, values.alias("_v"), mask.alias("_mask"), F.monotonically_increasing_id().alias("_row")), "matrix")
-    patterns = [r[0] for r in rows.select("_mask").distinct().limit(MAX_PATTERNS + 1).collect()]
-    spark = frame.sparkSession
-    entry, shared = "array<struct<a:int,s:int>>", "array<struct<i:int,j:int>>"
-    if len(patterns) <= MAX_PATTERNS:
-        pairs_of, entries = _shared_rows(sorted(patterns), pairs)
-        plan = spark.createDataFrame(list(entries.items()), f"_mask string, e {entry}")
-        copied = rows.join(plan, "_mask")
+    found = rows.groupBy("_mask").count().limit(MAX_PATTERNS + 1).collect()
+    constant = lambda value, schema: F.from_json(F.lit(json.dumps(value)), schema)
+    pairs_of, entries = _shared_rows(sorted(r[0] for r in found), pairs) if len(found) <= MAX_PATTERNS else ({}, {})
+    together = len(found) <= MAX_PATTERNS and sum(map(len, entries.values())) <= MAX_ENTRIES
+    if groups:
+        copies = sum(r[1] * len(entries.get(r[0], ())) for r in found) if together else rows.count() * 2 * len(pairs)
+        rows = rows.repartition(max(1, -(-copies // RANKED_ROWS)), *groups)
+    if together:
+        plan = constant({p: [{"a": a, "s": s} for a, s in e] for p, e in entries.items()}, "map<string,array<struct<a:int,s:int>>>")
+        copied = rows.withColumn("e", F.try_element_at(plan, F.col("_mask")))
     else:
         pairs_of = {s: [pair] for s, pair in enumerate(pairs)}
         own = [F.array(*[F.struct(F.lit(c).alias("a"), F.lit(s).alias("s")) for c in pair]) for s, (pair,) in pairs_of.items()]
@@ -161,16 +174,16 @@ def spearman_matrix(frame: DataFrame, groups: list[str], columns: list[str], min
         copied = rows.withColumn("e", F.flatten(F.array_compact(F.array(*both))))
     long = copied.select(*groups, "_row", F.explode("e").alias("e"), "_v").select(*groups, "_row", "e.*", F.get("_v", F.col("e.a")).alias("_x"))
     ranked = long.withColumn("_rank", average_rank(F.col("_x"), [*groups, "a", "s"]))
-    together = ranked.groupBy(*groups, "s", "_row").agg(F.map_from_entries(F.collect_list(F.struct("a", "_rank"))).alias("_ranks"))
-    members = spark.createDataFrame(list(pairs_of.items()), f"s int, p {shared}")
-    paired = together.join(members, "s").select(*groups, "_ranks", F.explode("p").alias("p")).select(
+    matched = ranked.groupBy(*groups, "s", "_row").agg(F.map_from_entries(F.collect_list(F.struct("a", "_rank"))).alias("_ranks"))
+    members = constant([[{"i": i, "j": j} for i, j in pairs_of[s]] for s in range(len(pairs_of))], "array<array<struct<i:int,j:int>>>")
+    paired = matched.select(*groups, "_ranks", F.explode(F.get(members, F.col("s"))).alias("p")).select(
         *groups, "p.*", F.element_at("_ranks", F.col("p.i")).alias("x"), F.element_at("_ranks", F.col("p.j")).alias("y")
     )
     x, y = F.col("x"), F.col("y")
     defined = (F.count("*") >= minimum) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    found = paired.groupBy(*groups, "i", "j").agg(F.count("*").alias("n"), F.when(defined, pearson(x, y)).alias("coefficient"))
+    result = paired.groupBy(*groups, "i", "j").agg(F.count("*").alias("n"), F.when(defined, pearson(x, y)).alias("coefficient"))
     name = lambda i: F.get(F.array(*[F.lit(c) for c in columns]), F.col(i))
-    return found.select(*groups, name("i").alias("indicator_a"), name("j").alias("indicator_b"), "n", "coefficient")
+    return result.select(*groups, name("i").alias("indicator_a"), name("j").alias("indicator_b"), "n", "coefficient")
 
 
 def changes(frame: DataFrame, groups: list[str], columns: list[str]) -> DataFrame:

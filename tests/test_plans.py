@@ -145,3 +145,47 @@ def test_homogeneity_carries_every_row_once(series):
         ("cpi", 4, "blocked", "duplicate_periods"), ("mixed", 3, "blocked", "mixed_source_or_unit"), ("good", 2, "ready", None),
         ("old", 1, "blocked", "not_monthly"), ("none", 1, "blocked", "mixed_source_or_unit"),
     }
+
+
+def test_a_rank_matrix_sends_no_pattern_to_one_task(spark):
+    from itertools import combinations
+
+    import numpy as np
+    import pandas as pd
+
+    from statweave.operators import compare
+
+    rng = np.random.default_rng(3)
+    columns = list("abcd")
+    frame = pd.DataFrame(rng.normal(size=(900, 4)).round(1), columns=columns)
+    frame.loc[::45, "d"] = np.nan  # nearly all rows hold the same columns
+    frame.loc[::2, "c"] = np.nan
+    frame.insert(0, "g", [None if k % 30 == 0 else f"g{k % 30}" for k in range(900)])
+    rows = frame.astype(object).where(frame.notna(), None).values.tolist()
+    df = spark.createDataFrame(rows, "g string, " + ", ".join(f"{c} double" for c in columns))
+    found = compare.spearman_matrix(df, ["g"], columns, 5)
+    text = plan(found)
+    assert "SortMergeJoin" not in text and "ShuffledHashJoin" not in text
+    assert [m for m in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text) if not m.startswith("g#")] == []
+    got = {(r.g, r.indicator_a, r.indicator_b): (r.n, r.coefficient) for r in found.collect()}
+    want = 0
+    for g, own in frame.groupby("g", dropna=False):
+        for a, b in combinations(columns, 2):
+            both = own[[a, b]].dropna()
+            if not len(both):
+                continue
+            want += 1
+            n, r = got[None if pd.isna(g) else g, a, b]
+            assert n == len(both)
+            ranks = both.rank()
+            expected = ranks[a].corr(ranks[b]) if n >= 5 else None
+            assert (r is None) if expected is None else r == pytest.approx(expected)
+    assert len(got) == want
+
+
+def test_a_wide_frame_combines_before_the_shuffle(spark, sf):
+    from statweave.operators import compare
+
+    fact = materialized(O.obs(spark, sf))
+    text = plan(compare.wide(fact, ["geography", "frequency", "period"], ["ship_value", "ship_qty", "order_value"]))
+    assert len(re.findall(r"Exchange hashpartitioning", text)) == 1 and "indicator" not in re.search(r"Exchange hashpartitioning\(([^)]*)\)", text).group(1)
