@@ -1,9 +1,9 @@
 """Word deduplication with automata of repeated phrases.
 
 Passages that may recur come from anchors (see `repeats`): contexts seen twice, and the single windows of contexts that share an anchor
-but differ. They are dealt to shards by content. A shard confirms which of its passages recur, compiles these into an Aho-Corasick
-automaton over words, and streams all its texts through it; every occurrence but the first is marked. A passage in very many
-documents reaches its shard once per task that read it.
+but differ. They are dealt to shards by content and sorted by name, a hash of all their words. A shard leaves out passages whose name
+stands alone, confirms which of the others recur, compiles these into an Aho-Corasick automaton over words, and streams all others
+through it; every occurrence but the first is marked. A passage in very many documents reaches its shard once per task that read it.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from statweave.llm.frames import map_batches, stored
 WINDOW, GRAM = 20, 5
 SHARD_WORDS = 400_000
 """Words of candidate passages that one automaton is made for at a time."""
+HOLD_BYTES = 1 << 25
+"""Texts that a task gathers before it collapses repetitions among their passages."""
 
 
 def word_units(buf: np.ndarray, offs: np.ndarray) -> repeats.Units:
@@ -32,45 +35,64 @@ def word_units(buf: np.ndarray, offs: np.ndarray) -> repeats.Units:
 _PASSAGE = pa.schema([("route", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("words", pa.binary())])
 
 
-def _passages(window: int):
-    """Texts of passages that may recur; of passages equal within the task only the first, the others are settled (no words)."""
+def _candidates(text: bytes, start: np.ndarray, count: np.ndarray, window: int) -> tuple[bytes, tuple[np.ndarray, ...]]:
+    """The text with single spaces, and of its passages: name, start, count, and where they begin and end in that text."""
+    buf = np.frombuffer(text, np.uint8)
+    left, right, _ = kernel.find_words(buf, np.array([0, len(buf)]))
+    sums = kernel.unit_sums(kernel.range_hash(kernel.rolling(buf), left, right))
+    whole = count > 0  # negative: single windows, as many
+    many = -count[~whole]
+    single = np.unique(np.repeat(start[~whole] - np.cumsum(many) + many, many) + np.arange(many.sum()))
+    start, count = np.concatenate([start[whole], single]), np.concatenate([count[whole], np.ones(len(single), np.int64)])
+    order = np.lexsort((count, start))
+    start, count = start[order], count[order]
+    ok = start + count - 1 + window <= len(left)
+    ok[1:] &= (start[1:] != start[:-1]) | (count[1:] != count[:-1])  # a context of one window may stand there as both
+    start, count = start[ok], count[ok]
+    end = start + count - 1 + window
+    to = np.cumsum(right - left + 1) - 1  # ends of the words, one space between them
+    begin = to - (right - left)
+    return b" ".join(text.split()), (kernel.range_hash(sums, start, end).view(np.int64), start, count, begin[start], to[end - 1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple] = {}
-        rows: list[tuple] = []
-        size = 0
 
-        def out():
-            ready = rows + list(seen.values())
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*ready), _PASSAGE.types)], schema=_PASSAGE)
+def _passages(window: int):
+    """Texts of passages that may recur; of passages equal within the task only the first, the others are settled (no words)."""
 
+    def out(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        texts = [text for _, text, _ in held]
+        name, start, count, begin, end = (np.concatenate(x) for x in zip(*[c for *_, c in held]))
+        which = np.repeat(np.arange(len(held)), [len(c[0]) for *_, c in held])
+        doc = np.array([d for d, *_ in held], np.int64)[which]
         # Documents come in ascending order, so the first passage seen is the earliest here.
+        order = np.argsort(name, kind="stable")
+        new = np.ones(len(name), bool)
+        new[order[1:]] = name[order[1:]] != name[order[:-1]]
+        anywhere = kernel.mix(doc.view(np.uint64) ^ kernel.mix(start.astype(np.uint64))).view(np.int64)
+        route = np.where(new, name, anywhere)
+        part = np.cumsum(np.where(new, end - begin, 0)) // HOLD_BYTES
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(name)]
+        for some in (slice(a, b) for a, b in zip(cuts, cuts[1:])):
+            places = zip(*(x[some].tolist() for x in (new, which, begin, end)))
+            words = [texts[w][i:j] if n else None for n, w, i, j in places]
+            columns = (route[some], doc[some], start[some], count[some], words)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _PASSAGE.types)], schema=_PASSAGE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = number = 0
         for doc_id, texts, start, count in repeats.each_document(batches):
             if not texts or not len(start):
                 continue
-            words = texts[0].split()
-            buf = np.frombuffer(texts[0], np.uint8)
-            sums = kernel.unit_sums(kernel.word_hashes(buf, np.array([0, len(buf)]))[0])
-            whole = count > 0  # negative: single windows, as many
-            single = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.arange(s, s - c) for s, c in zip(start[~whole].tolist(), count[~whole].tolist())]]))
-            start, count = np.concatenate([start[whole], single]), np.concatenate([count[whole], np.ones(len(single), np.int64)])
-            order = np.lexsort((count, start))
-            start, count = start[order], count[order]
-            ok = start + count - 1 + window <= len(words)
-            start, count = start[ok], count[ok]
-            names = kernel.range_hash(sums, start, start + count - 1 + window).view(np.int64).tolist()
-            for name, s, c in zip(names, start.tolist(), count.tolist()):
-                have = seen.get(name)
-                if have is None:
-                    seen[name] = (name, doc_id, s, c, b" ".join(words[s : s + c - 1 + window]))
-                    size += c - 1 + window
-                elif have[1:4] != (doc_id, s, c):
-                    rows.append((hash((doc_id, s)), doc_id, s, c, None))
-            if size >= repeats.HOLD_ROWS * 2 or len(rows) >= repeats.HOLD_ROWS:
-                yield out()
-                seen, rows, size = {}, [], 0
-        if seen or rows:
-            yield out()
+            text, found = _candidates(texts[0], start, count, window)
+            if not len(found[0]):
+                continue
+            held.append((doc_id, text, found))
+            size, number = size + len(text), number + len(found[0])
+            if size >= HOLD_BYTES or number >= repeats.HOLD_ROWS // 4:
+                yield from out(held)
+                held, size, number = [], 0, 0
+        if held:
+            yield from out(held)
 
     return run
 
@@ -110,29 +132,49 @@ def locate(passages: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int,
     return out
 
 
+def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
+    """Of rows sorted by passage name: those settled before, and those whose name another row shares.
+
+    Equal passages have equal names, so a name that stands alone is of a passage that does not recur.
+    """
+    tail, shared = None, False  # the last passage so far, and whether the one before it has its name
+    for batch in batches:
+        settled = batch.column("words").is_null()
+        rows = batch.filter(pc.invert(settled))
+        if tail is not None:
+            rows = pa.Table.from_batches([tail, rows]).combine_chunks().to_batches()[0]
+        if not len(rows):
+            yield batch.filter(settled), rows
+            continue
+        name = rows.column("route").to_numpy()
+        same = np.concatenate([[shared], name[1:] == name[:-1]])
+        keep = same.copy()
+        keep[:-1] |= same[1:]
+        tail, shared = rows.slice(len(rows) - 1), bool(same[-1])
+        yield batch.filter(settled), rows.slice(0, len(rows) - 1).filter(pa.array(keep[:-1]))
+    if tail is not None:
+        yield tail.slice(0, 0), tail if shared else tail.slice(0, 0)
+
+
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every occurrence but the first, from rows sorted by passage name."""
     held: list[tuple] = []
     size, last = 0, None
+    place = ("doc_id", "start", "count")
 
     def out(found) -> pa.RecordBatch:
         doc, start, count = zip(*found) if found else ((), (), ())
         return pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int32()), "count": pa.array(count, pa.int32())})
 
-    for batch in batches:
-        numbers = [batch.column(k).to_numpy().tolist() for k in ("route", "doc_id", "start", "count")]
-        settled = []
-        for route, doc, start, count, words in zip(*numbers, batch.column("words").to_pylist()):
-            if words is None:
-                settled.append((doc, start, count))
-                continue
+    for settled, rows in _recurring(batches):
+        for route, *passage in zip(*(rows.column(k).to_pylist() for k in ("route", *place, "words"))):
             if size >= SHARD_WORDS and route != last:
                 yield out(locate(held))
                 held, size = [], 0
-            held.append((doc, start, count, words))
-            size += count + 19
+            held.append(tuple(passage))
+            size += passage[2] + 19
             last = route
-        yield out(settled)
+        yield settled.select(place)
     yield out(locate(held))
 
 

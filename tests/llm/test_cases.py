@@ -459,3 +459,30 @@ def test_words_are_numbered_as_they_are_met():
     assert list(map(number, b"a b a c b".split())) == [0, 1, 0, 2, 1]
     words = b" ".join(b"w%d" % i for i in range(21))
     assert phrase_dedup.locate([(3, 0, 2, words), (1, 4, 2, words), (2, 0, 1, words[:-4]), (4, 9, 2, words)]) == [(3, 0, 2), (4, 9, 2)]
+
+
+def test_passages_whose_name_stands_alone_reach_no_automaton(monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    real = phrase_dedup.locate
+    monkeypatch.setattr(phrase_dedup, "locate", lambda held: seen.extend(held) or real(held))
+    words = {k: b" ".join(b"%d-%d" % (k, i) for i in range(20)) for k in range(12)}
+    names = [0, 1, 1, 2, 3, 3, 3, 4, 5, 5, 6, 7, 8, 8, 9, 10, 11, 11]
+    rows = [(k, 100 - n, n, 1, words[k]) for n, k in enumerate(names)]
+    rows.insert(6, (3, 7, 70, 2, None))  # settled before, among rows of one name
+    later = {(100 - n, n, 1) for n, k in enumerate(names) if k in names[n + 1 :]} | {(7, 70, 2)}
+    for size in (1, 2, 3, 5, 100):
+        seen.clear()
+        batches = [pa.RecordBatch.from_pylist([dict(zip(phrase_dedup._PASSAGE.names, r)) for r in rows[i : i + size]], phrase_dedup._PASSAGE) for i in range(0, len(rows), size)]
+        out = [tuple(r.values()) for b in phrase_dedup._located(iter(batches)) for r in b.to_pylist()]
+        assert len(out) == len(set(out)) and set(out) == later
+        assert len(seen) == sum(names.count(k) > 1 for k in names)
+
+
+def test_a_context_of_one_window_is_no_repetition_of_itself():
+    text = b"  ".join(b"w%d" % i for i in range(30)) + b"\n"
+    plain, (name, start, count, begin, end) = phrase_dedup._candidates(text, np.array([4, 4, 2, 9, 25]), np.array([1, -2, 3, -1, 1]), 20)
+    assert list(zip(start.tolist(), count.tolist())) == [(2, 3), (4, 1), (5, 1), (9, 1)]
+    assert len(set(name.tolist())) == 4
+    assert [plain[a:b].split() for a, b in zip(begin, end)] == [text.split()[s : s + c + 19] for s, c in zip(start, count)]
