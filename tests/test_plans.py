@@ -147,7 +147,8 @@ def test_homogeneity_carries_every_row_once(series):
     }
 
 
-def test_a_rank_matrix_sends_no_pattern_to_one_task(spark):
+@pytest.mark.parametrize("entries, copies", [(50_000, 100_000), (0, 500), (50_000, 500)])
+def test_a_rank_matrix_sends_no_pattern_to_one_task(spark, monkeypatch, entries, copies):
     from itertools import combinations
 
     import numpy as np
@@ -155,6 +156,8 @@ def test_a_rank_matrix_sends_no_pattern_to_one_task(spark):
 
     from statweave.operators import compare
 
+    monkeypatch.setattr(compare, "MAX_ENTRIES", entries)
+    monkeypatch.setattr(compare, "RANKED_ROWS", copies)
     rng = np.random.default_rng(3)
     columns = list("abcd")
     frame = pd.DataFrame(rng.normal(size=(900, 4)).round(1), columns=columns)
