@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statweave.session import materialized
 
@@ -119,5 +120,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return roots.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
+def local_table(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """A few rows of the driver as a table.
+
+    They travel as Arrow: for plain rows Spark starts Python workers of a further kind on every executor, and those stay.
+    """
+    kind = empty_like(spark, schema).schema
+    columns = zip(*rows) if rows else [()] * len(kind)
+    return spark.createDataFrame(pa.table([pa.array(c) for c in columns], names=kind.names), kind)
+
+
+def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)

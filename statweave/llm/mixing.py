@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statweave.llm import kernel
-from statweave.llm.frames import map_batches, stored
+from statweave.llm.frames import local_table, map_batches, stored
 
 MAX_COPIES = 2
 PLACES = 1 << 40
@@ -158,9 +158,7 @@ def mix(docs: DataFrame, targets=None, max_copies: int = MAX_COPIES, seed: int =
         copies, rest = divmod(amount, p["tokens"]) if p["tokens"] else (0, 0)
         bins = math.isqrt(p["rows"]) + 1  # as many bins as rows in a bin, for a pattern of any size
         plan.append((p["sources"], int(copies), int(rest), int(bins), int(sizes[members[0]]), float(wanted[members[0]])))
-    plan = spark.createDataFrame(
-        plan, "sources array<string>, copies long, rest long, bins long, source_size long, target double"
-    )
+    plan = local_table(spark, plan, "sources array<string>, copies long, rest long, bins long, source_size long, target double")
 
     # Place in the seeded order: first by bin, whose sums are few rows for each pattern, then inside a bin.
     same = F.col("s.sources").eqNullSafe(F.col("p.sources"))
@@ -176,7 +174,7 @@ def mix(docs: DataFrame, targets=None, max_copies: int = MAX_COPIES, seed: int =
     # Only the bin in which the rest ends needs an order inside; the bins before are taken whole, those behind not at all.
     # That is one bin of a pattern at most, so the edges are as small as the plan and travel like it.
     edge = sums.where("before < rest and before + bin_size > rest").select("pattern", "bin", "before").collect()
-    edge = spark.createDataFrame([tuple(r) for r in edge], "_p long, _b long, before long")
+    edge = local_table(spark, [tuple(r) for r in edge], "_p long, _b long, before long")
     joined = rows.join(edge, F.col("pattern") == F.col("_p"), "left")
     whole = F.when(F.col("_b").isNull(), F.col("rest") > 0).otherwise(F.col("bin") < F.col("_b"))
     joined = joined.withColumn("extra", whole.cast("long"))

@@ -462,7 +462,8 @@ def gram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         .join(sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
         .join(sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
     )
-    near = map_batches(pairs.select("a", "b", "na", "nb", "sa", "sb"), _close(percent), "a long, b long")
+    # Stored, as the next step runs in Python too: two in one stage keep twice the Python workers on every executor.
+    near = stored(map_batches(pairs.select("a", "b", "na", "nb", "sa", "sb"), _close(percent), "a long, b long"), "gram-near")
     runs = met.where("long_run").select(F.col("a").alias("gram"), F.col("b").alias("node"))
     families = components(near.unionByName(_long_runs(runs, sketches, percent)), "gram-families")
 

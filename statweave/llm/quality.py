@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statweave.llm import kernel
-from statweave.llm.frames import map_batches, stored
+from statweave.llm.frames import local_table, map_batches, stored
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks"]
 STEPS = 200
@@ -211,7 +211,7 @@ def learn_cutoffs(
     totals = rows.groupBy("stratum").agg(tally[0]).where("good > 0").orderBy("stratum").collect()
     allowed = risk / max(1, len(totals))
     spark, kind = measures.sparkSession, T.StructType([T.StructField("_stratum", counts.schema["stratum"].dataType), T.StructField("test", T.IntegerType())])
-    used, served = (F.broadcast(spark.createDataFrame(x, kind)) for x in _tests(totals, limit, allowed))
+    used, served = (F.broadcast(local_table(spark, x, kind)) for x in _tests(totals, limit, allowed))
     same = F.col("stratum").eqNullSafe(F.col("_stratum"))
 
     def order(pdf):
