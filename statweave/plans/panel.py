@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import jvm
 from ..operators.series import along, lag_features, positions
 from ..schema import SERIES
 from ..session import materialized
@@ -21,7 +22,7 @@ SEASON, HOLDOUT, HORIZON, FOLDS = 12, 12, 6, 3
 RIDGE_ALPHAS = (1.0, 10.0, 100.0)
 FOREST_DEPTHS = (3, 6)
 BOOSTING_LEAVES = (7, 15)
-SERIES_PER_TASK, MANY_TASKS, SERIES_GROUP = (8, 64), 256, 64  # series that a task fits (few, and once there are many tasks); that boosting fits side by side
+SERIES_PER_TASK, MANY_TASKS, SERIES_GROUP = (8, 64), 256, 64  # series that a task fits (few, and once there are many tasks); that Python's boosting fits side by side
 SOLVED_SERIES = 256  # series whose ridge is solved at a time
 LIMITATIONS = [
     "Every model knows one series and its calendar, nothing else; a break in the series is not foreseen.",
@@ -256,9 +257,26 @@ def tree_forecasts(base: DataFrame, kinds: list[str], season: int, holdout: int,
     """Every row once per kind, with columns model, held (holdout path), ahead (forecast), cv_one_step_mae and parameter.
 
     base has one row per series with its ordered values and first_month; the other columns pass through.  Each series has
-    models of its own.  They are fitted where the row lies, some series at a time.
+    models of its own, fitted where the row lies: by the kernel in the JVM, or by its counterpart in ``trees`` where the session has none.
     """
+    if not jvm.available(base.sparkSession):
+        return _python_tree_forecasts(base, kinds, season, holdout, horizon, rounds, seed)
+    circle = np.concatenate(trees.months_on_circle(np.arange(1, 13)))
+    array = lambda xs: F.array(*[F.lit(x) for x in xs])
+
+    def fit(kind: str) -> Column:
+        name, sizes = {"random_forest": ("RandomForest", FOREST_DEPTHS), "gradient_boosting": ("GradientBoosting", BOOSTING_LEAVES)}[kind]
+        call = jvm.function(base.sparkSession, "Trees", name, T.ArrayType(T.DoubleType()))
+        settings = (season, holdout, horizon, FOLDS, rounds, seed, trees.LEAST, trees.BINS, *sizes)
+        return F.struct(F.lit(kind).alias("model"), call("values", "first_month", array(settings), array(circle.tolist())).alias("made"))
+
+    return base.select(*base.columns, F.explode(F.array(*[fit(k) for k in kinds])).alias("_fit")).select(
+        *base.columns, "_fit.model", F.slice("_fit.made", 1, holdout).alias("held"), F.slice("_fit.made", holdout + 1, horizon).alias("ahead"),
+        F.element_at("_fit.made", -2).alias("cv_one_step_mae"), F.element_at("_fit.made", -1).alias("parameter"),
+    )
+
 
+def _python_tree_forecasts(base: DataFrame, kinds: list[str], season: int, holdout: int, horizon: int, rounds: int, seed: int) -> DataFrame:
     def fit(group: list[tuple[np.ndarray, int]], kind: str) -> list[tuple]:
         if kind == "random_forest":
             return trees.forest_forecasts(group, season, holdout, horizon, FOLDS, FOREST_DEPTHS, rounds, seed)

@@ -203,3 +203,29 @@ def test_boosting_without_a_possible_split_is_the_mean():
     padded = np.zeros((2, len(x), x.shape[1]))
     padded[0] = padded[1] = x
     assert model.predict(padded)[0] == pytest.approx(np.full(len(x), few[1].mean()))
+
+
+# ------------------------------------------------------------------ the kernel in the JVM
+
+
+GROUP = [(history(n, n), 1 + n % 12) for n in (60, 61, 84, 140, 330)]  # the last one has more distinct values than bins
+
+
+def fitted(spark, kind, rounds, group):
+    base = spark.createDataFrame([(k, v.tolist(), m) for k, (v, m) in enumerate(group)], "k int, values array<double>, first_month int")
+    out = panel.tree_forecasts(base, [kind], 12, 12, 6, rounds)
+    assert "MapInArrow" not in out._jdf.queryExecution().toString()
+    rows = {r.k: r for r in out.collect()}
+    assert {r.model for r in rows.values()} == {kind} and len(rows) == len(group)
+    return [(rows[k].held, rows[k].ahead, rows[k].cv_one_step_mae, rows[k].parameter) for k in range(len(group))]
+
+
+def same(found, wanted):
+    for got, want in zip(found, wanted, strict=True):
+        assert got[0] == pytest.approx(want[0], rel=1e-9) and got[1] == pytest.approx(want[1], rel=1e-9)
+        assert got[2] == pytest.approx(want[2], rel=1e-9) and got[3] == want[3]
+
+
+def test_forest_runs_in_the_jvm_and_equals_python(spark):
+    group = [*GROUP, (np.full(72, 5.0), 3), (np.arange(72.0), 12)]
+    same(fitted(spark, "random_forest", 25, group), trees.forest_forecasts(group, 12, 12, 6, 3, panel.FOREST_DEPTHS, 25, 42))
