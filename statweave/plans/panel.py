@@ -22,7 +22,7 @@ SEASON, HOLDOUT, HORIZON, FOLDS = 12, 12, 6, 3
 RIDGE_ALPHAS = (1.0, 10.0, 100.0)
 FOREST_DEPTHS = (3, 6)
 BOOSTING_LEAVES = (7, 15)
-SERIES_PER_TASK, MANY_TASKS, SERIES_GROUP = (8, 64), 256, 64  # series that a task fits (few, and once there are many tasks); that Python's boosting fits side by side
+SERIES_PER_TASK, MANY_TASKS, SERIES_GROUP = (8, 1024), 256, 64  # series that a task fits (few, and once there are many tasks); that Python's boosting fits side by side
 SOLVED_SERIES = 256  # series whose ridge is solved at a time
 LIMITATIONS = [
     "Every model knows one series and its calendar, nothing else; a break in the series is not foreseen.",
@@ -322,28 +322,14 @@ def forecast(
     every_series = materialized(profile(fact, season, holdout, keys), "series")
     status = every_series.drop("periods", "values")
     ready = every_series.filter("status = 'ready'").select(*keys, "periods", "values")
-    rows = materialized(feature_rows(rows_of(ready, keys), season, holdout, keys), "features")
-
-    base = (
-        ready
-        .withColumns(
-            {
-                "training_rows": F.size("values") - holdout,
-                "actual": F.slice("values", -holdout, holdout),
-                "train": F.slice("values", F.lit(1), F.size("values") - holdout),
-                "holdout_start": F.element_at("periods", -holdout),
-                "last_period": F.element_at("periods", -1),
-            }
-        )
-        .join(rows.groupBy(*keys).agg(F.first("center").alias("center"), F.first("spread").alias("spread")), keys)
-        .withColumns(
-            {
-                "train_scaled": F.expr("transform(train, v -> (v - center) / spread)"),
-                "all_scaled": F.expr("transform(values, v -> (v - center) / spread)"),
-                "month": F.month("holdout_start"),
-                "next_month": F.pmod(F.month("last_period"), F.lit(12)) + 1,
-            }
-        )
+    base = ready.withColumns(
+        {
+            "training_rows": F.size("values") - holdout,
+            "actual": F.slice("values", -holdout, holdout),
+            "train": F.slice("values", F.lit(1), F.size("values") - holdout),
+            "holdout_start": F.element_at("periods", -holdout),
+            "last_period": F.element_at("periods", -1),
+        }
     )
     unscale = lambda c: F.expr(f"transform({c}, v -> v * spread + center)")
     ids = [*keys, "training_rows", "holdout_start", "last_period"]
@@ -361,9 +347,18 @@ def forecast(
                seasonal_naive(F.col("values"), horizon, season), missing, missing)
     ]
     if "ridge" in models:
+        rows = materialized(feature_rows(rows_of(ready, keys), season, holdout, keys), "features")
         fits = materialized(ridge_coefficients(moments(rows, keys, season), keys, season), "ridge")
-        chosen = base.join(fits, keys).join(ridge_cv(rows, fits, keys, season), keys)
+        scale = rows.groupBy(*keys).agg(F.first("center").alias("center"), F.first("spread").alias("spread"))
+        chosen = base.join(scale, keys).join(fits, keys).join(ridge_cv(rows, fits, keys, season), keys)
         rolled = chosen.withColumns(
+            {
+                "train_scaled": F.expr("transform(train, v -> (v - center) / spread)"),
+                "all_scaled": F.expr("transform(values, v -> (v - center) / spread)"),
+                "month": F.month("holdout_start"),
+                "next_month": F.pmod(F.month("last_period"), F.lit(12)) + 1,
+            }
+        ).withColumns(
             {
                 "_holdout": roll_forward("train_scaled", f"fits[{FOLDS}][alpha_index]", "month", holdout, season),
                 "_future": roll_forward("all_scaled", f"fits[{FOLDS + 1}][alpha_index]", "next_month", horizon, season),

@@ -229,3 +229,14 @@ def same(found, wanted):
 def test_forest_runs_in_the_jvm_and_equals_python(spark):
     group = [*GROUP, (np.full(72, 5.0), 3), (np.arange(72.0), 12)]
     same(fitted(spark, "random_forest", 25, group), trees.forest_forecasts(group, 12, 12, 6, 3, panel.FOREST_DEPTHS, 25, 42))
+
+
+def test_boosting_runs_in_the_jvm_and_equals_python(spark):
+    group = [*GROUP, (history(72, 5, True), 3), (np.full(72, 5.0), 3)]
+    same(fitted(spark, "gradient_boosting", 25, group), trees.boosting_forecasts(group, 12, 12, 6, 3, panel.BOOSTING_LEAVES, 25))
+
+
+def test_trees_need_no_feature_rows(series, monkeypatch):
+    monkeypatch.setattr(panel, "feature_rows", lambda *a, **k: pytest.fail("feature rows are for ridge"))
+    report = panel.forecast(series(history(72, 1).tolist()), models=("gradient_boosting",), rounds=2).first()
+    assert report.status == "trained" and {m.model for m in report.metrics} == {"seasonal_naive", "gradient_boosting"}
