@@ -213,18 +213,19 @@ def ridge_coefficients(sums: DataFrame, keys: list[str], season: int = SEASON, a
     return ordered.mapInArrow(lambda batches: _solved(batches, keys, alphas, size), schema)
 
 
-def _dot(coefficients: str, season: int) -> str:
-    x = ["1D", *features(season)]
-    return " + ".join(f"{coefficients}[{i}] * {t}" for i, t in enumerate(x))
-
-
 def ridge_cv(rows: DataFrame, fits: DataFrame, keys: list[str], season: int = SEASON, folds: int = FOLDS,
              alphas: tuple[float, ...] = RIDGE_ALPHAS) -> DataFrame:
-    """Best alpha per series by the mean over folds of the one-step MAE; the first wins ties."""
-    tested = rows.filter(F.col("block").between(1, folds)).join(fits, keys)
-    errors = tested.select(
-        *keys, "block",
-        *[F.expr(f"abs(value - ({_dot(f'fits[block - 1][{a}]', season)})) * spread").alias(f"e{a}") for a in range(len(alphas))],
+    """Best alpha per series by the mean over folds of the one-step MAE; the first wins ties.
+
+    Terms are kept in an array: written out for every alpha they make a method too large for the JVM to compile.
+    """
+    terms = rows.filter(F.col("block").between(1, folds)).select(
+        *keys, "block", "value", "spread", F.array(F.lit(1.0), *features(season)).alias("_x")
+    )
+    of_block = fits.select(*keys, F.posexplode(F.slice("fits", 1, folds)).alias("_set", "_fit")).withColumn("block", F.col("_set") + 1)
+    guess = lambda a: f"aggregate(zip_with(_fit[{a}], _x, (c, x) -> c * x), 0D, (s, v) -> s + v)"
+    errors = terms.join(of_block, [*keys, "block"]).select(
+        *keys, "block", *[F.expr(f"abs(value - {guess(a)}) * spread").alias(f"e{a}") for a in range(len(alphas))]
     )
     per_fold = errors.groupBy(*keys, "block").agg(*[F.avg(f"e{a}").alias(f"e{a}") for a in range(len(alphas))])
     scored = per_fold.groupBy(*keys).agg(*[F.avg(f"e{a}").alias(f"e{a}") for a in range(len(alphas))])

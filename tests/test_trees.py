@@ -240,3 +240,19 @@ def test_trees_need_no_feature_rows(series, monkeypatch):
     monkeypatch.setattr(panel, "feature_rows", lambda *a, **k: pytest.fail("feature rows are for ridge"))
     report = panel.forecast(series(history(72, 1).tolist()), models=("gradient_boosting",), rounds=2).first()
     assert report.status == "trained" and {m.model for m in report.metrics} == {"seasonal_naive", "gradient_boosting"}
+
+
+def test_ridge_errors_are_compiled(spark, series):
+    """Methods beyond 8,000 bytes of code are never compiled by the JVM."""
+    rows = panel.feature_rows(panel.rows_of(panel.ready_history(series(history(72, 1).tolist()))))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    fits = panel.ridge_coefficients(panel.moments(rows, SERIES), SERIES)
+    fits = spark.createDataFrame(fits.collect(), fits.schema)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = panel.ridge_cv(rows, fits, SERIES)._jdf.queryExecution()
+        text = spark._jvm.PythonSQLUtils.explainString(plan, "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(part.split(";")[0]) for part in text.split("maxMethodCodeSize:")[1:]]
+    assert sizes and max(sizes) <= 8000
